@@ -31,9 +31,9 @@ def fan_sample(edges: DataFrame, creators: DataFrame, fraction: float = FAN_SAMP
     fan = edges.join(ids, "dst", "left_semi")
     counts = fan.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("m"))
     probs = [i / buckets for i in range(1, buckets)]
-    per_creator = counts.groupBy("dst").agg(
-        F.sum("m").alias("n"),
-        F.percentile_approx("src", probs, 10000).alias("bounds"))
+    bounds = (F.percentile_approx("src", probs, 10000) if probs
+              else F.array().cast("array<bigint>"))
+    per_creator = counts.groupBy("dst").agg(F.sum("m").alias("n"), bounds.alias("bounds"))
     per_creator = per_creator.withColumn("k", floor_fraction(F.col("n"), fraction))
     placed = counts.join(per_creator.where("k > 0"), "dst").select(
         "dst", "src", "m", "k",
