@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values that results depend on (must stay exactly as written).
@@ -26,9 +27,15 @@ LPA_STEPS = 40
 # ---------------------------------------------------------------------------
 
 
-def to_long(c: Column | str) -> Column:
-    """Any value -> string -> 64-bit integer (ANSI mode raises on bad input)."""
-    return F.col(c).cast("string").cast("long") if isinstance(c, str) else c.cast("string").cast("long")
+def to_long(c: Column | str, source_type: T.DataType | None = None) -> Column:
+    """Any value -> string -> 64-bit integer (ANSI mode raises on bad input).
+
+    When the source column is already integral the detour through text is
+    skipped (same value, no per-row string formatting and parsing)."""
+    col = F.col(c) if isinstance(c, str) else c
+    if isinstance(source_type, T.IntegralType):
+        return col.cast("long")
+    return col.cast("string").cast("long")
 
 
 def to_str(c: Column | str) -> Column:

@@ -26,6 +26,14 @@ class FollowGraph:
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "FollowGraph":
         return FollowGraph(self.vertices.persist(level), self.edges.persist(level))
 
+    def materialize(self) -> "FollowGraph":
+        """Cut both tables' lineage with a reliable checkpoint (one pass over
+        the sources, however many times an algorithm reads the graph)."""
+        from .iterate import materialize
+        v, _ = materialize(self.vertices)
+        e, _ = materialize(self.edges)
+        return FollowGraph(v, e)
+
     def unpersist(self) -> None:
         self.vertices.unpersist()
         self.edges.unpersist()
@@ -36,20 +44,22 @@ def assemble(users: DataFrame, follows: DataFrame,
     """G1: every user plus every edge endpoint becomes a vertex.
 
     Endpoints without a user row get the ``default`` attributes; a duplicated
-    user id keeps its smallest (name, intro).  One aggregation over
-    users UNION endpoints (map-side combine absorbs repeated endpoints, so a
-    celebrity id costs one row per partition, not one per follower).
+    user id keeps its smallest (name, intro).  The endpoint ids come from one
+    pass over the edges (``explode``) and are de-duplicated by a hash
+    aggregate on the long id (map-side combine absorbs a celebrity id); only
+    the users table goes through the string-keyed "smallest attributes"
+    aggregate.  Both sides leave hash-partitioned on ``id``, so the final
+    outer join adds no exchange.
     """
     edges = follows.where(F.col("src").isNotNull() & F.col("dst").isNotNull()) \
         .select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    user_rows = users.where(F.col("id").isNotNull()) \
-        .select("id", F.struct("name", "intro").cast(_ATTR).alias("attr"))
-    ends = (edges.select(F.col("src").alias("id"))
-            .union(edges.select(F.col("dst").alias("id")))
-            .select("id", F.lit(None).cast(_ATTR).alias("attr")))
-    merged = user_rows.unionByName(ends).groupBy("id").agg(F.min("attr").alias("attr"))
+    attrs = (users.where(F.col("id").isNotNull())
+             .groupBy("id").agg(F.min(F.struct("name", "intro").cast(_ATTR)).alias("attr")))
+    ids = (edges.select(F.explode(F.array("src", "dst")).alias("id"))
+           .unionByName(users.where(F.col("id").isNotNull()).select("id"))
+           .distinct())
     known = F.col("attr").isNotNull()
-    vertices = merged.select(
+    vertices = ids.join(attrs, "id", "left").select(
         "id",
         F.when(known, F.col("attr.name")).otherwise(F.lit(default[0])).alias("name"),
         F.when(known, F.col("attr.intro")).otherwise(F.lit(default[1])).alias("intro"))
@@ -58,8 +68,7 @@ def assemble(users: DataFrame, follows: DataFrame,
 
 def from_edges(edges: DataFrame, default: tuple[str, str] = (UNKNOWN, UNKNOWN)) -> FollowGraph:
     """A graph whose vertices are exactly the endpoints of ``edges``."""
-    ids = (edges.select(F.col("src").alias("id"))
-           .union(edges.select(F.col("dst").alias("id"))).distinct())
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     vertices = ids.select("id", F.lit(default[0]).alias("name"), F.lit(default[1]).alias("intro"))
     return FollowGraph(vertices, edges)
 

@@ -21,6 +21,8 @@ Design (why the loops look the way they do):
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -53,22 +55,39 @@ def fixed_partitioning(spark: SparkSession):
 
 
 def run_supersteps(state: DataFrame, step, metrics: dict[str, Column], done,
-                   steps_per_job: int = 4, max_steps: int | None = None
-                   ) -> tuple[DataFrame, dict, int]:
+                   steps_per_job: int | Callable[[dict], int] = 4,
+                   max_steps: int | None = None) -> tuple[DataFrame, dict, int]:
     """Apply ``step`` until ``done(metrics)`` or ``max_steps``.
 
     ``step`` must be idempotent once converged (a converged state maps to
     itself), which lets several supersteps share a job: overshooting the
-    convergence point inside a job changes nothing.  Returns the final
-    (checkpointed) state, its metrics and the number of supersteps run.
+    convergence point inside a job changes nothing.  ``steps_per_job`` is a
+    number or a function of the last observed metrics (e.g. an estimate of
+    the supersteps still needed).  Returns the final (checkpointed) state,
+    its metrics and the number of supersteps run.
     """
     state, m = materialize(state, metrics)
     steps = 0
     while not done(m) and (max_steps is None or steps < max_steps):
-        batch = steps_per_job if max_steps is None else min(steps_per_job, max_steps - steps)
+        batch = steps_per_job(m) if callable(steps_per_job) else steps_per_job
+        batch = max(1, batch)
+        if max_steps is not None:
+            batch = min(batch, max_steps - steps)
         nxt = state
         for _ in range(batch):
             nxt = step(nxt)
         steps += batch
         state, m = materialize(nxt, metrics)
     return state, m, steps
+
+
+def decay_batch(tol: float, factor: float, cap: int = 16) -> Callable[[dict], int]:
+    """Supersteps per job for a contraction: if the largest live delta shrinks
+    by about ``factor`` per superstep, about log(tol / max_delta) / log(factor)
+    supersteps remain; run that many (at most ``cap``) in the next job."""
+    def batch(m: dict) -> int:
+        top = m.get("max_delta") or 0.0
+        if top <= tol:
+            return 1
+        return min(cap, max(1, math.ceil(math.log(tol / top) / math.log(factor))))
+    return batch

@@ -24,9 +24,10 @@ from .graph import FollowGraph
 from .iterate import fixed_partitioning, materialize, run_supersteps
 
 
-def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job: int = 4) -> DataFrame:
+def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job: int = 10) -> DataFrame:
     """(id, label) for every vertex after ``steps`` synchronous steps."""
     spark = graph.edges.sparkSession
+    graph = graph.materialize()
     n = shuffle_partitions(spark)
     with fixed_partitioning(spark):
         e = graph.edges.select("src", "dst")
@@ -38,12 +39,15 @@ def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job:
         init = (S.select(F.col("sender").alias("id")).distinct()
                 .select("id", F.col("id").alias("label")).repartition(n, "id"))
 
+        sql = """
+            SELECT receiver AS id, max_by(label, struct(c, -label)) AS label
+            FROM (SELECT /*+ SHUFFLE_HASH(s) */ m.receiver, s.label, sum(m.m) AS c
+                  FROM {senders} m JOIN {state} s ON m.sender = s.id
+                  GROUP BY m.receiver, s.label)
+            GROUP BY receiver"""
+
         def step(state: DataFrame) -> DataFrame:
-            heard = (S.join(state.hint("shuffle_hash"), S.sender == state.id)
-                     .groupBy("receiver", "label").agg(F.sum("m").alias("c")))
-            best = heard.groupBy("receiver").agg(
-                F.max_by("label", F.struct(F.col("c"), -F.col("label"))).alias("label"))
-            return best.select(F.col("receiver").alias("id"), "label")
+            return spark.sql(sql, senders=S, state=state)
 
         state, _, _ = run_supersteps(init, step, {}, lambda m: False, steps_per_job, steps)
         out, _ = materialize(

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import RESET_PROB, TOLERANCE, tie_key
 from ..session import shuffle_partitions
 from .graph import FollowGraph
-from .iterate import fixed_partitioning, materialize, run_supersteps
+from .iterate import decay_batch, fixed_partitioning, materialize, run_supersteps
 
 
 def _out_degrees(edges: DataFrame) -> DataFrame:
@@ -61,9 +61,13 @@ def _active(tol: float) -> str:
 
 
 def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PROB,
-             max_steps: int | None = None, steps_per_job: int = 4) -> DataFrame:
-    """(id, rank) for every vertex; ranks sum to the vertex count."""
+             max_steps: int | None = None, steps_per_job=None) -> DataFrame:
+    """(id, rank) for every vertex; ranks sum to the vertex count.
+
+    ``steps_per_job``: supersteps per Spark job; default adapts to the
+    observed largest delta (see ``iterate.decay_batch``)."""
     spark = graph.edges.sparkSession
+    graph = graph.materialize()
     n = shuffle_partitions(spark)
     d = 1.0 - reset
     with fixed_partitioning(spark):
@@ -73,22 +77,26 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
                 .repartition(n, "id"))
         cond = _active(tol)
 
+        sql = f"""
+            SELECT dst AS id, deg,
+                   CASE WHEN msg IS NULL THEN rank ELSE rank + {d!r} * msg END AS rank,
+                   CASE WHEN msg IS NULL THEN 0.0 ELSE (rank + {d!r} * msg) - rank END AS delta
+            FROM (SELECT /*+ SHUFFLE_HASH(s) */ l.dst,
+                         max(CASE WHEN l.self THEN s.deg END) AS deg,
+                         max(CASE WHEN l.self THEN s.rank END) AS rank,
+                         sum(CASE WHEN NOT l.self THEN s.delta * l.w END) AS msg
+                  FROM {{links}} l JOIN {{state}} s
+                    ON l.src = s.id AND (l.self OR (s.{cond.replace(' AND ', ' AND s.')}))
+                  GROUP BY l.dst)"""
+
         def step(state: DataFrame) -> DataFrame:
-            j = L.join(state.hint("shuffle_hash"),
-                       (L.src == state.id) & (L.self | F.expr(cond)))
-            agg = j.groupBy("dst").agg(
-                F.expr("max(CASE WHEN self THEN deg END)").alias("deg"),
-                F.expr("max(CASE WHEN self THEN rank END)").alias("rank"),
-                F.expr("sum(CASE WHEN NOT self THEN delta * w END)").alias("msg"))
-            return agg.selectExpr(
-                "dst AS id", "deg",
-                f"CASE WHEN msg IS NULL THEN rank ELSE rank + {d!r} * msg END AS rank",
-                f"CASE WHEN msg IS NULL THEN 0.0 ELSE (rank + {d!r} * msg) - rank END AS delta")
+            return spark.sql(sql, links=L, state=state)
 
         metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
+                   "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)"),
                    "total": F.sum("rank"), "n": F.count(F.lit(1))}
         state, m, _ = run_supersteps(init, step, metrics, lambda m: not m["active"],
-                                     steps_per_job, max_steps)
+                                     steps_per_job or decay_batch(tol, d), max_steps)
     if not m["n"]:
         return state.select("id", "rank")
     factor = float(m["n"]) / float(m["total"])
@@ -97,7 +105,7 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
 
 def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
                           tol: float = TOLERANCE, reset: float = RESET_PROB,
-                          max_steps: int | None = None, steps_per_job: int = 4,
+                          max_steps: int | None = None, steps_per_job=None,
                           batches: int = 1) -> DataFrame:
     """(source, id, rank) for every source in ``sources`` (column ``id``;
     default: every vertex) and every vertex it reaches; per source ranks sum to 1.
@@ -108,6 +116,7 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
     so the live state stays bounded while every source is still processed.
     """
     spark = graph.edges.sparkSession
+    graph = graph.materialize()
     n = shuffle_partitions(spark)
     d = 1.0 - reset
     cond = _active(tol)
@@ -122,30 +131,34 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
         L2, _ = materialize(L.join(vdeg.select(F.col("id").alias("dst"), F.col("deg").alias("dst_deg")),
                                    "dst").repartition(n, "src"))
 
+        # Messages travel along real edges of active pairs; every pair also
+        # meets its own self row so the group holds its previous state.
+        sql = f"""
+            SELECT source, dst AS id, deg,
+                   CASE WHEN msg IS NULL THEN coalesce(old, 0.0)
+                        ELSE coalesce(old, 0.0) + {d!r} * msg END AS rank,
+                   CASE WHEN msg IS NULL THEN 0.0
+                        ELSE (coalesce(old, 0.0) + {d!r} * msg) - coalesce(old, 0.0) END AS delta
+            FROM (SELECT /*+ SHUFFLE_HASH(l) */ s.source, l.dst, max(l.dst_deg) AS deg,
+                         max(CASE WHEN l.self THEN s.rank END) AS old,
+                         sum(CASE WHEN NOT l.self THEN s.delta * l.w END) AS msg
+                  FROM {{links}} l JOIN {{state}} s
+                    ON l.src = s.id AND (l.self OR (s.{cond.replace(' AND ', ' AND s.')}))
+                  GROUP BY s.source, l.dst)
+            DISTRIBUTE BY id"""
+
         def step(state: DataFrame) -> DataFrame:
-            # Messages travel along real edges of active pairs; every pair also
-            # meets its own self row so the group holds its previous state.
-            j = L2.hint("shuffle_hash").join(state, (L2.src == state.id) & (L2.self | F.expr(cond)))
-            agg = j.groupBy("source", "dst").agg(
-                F.expr("max(dst_deg)").alias("deg"),
-                F.expr("max(CASE WHEN self THEN rank END)").alias("old"),
-                F.expr("sum(CASE WHEN NOT self THEN delta * w END)").alias("msg"))
-            return agg.selectExpr(
-                "source", "dst AS id", "deg",
-                f"CASE WHEN msg IS NULL THEN coalesce(old, 0.0) "
-                f"ELSE coalesce(old, 0.0) + {d!r} * msg END AS rank",
-                f"CASE WHEN msg IS NULL THEN 0.0 "
-                f"ELSE (coalesce(old, 0.0) + {d!r} * msg) - coalesce(old, 0.0) END AS delta"
-            ).repartition(n, "id")
-
-        metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)")}
+            return spark.sql(sql, links=L2, state=state)
+
+        metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
+                   "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)")}
         for b in range(batches):
             seeds = seeds_all if batches == 1 else seeds_all.where(
                 F.pmod(F.xxhash64("source"), F.lit(batches)) == b)
             init = (seeds.select("source", "id", "deg", F.lit(1.0).alias("rank"),
                                  F.lit(1.0).alias("delta")).repartition(n, "id"))
             state, _, _ = run_supersteps(init, step, metrics, lambda m: not m["active"],
-                                         steps_per_job, max_steps)
+                                         steps_per_job or decay_batch(tol, d), max_steps)
             totals = state.groupBy("source").agg(F.sum("rank").alias("total"))
             part, _ = materialize(state.join(totals, "source").select(
                 "source", "id", (F.col("rank") / F.col("total")).alias("rank")))

@@ -26,13 +26,14 @@ def _load(spark: SparkSession, path: str, format: str, options: dict | None) ->
 def users_from(df: DataFrame, id_col: str = "id", name_col: str = "name",
                intro_col: str = "intro") -> DataFrame:
     """User rows -> (id LONG, name STRING, intro STRING)."""
-    return df.select(to_long(id_col).alias("id"), to_str(name_col).alias("name"),
-                     to_str(intro_col).alias("intro"))
+    return df.select(to_long(id_col, df.schema[id_col].dataType).alias("id"),
+                     to_str(name_col).alias("name"), to_str(intro_col).alias("intro"))
 
 
 def follows_from(df: DataFrame, src_col: str = "Source", dst_col: str = "Target") -> DataFrame:
     """Follow rows -> (src LONG, dst LONG, weight DOUBLE=1.0); parallel edges kept."""
-    return df.select(to_long(src_col).alias("src"), to_long(dst_col).alias("dst"),
+    return df.select(to_long(src_col, df.schema[src_col].dataType).alias("src"),
+                     to_long(dst_col, df.schema[dst_col].dataType).alias("dst"),
                      F.lit(1.0).alias("weight"))
 
 
