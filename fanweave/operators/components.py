@@ -22,7 +22,7 @@ leave the graph and the rounds repeat until none are left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .graph import FollowGraph
@@ -30,12 +30,19 @@ from .iterate import fixed_partitioning, materialize
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
+    """(a, b) with a < b, one row per undirected edge, hash-partitioned on ``a``."""
     return (edges.where(F.col("src") != F.col("dst"))
             .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-            .distinct())
+            .repartition("a").dropDuplicates(["a", "b"]))
 
 
 def _star_round(E: DataFrame) -> tuple[DataFrame, dict]:
+    """One large-star + small-star round on E(a, b), a < b, partitioned on a.
+
+    Three exchanges: the neighbourhood minimum (both directions, by u), the
+    large-star output (by b: its dedup and the small-star minimum reuse that
+    partitioning) and the small-star output (by a, ready for the next round).
+    """
     both = E.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         E.select(F.col("b").alias("u"), F.col("a").alias("v")))
     stats = both.groupBy("u").agg(
@@ -47,17 +54,17 @@ def _star_round(E: DataFrame) -> tuple[DataFrame, dict]:
         "OR (lo_max IS NOT NULL AND lo_max <> mn) THEN 1 ELSE 0 END)")
     obs = Observation()
     stats = stats.observe(obs, violation.alias("violations"))
-    M = stats.select("u", F.least("u", "mn").alias("m"))
-    # large-star: every edge (a, b) with a < b is re-hung on the smallest
-    # vertex of a's closed neighbourhood.
-    large = E.join(M, E.a == M.u).select(F.col("m").alias("a"), "b").distinct()
-    # small-star: every vertex b links itself and its smaller neighbours to the
-    # smallest of them.
-    mb = large.groupBy("b").agg(F.min("a").alias("mb"))
-    hung = large.join(mb, "b")
-    small = (hung.where(F.col("a") != F.col("mb")).select(F.col("mb").alias("a"), F.col("a").alias("b"))
-             .unionByName(hung.select(F.col("mb").alias("a"), "b"))
-             .distinct())
+    # large-star: every edge (a, b) is re-hung on the smallest vertex of a's
+    # closed neighbourhood.
+    large = (E.join(stats, E.a == stats.u)
+             .select(F.least("u", "mn").alias("a"), "b")
+             .repartition("b").dropDuplicates(["a", "b"]))
+    # small-star: b links itself and its smaller neighbours to the smallest of them.
+    hung = large.withColumn("mb", F.min("a").over(Window.partitionBy("b")))
+    small = (hung.select("mb", F.explode(F.array("a", "b")).alias("x"))
+             .where(F.col("x") != F.col("mb"))
+             .select(F.col("mb").alias("a"), F.col("x").alias("b"))
+             .repartition("a").dropDuplicates(["a", "b"]))
     out, _ = materialize(small)
     return out, dict(obs.get)
 

@@ -139,13 +139,15 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
                         ELSE coalesce(old, 0.0) + {d!r} * msg END AS rank,
                    CASE WHEN msg IS NULL THEN 0.0
                         ELSE (coalesce(old, 0.0) + {d!r} * msg) - coalesce(old, 0.0) END AS delta
-            FROM (SELECT /*+ SHUFFLE_HASH(l) */ s.source, l.dst, max(l.dst_deg) AS deg,
-                         max(CASE WHEN l.self THEN s.rank END) AS old,
-                         sum(CASE WHEN NOT l.self THEN s.delta * l.w END) AS msg
-                  FROM {{links}} l JOIN {{state}} s
-                    ON l.src = s.id AND (l.self OR (s.{cond.replace(' AND ', ' AND s.')}))
-                  GROUP BY s.source, l.dst)
-            DISTRIBUTE BY id"""
+            FROM (SELECT source, dst, max(dst_deg) AS deg,
+                         max(CASE WHEN self THEN rank END) AS old,
+                         sum(CASE WHEN NOT self THEN delta * w END) AS msg
+                  FROM (SELECT /*+ SHUFFLE_HASH(l) */ s.source, l.dst, l.dst_deg, l.self,
+                               s.rank, s.delta, l.w
+                        FROM {{links}} l JOIN {{state}} s
+                          ON l.src = s.id AND (l.self OR (s.{cond.replace(' AND ', ' AND s.')}))
+                        DISTRIBUTE BY l.dst)
+                  GROUP BY source, dst)"""
 
         def step(state: DataFrame) -> DataFrame:
             return spark.sql(sql, links=L2, state=state)
