@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .graph import FollowGraph
-from .iterate import fixed_partitioning, materialize
+from .iterate import fixed_partitioning, materialize, run_supersteps
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -91,84 +91,129 @@ def connected_components(graph: FollowGraph, max_rounds: int | None = None) -> D
 # --------------------------------------------------------------------------- SCC
 
 
-def _trim(V: DataFrame, E: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Repeatedly drop vertices with no in- or no out-edge inside the active graph."""
-    finished = []
-    while True:
-        has_out = E.select(F.col("src").alias("id")).distinct()
-        has_in = E.select(F.col("dst").alias("id")).distinct()
-        keep = V.join(has_out, "id", "left_semi").join(has_in, "id", "left_semi")
-        keep, mk = materialize(keep, {"n": F.count(F.lit(1))})
-        gone, mg = materialize(V.join(keep, "id", "left_anti"), {"n": F.count(F.lit(1))})
-        if mg["n"]:
-            finished.append(gone)
-        V = keep
-        E2 = (E.join(keep.select(F.col("id").alias("src")), "src", "left_semi")
-              .join(keep.select(F.col("id").alias("dst")), "dst", "left_semi"))
-        E, _ = materialize(E2)
-        if not mg["n"]:
-            return V, E, finished
-
-
-def _forward_colour(V: DataFrame, E: DataFrame) -> DataFrame:
-    """colour(v) = min id that reaches v (v included), by frontier min-propagation."""
-    state, m = materialize(V.select("id", F.col("id").alias("colour"), F.lit(True).alias("changed")),
-                           {"n": F.count(F.lit(1))})
-    while True:
-        frontier = state.where("changed").select(F.col("id").alias("src"), F.col("colour").alias("c"))
-        msgs = frontier.join(E, "src").groupBy("dst").agg(F.min("c").alias("c"))
-        nxt = (state.join(msgs, state.id == msgs.dst, "left")
-               .select("id",
-                       F.least("colour", F.coalesce("c", "colour")).alias("colour"),
-                       (F.coalesce(F.col("c") < F.col("colour"), F.lit(False))).alias("changed")))
-        state, m = materialize(nxt, {"changed": F.expr("sum(CASE WHEN changed THEN 1 ELSE 0 END)")})
-        if not m["changed"]:
-            return state.select("id", "colour")
-
-
-def _backward_close(colour: DataFrame, E: DataFrame) -> DataFrame:
-    """Vertices that reach the root of their colour through same-colour vertices."""
+# alive(v) stays true while v has an alive in-neighbour and an alive
+# out-neighbour (links carry each edge both ways, tagged, plus self rows).
+_TRIM_STEP = """
+SELECT id, alive, was AND NOT alive AS died FROM (
+  SELECT /*+ SHUFFLE_HASH(s) */ l.dst AS id,
+         max(CASE WHEN l.kind = 0 THEN s.alive END) AS was,
+         max(CASE WHEN l.kind = 0 THEN s.alive END)
+           AND coalesce(max(CASE WHEN l.kind = 1 AND s.alive THEN true END), false)
+           AND coalesce(max(CASE WHEN l.kind = 2 AND s.alive THEN true END), false) AS alive
+  FROM {links} l JOIN {state} s ON l.src = s.id
+  GROUP BY l.dst)
+"""
+
+
+def _trim(E: DataFrame, steps_per_job: int) -> tuple[DataFrame, int]:
+    """Edges between vertices that keep an in- and an out-edge after repeated
+    peeling (a peeled vertex is its own SCC).  Peeling is a monotone vertex
+    fixpoint, run as batched supersteps.  Returns the edges and their count."""
+    spark = E.sparkSession
+    ids = E.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    tagged = (E.select(F.col("src"), F.col("dst"), F.lit(1).alias("kind"))        # dst hears an in-neighbour
+              .unionByName(E.select(F.col("dst").alias("src"), F.col("src").alias("dst"),
+                                    F.lit(2).alias("kind")))                        # src hears an out-neighbour
+              .unionByName(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"),
+                                      F.lit(0).alias("kind"))))
+    links, _ = materialize(tagged.repartition("src"))
+    init = links.where("kind = 0").select(F.col("src").alias("id"), F.lit(True).alias("alive"),
+                                          F.lit(True).alias("died"))
+    state, _, _ = run_supersteps(
+        init, lambda st: spark.sql(_TRIM_STEP, links=links, state=st),
+        {"died": F.expr("sum(CASE WHEN died THEN 1 ELSE 0 END)")},
+        lambda m: not m["died"], steps_per_job)
+    alive = state.where("alive").select("id")
+    kept = (E.join(alive.select(F.col("id").alias("src")), "src", "left_semi")
+            .join(alive.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    out, m = materialize(kept.repartition("src"), {"n": F.count(F.lit(1))})
+    return out, m["n"]
+
+
+# colour(v) = min over v and its in-neighbours' colours; idempotent at the fixpoint.
+_COLOUR_STEP = """
+SELECT id, c AS colour, c < own AS changed FROM (
+  SELECT /*+ SHUFFLE_HASH(s) */ l.dst AS id, min(s.colour) AS c,
+         min(CASE WHEN l.self THEN s.colour END) AS own
+  FROM {links} l JOIN {state} s ON l.src = s.id
+  GROUP BY l.dst)
+"""
+
+# final(v) |= final of a same-colour out-neighbour (links are reversed).
+_CLOSE_STEP = """
+SELECT id, fin AS final, fin AND NOT was AS new FROM (
+  SELECT /*+ SHUFFLE_HASH(s) */ l.dst AS id, max(s.final) AS fin,
+         max(CASE WHEN l.self THEN s.final END) AS was
+  FROM {links} l JOIN {state} s ON l.src = s.id
+  GROUP BY l.dst)
+"""
+
+
+def _with_self_rows(edges: DataFrame) -> DataFrame:
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    loops = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("self"))
+    table, _ = materialize(edges.select("src", "dst", F.lit(False).alias("self"))
+                           .unionByName(loops).repartition("src"))
+    return table
+
+
+def _scc_round(E: DataFrame, steps_per_job: int) -> DataFrame:
+    """(id, component) for every vertex whose SCC is rooted at a colour root."""
+    spark = E.sparkSession
+    fwd = _with_self_rows(E)
+    init = (fwd.where("self").select(F.col("src").alias("id"), F.col("src").alias("colour"),
+                                     F.lit(True).alias("changed")).repartition("id"))
+    colour, _, _ = run_supersteps(
+        init, lambda st: spark.sql(_COLOUR_STEP, links=fwd, state=st),
+        {"changed": F.expr("sum(CASE WHEN changed THEN 1 ELSE 0 END)")},
+        lambda m: not m["changed"], steps_per_job)
     c1 = colour.select(F.col("id").alias("src"), F.col("colour").alias("cs"))
     c2 = colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd"))
-    same, _ = materialize(E.join(c1, "src").join(c2, "dst").where("cs = cd").select("src", "dst"))
-    state, _ = materialize(colour.select("id", "colour", (F.col("id") == F.col("colour")).alias("final"),
-                                         (F.col("id") == F.col("colour")).alias("new")))
-    while True:
-        newly = state.where("new").select(F.col("id").alias("dst"))
-        reached = same.join(newly, "dst").select(F.col("src").alias("rid")).distinct()
-        nxt = (state.join(reached, state.id == reached.rid, "left")
-               .select("id", "colour",
-                       (F.col("final") | F.col("rid").isNotNull()).alias("final"),
-                       (~F.col("final") & F.col("rid").isNotNull()).alias("new")))
-        state, m = materialize(nxt, {"new": F.expr("sum(CASE WHEN new THEN 1 ELSE 0 END)")})
-        if not m["new"]:
-            return state.where("final").select("id", F.col("colour").alias("component"))
-
-
-def strongly_connected_components(graph: FollowGraph, max_rounds: int | None = None) -> DataFrame:
+    same = (E.join(c1, "src").join(c2, "dst").where("cs = cd")
+            .select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    back = _with_self_rows(same)
+    roots = colour.select("id", (F.col("id") == F.col("colour")).alias("final"),
+                          (F.col("id") == F.col("colour")).alias("new"))
+    closed, _, _ = run_supersteps(
+        roots, lambda st: spark.sql(_CLOSE_STEP, links=back, state=st),
+        {"new": F.expr("sum(CASE WHEN new THEN 1 ELSE 0 END)")},
+        lambda m: not m["new"], steps_per_job)
+    fin, _ = materialize(closed.where("final").join(colour, "id")
+                         .select("id", F.col("colour").alias("component")))
+    return fin
+
+
+def strongly_connected_components(graph: FollowGraph, max_rounds: int | None = None,
+                                  steps_per_job: int = 8) -> DataFrame:
     """(id, component) for every vertex; ``max_rounds`` caps the outer
     rounds (vertices left unfinished keep their own id)."""
     spark = graph.edges.sparkSession
     with fixed_partitioning(spark):
-        V, _ = materialize(graph.vertices.select("id"))
-        E, _ = materialize(graph.edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+        count = {"n": F.count(F.lit(1))}
+        E, m = materialize(graph.edges.where(F.col("src") != F.col("dst"))
+                           .select("src", "dst").distinct().repartition("src"), count)
+        n = m["n"]
         done: list[DataFrame] = []
         rounds = 0
-        while max_rounds is None or rounds < max_rounds:
-            V, E, trimmed = _trim(V, E)
-            done.extend(t.select("id", F.col("id").alias("component")) for t in trimmed)
-            V, mv = materialize(V, {"n": F.count(F.lit(1))})
-            if not mv["n"]:
+        while n and (max_rounds is None or rounds < max_rounds):
+            E, n = _trim(E, steps_per_job)
+            if not n:
                 break
-            colour = _forward_colour(V, E)
-            fin, _ = materialize(_backward_close(colour, E))
+            fin = _scc_round(E, steps_per_job)
             done.append(fin)
-            V = V.join(fin, "id", "left_anti")
-            E = (E.join(fin.select(F.col("id").alias("src")), "src", "left_anti")
-                 .join(fin.select(F.col("id").alias("dst")), "dst", "left_anti"))
+            gone = fin.select("id")
+            E, m = materialize(E.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+                               .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), count)
+            n = m["n"]
             rounds += 1
-        labelled = V.select("id", F.col("id").alias("component"))  # unfinished (capped) vertices
+        assigned = None
         for part in done:
-            labelled = labelled.unionByName(part)
+            assigned = part if assigned is None else assigned.unionByName(part)
+        v = graph.vertices.select("id")
+        if assigned is None:
+            labelled = v.select("id", F.col("id").alias("component"))
+        else:
+            labelled = (v.join(assigned.withColumnRenamed("id", "aid"), F.col("id") == F.col("aid"), "left")
+                        .select("id", F.coalesce("component", "id").alias("component")))
         out, _ = materialize(labelled)
     return out
