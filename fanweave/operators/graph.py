@@ -34,6 +34,15 @@ class FollowGraph:
         e, _ = materialize(self.edges)
         return FollowGraph(v, e)
 
+    def materialize_counted(self) -> tuple["FollowGraph", int]:
+        """``materialize`` that also returns the number of edges."""
+        from pyspark.sql import functions as F
+
+        from .iterate import materialize
+        v, _ = materialize(self.vertices)
+        e, m = materialize(self.edges, {"n": F.count(F.lit(1))})
+        return FollowGraph(v, e), int(m["n"] or 0)
+
     def unpersist(self) -> None:
         self.vertices.unpersist()
         self.edges.unpersist()

@@ -82,12 +82,22 @@ def run_supersteps(state: DataFrame, step, metrics: dict[str, Column], done,
 
 
 def decay_batch(tol: float, factor: float, cap: int = 16) -> Callable[[dict], int]:
-    """Supersteps per job for a contraction: if the largest live delta shrinks
-    by about ``factor`` per superstep, about log(tol / max_delta) / log(factor)
-    supersteps remain; run that many (at most ``cap``) in the next job."""
+    """Supersteps per job for a contraction.  If the largest live delta shrinks
+    by a rate r per superstep, about log(tol / max_delta) / log(r) supersteps
+    remain; run that many (at most ``cap``) in the next job.  r starts at
+    ``factor`` and is then measured from the last two jobs."""
+    seen: list[tuple[float, int]] = []  # (max_delta, batch that produced it)
+    last_batch = [0]
+
     def batch(m: dict) -> int:
         top = m.get("max_delta") or 0.0
         if top <= tol:
             return 1
-        return min(cap, max(1, math.ceil(math.log(tol / top) / math.log(factor))))
+        rate = factor
+        if seen and last_batch[0] and 0 < top < seen[-1][0]:
+            rate = min(0.99, max(0.05, (top / seen[-1][0]) ** (1.0 / last_batch[0])))
+        seen.append((top, last_batch[0]))
+        k = min(cap, max(1, math.ceil(math.log(tol / top) / math.log(rate))))
+        last_batch[0] = k
+        return k
     return batch

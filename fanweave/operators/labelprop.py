@@ -22,36 +22,61 @@ from ..functions.expr import LPA_STEPS
 from ..session import shuffle_partitions
 from .graph import FollowGraph
 from .iterate import fixed_partitioning, materialize, run_supersteps
+from .pagerank import hot_threshold
 
 
-def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job: int = 10) -> DataFrame:
-    """(id, label) for every vertex after ``steps`` synchronous steps."""
+def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job: int = 10,
+                      hot_degree: int | None = None) -> DataFrame:
+    """(id, label) for every vertex after ``steps`` synchronous steps.
+
+    Labels travel both ways, so a celebrity is a hot *sender*: the messages
+    of a vertex with more than ``hot_degree`` receivers (default
+    ``hot_threshold``) leave the co-partitioned table, are spread by receiver
+    and meet their sender's label through a broadcast (at most
+    edges / threshold such vertices); with hot vertices each step is its own job.
+    """
     spark = graph.edges.sparkSession
-    graph = graph.materialize()
+    graph, n_edges = graph.materialize_counted()
     n = shuffle_partitions(spark)
+    hot = hot_threshold(2 * n_edges, n, hot_degree)
     with fixed_partitioning(spark):
         e = graph.edges.select("src", "dst")
         # (sender, receiver, m): receiver hears sender's label m times.
-        senders = (e.select(F.col("src").alias("sender"), F.col("dst").alias("receiver"))
-                   .unionByName(e.select(F.col("dst").alias("sender"), F.col("src").alias("receiver")))
-                   .groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("m")))
-        S, _ = materialize(senders.repartition(n, "sender"))
-        init = (S.select(F.col("sender").alias("id")).distinct()
-                .select("id", F.col("id").alias("label")).repartition(n, "id"))
-
-        sql = """
-            SELECT receiver AS id, max_by(label, struct(c, -label)) AS label
-            FROM (SELECT /*+ SHUFFLE_HASH(s) */ m.receiver, s.label, sum(m.m) AS c
-                  FROM {senders} m JOIN {state} s ON m.sender = s.id
-                  GROUP BY m.receiver, s.label)
+        pairs = (e.select(F.col("src").alias("sender"), F.col("dst").alias("receiver"))
+                 .unionByName(e.select(F.col("dst").alias("sender"), F.col("src").alias("receiver")))
+                 .groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("m")))
+        fanout = pairs.groupBy("sender").agg(F.count(F.lit(1)).alias("k"))
+        tagged = pairs.join(fanout, "sender").select(
+            "sender", "receiver", "m", (F.col("k") > hot).alias("sender_hot"))
+        hot_of = fanout.select(F.col("sender").alias("receiver"), (F.col("k") > hot).alias("receiver_hot"))
+        tagged = tagged.join(hot_of, "receiver")
+        S, _ = materialize(tagged.where(~F.col("sender_hot")).drop("sender_hot").repartition(n, "sender"))
+        H, mh = materialize(tagged.where("sender_hot").select("sender", "receiver", "m", "receiver_hot")
+                            .repartition(n, "receiver"), {"n": F.count(F.lit(1))})
+        n_hot = mh["n"]
+        init = (fanout.select(F.col("sender").alias("id"), F.col("sender").alias("label"),
+                              (F.col("k") > hot).alias("hot")).repartition(n, "id"))
+        hot_part = "" if not n_hot else """
+                  UNION ALL
+                  SELECT /*+ BROADCAST(h) */ x.receiver, x.receiver_hot, h.label, x.m
+                  FROM {hot} x JOIN (SELECT id, label FROM {state} WHERE hot) h ON x.sender = h.id"""
+        sql = f"""
+            SELECT receiver AS id, max_by(label, struct(c, -label)) AS label, max(hot) AS hot
+            FROM (SELECT receiver, label, sum(m) AS c, max(receiver_hot) AS hot
+                  FROM (SELECT /*+ SHUFFLE_HASH(s) */ x.receiver, x.receiver_hot, s.label, x.m
+                        FROM {{senders}} x JOIN {{state}} s ON x.sender = s.id{hot_part})
+                  GROUP BY receiver, label)
             GROUP BY receiver"""
 
         def step(state: DataFrame) -> DataFrame:
+            if n_hot:
+                return spark.sql(sql, senders=S, hot=H, state=state)
             return spark.sql(sql, senders=S, state=state)
 
-        state, _, _ = run_supersteps(init, step, {}, lambda m: False, steps_per_job, steps)
+        state, _, _ = run_supersteps(init, step, {}, lambda m: False,
+                                     1 if n_hot else steps_per_job, steps)
         out, _ = materialize(
-            graph.vertices.select("id").join(state.withColumnRenamed("id", "lid"),
+            graph.vertices.select("id").join(state.select(F.col("id").alias("lid"), "label"),
                                              F.col("id") == F.col("lid"), "left")
             .select("id", F.coalesce("label", "id").alias("label")))
     return out

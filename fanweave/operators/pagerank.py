@@ -34,18 +34,39 @@ def _out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
 
 
-def links(graph: FollowGraph, n_parts: int) -> DataFrame:
-    """(src, dst, w, self): w = multiplicity / outdegree(src) for each distinct
-    edge, plus a self row (v, v, 0, true) per vertex.  Checkpointed,
-    hash-partitioned on ``src``."""
+def hot_threshold(n_edges: int, n_parts: int, hot_degree: int | None = None) -> int:
+    """Out-degree above which a vertex's edges would overload its partition:
+    twice an average partition (at least 100k edges).  At most
+    n_edges / threshold vertices can be hot, which bounds their broadcast."""
+    if hot_degree is not None:
+        return hot_degree
+    return max(100_000, 2 * n_edges // max(1, n_parts))
+
+
+def links(graph: FollowGraph, n_parts: int, hot: int) -> tuple[DataFrame, DataFrame, int]:
+    """Split edge tables for the supersteps.
+
+    * ``cold`` (src, dst, w, self): w = multiplicity / outdegree(src) for each
+      distinct edge of a vertex with out-degree <= ``hot``, plus a self row
+      (v, v, 0, true) per vertex; checkpointed, hash-partitioned on ``src``
+      (co-partitioned with the state).
+    * ``hot_edges`` (src, dst, w): the edges of vertices above ``hot``,
+      partitioned on ``dst`` so one vertex's edges spread over every task;
+      their senders reach them through a broadcast of the hot vertices' state.
+    Returns (cold, hot_edges, number of hot edges).
+    """
     deg = _out_degrees(graph.edges)
     pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     weighted = pairs.join(deg, "src").select(
-        "src", "dst", F.expr("m * (1.0 / deg)").alias("w"), F.lit(False).alias("self"))
+        "src", "dst", F.expr("m * (1.0 / deg)").alias("w"), (F.col("deg") > hot).alias("hot"))
     selfs = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"),
                                   F.lit(0.0).alias("w"), F.lit(True).alias("self"))
-    table, _ = materialize(weighted.unionByName(selfs).repartition(n_parts, "src"))
-    return table
+    cold, _ = materialize(weighted.where(~F.col("hot"))
+                          .select("src", "dst", "w", F.lit(False).alias("self"))
+                          .unionByName(selfs).repartition(n_parts, "src"))
+    hot_edges, m = materialize(weighted.where("hot").select("src", "dst", "w")
+                               .repartition(n_parts, "dst"), {"n": F.count(F.lit(1))})
+    return cold, hot_edges, m["n"]
 
 
 def vertex_out_degrees(graph: FollowGraph) -> DataFrame:
@@ -61,42 +82,58 @@ def _active(tol: float) -> str:
 
 
 def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PROB,
-             max_steps: int | None = None, steps_per_job=None) -> DataFrame:
+             max_steps: int | None = None, steps_per_job=None,
+             hot_degree: int | None = None) -> DataFrame:
     """(id, rank) for every vertex; ranks sum to the vertex count.
 
     ``steps_per_job``: supersteps per Spark job; default adapts to the
-    observed largest delta (see ``iterate.decay_batch``)."""
+    observed largest delta (see ``iterate.decay_batch``).  ``hot_degree``:
+    out-degree above which a vertex's edges leave the co-partitioned table
+    (default ``hot_threshold``); with hot vertices every superstep is its own
+    job, since the state is then read twice (join + broadcast)."""
     spark = graph.edges.sparkSession
-    graph = graph.materialize()
+    graph, n_edges = graph.materialize_counted()
     n = shuffle_partitions(spark)
     d = 1.0 - reset
+    hot = hot_threshold(n_edges, n, hot_degree)
     with fixed_partitioning(spark):
-        L = links(graph, n)
+        L, H, n_hot = links(graph, n, hot)
         init = (vertex_out_degrees(graph)
                 .select("id", "deg", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"))
                 .repartition(n, "id"))
         cond = _active(tol)
-
+        s_cond = "s." + cond.replace(" AND ", " AND s.")
+        hot_part = "" if not n_hot else f"""
+                        UNION ALL
+                        SELECT /*+ BROADCAST(h) */ e.dst, false AS self, NULL AS deg,
+                               NULL AS rank, h.delta, e.w
+                        FROM {{hot}} e JOIN (SELECT id, delta FROM {{state}} s
+                                             WHERE {s_cond} AND s.deg > {hot}) h
+                          ON e.src = h.id"""
         sql = f"""
             SELECT dst AS id, deg,
                    CASE WHEN msg IS NULL THEN rank ELSE rank + {d!r} * msg END AS rank,
                    CASE WHEN msg IS NULL THEN 0.0 ELSE (rank + {d!r} * msg) - rank END AS delta
-            FROM (SELECT /*+ SHUFFLE_HASH(s) */ l.dst,
-                         max(CASE WHEN l.self THEN s.deg END) AS deg,
-                         max(CASE WHEN l.self THEN s.rank END) AS rank,
-                         sum(CASE WHEN NOT l.self THEN s.delta * l.w END) AS msg
-                  FROM {{links}} l JOIN {{state}} s
-                    ON l.src = s.id AND (l.self OR (s.{cond.replace(' AND ', ' AND s.')}))
-                  GROUP BY l.dst)"""
+            FROM (SELECT dst,
+                         max(CASE WHEN self THEN deg END) AS deg,
+                         max(CASE WHEN self THEN rank END) AS rank,
+                         sum(CASE WHEN NOT self THEN delta * w END) AS msg
+                  FROM (SELECT /*+ SHUFFLE_HASH(s) */ l.dst, l.self, s.deg, s.rank, s.delta, l.w
+                        FROM {{links}} l JOIN {{state}} s
+                          ON l.src = s.id AND (l.self OR ({s_cond})){hot_part})
+                  GROUP BY dst)"""
 
         def step(state: DataFrame) -> DataFrame:
+            if n_hot:
+                return spark.sql(sql, links=L, hot=H, state=state)
             return spark.sql(sql, links=L, state=state)
 
         metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
                    "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)"),
                    "total": F.sum("rank"), "n": F.count(F.lit(1))}
+        batch = 1 if n_hot else (steps_per_job or decay_batch(tol, d))
         state, m, _ = run_supersteps(init, step, metrics, lambda m: not m["active"],
-                                     steps_per_job or decay_batch(tol, d), max_steps)
+                                     batch, max_steps)
     if not m["n"]:
         return state.select("id", "rank")
     factor = float(m["n"]) / float(m["total"])
@@ -116,13 +153,15 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
     so the live state stays bounded while every source is still processed.
     """
     spark = graph.edges.sparkSession
-    graph = graph.materialize()
+    graph, _ = graph.materialize_counted()
     n = shuffle_partitions(spark)
     d = 1.0 - reset
     cond = _active(tol)
     results = []
     with fixed_partitioning(spark):
-        L = links(graph, n)
+        # Pair state for a hot vertex is not bounded (one row per source that
+        # reaches it), so no broadcast split here: every edge stays co-partitioned.
+        L, _, _ = links(graph, n, hot=2 ** 62)
         vdeg = vertex_out_degrees(graph)
         src_ids = (sources.select("id").distinct() if sources is not None
                    else graph.vertices.select("id"))

@@ -37,6 +37,14 @@ def test_pagerank_steps_per_job_do_not_change_result(hand_graph, steps_per_job):
         assert ranks[k] == pytest.approx(v, abs=1e-12)
 
 
+@pytest.mark.parametrize("hot_degree", [0, 1])
+def test_pagerank_hot_sources_split(hand_graph, hot_degree):
+    """Out-degree above hot_degree moves a vertex's edges to the broadcast path."""
+    ranks = by_id(pagerank(hand_graph, hot_degree=hot_degree))
+    for k, v in PAGERANK.items():
+        assert ranks[k] == pytest.approx(v, abs=1e-12)
+
+
 def test_personalized_pagerank(hand_graph, spark):
     ppr = personalized_pagerank(hand_graph)
     rows = {(r.source - OFF, r.id - OFF): r.rank for r in ppr.collect()}
@@ -86,6 +94,15 @@ def test_label_propagation_step_count_is_honoured(hand_graph):
     assert forty[5] - OFF == 5  # self-loop only: hears itself
 
 
+@pytest.mark.parametrize("hot_degree", [0, 1])
+def test_label_propagation_hot_senders(spark, hot_degree):
+    from fanweave.plans.catalog import graph_of
+    g = graph_of(spark, "/root/testdata/sf0.001", "mid")
+    plain = by_id(label_propagation(g, 6), value="label", offset=0)
+    split = by_id(label_propagation(g, 6, hot_degree=hot_degree), value="label", offset=0)
+    assert plain == split
+
+
 def test_assembly_defaults_and_duplicates(spark):
     from fanweave.operators.graph import assemble
     users = spark.createDataFrame(
