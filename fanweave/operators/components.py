@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import loop_partitions
 from .graph import FollowGraph
 from .iterate import fixed_partitioning, materialize, run_supersteps
 
@@ -72,7 +73,8 @@ def _star_round(E: DataFrame) -> tuple[DataFrame, dict]:
 def connected_components(graph: FollowGraph, max_rounds: int | None = None) -> DataFrame:
     """(id, component) for every vertex (edges taken as undirected)."""
     spark = graph.edges.sparkSession
-    with fixed_partitioning(spark):
+    graph, n_edges = graph.materialize_counted()
+    with fixed_partitioning(spark, loop_partitions(spark, 2 * n_edges)):
         E, _ = materialize(_undirected(graph.edges))
         rounds = 0
         while max_rounds is None or rounds < max_rounds:
@@ -188,7 +190,8 @@ def strongly_connected_components(graph: FollowGraph, max_rounds: int | None = N
     """(id, component) for every vertex; ``max_rounds`` caps the outer
     rounds (vertices left unfinished keep their own id)."""
     spark = graph.edges.sparkSession
-    with fixed_partitioning(spark):
+    graph, n_edges = graph.materialize_counted()
+    with fixed_partitioning(spark, loop_partitions(spark, 3 * n_edges)):
         count = {"n": F.count(F.lit(1))}
         E, m = materialize(graph.edges.where(F.col("src") != F.col("dst"))
                            .select("src", "dst").distinct().repartition("src"), count)

@@ -43,15 +43,21 @@ def materialize(df: DataFrame, metrics: dict[str, Column] | None = None
 
 
 @contextmanager
-def fixed_partitioning(spark: SparkSession):
-    """Run a loop with adaptive execution off (restored on exit)."""
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+def fixed_partitioning(spark: SparkSession, partitions: int | None = None):
+    """Run a loop with adaptive execution off and (optionally) every shuffle
+    at ``partitions`` partitions, so state and edge tables stay co-partitioned.
+    Both settings are restored on exit."""
+    keys = {"spark.sql.adaptive.enabled": "false"}
+    if partitions is not None:
+        keys["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def run_supersteps(state: DataFrame, step, metrics: dict[str, Column], done,

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import LPA_STEPS
-from ..session import shuffle_partitions
+from ..session import loop_partitions
 from .graph import FollowGraph
 from .iterate import fixed_partitioning, materialize, run_supersteps
 from .pagerank import hot_threshold
@@ -37,9 +37,9 @@ def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job:
     """
     spark = graph.edges.sparkSession
     graph, n_edges = graph.materialize_counted()
-    n = shuffle_partitions(spark)
+    n = loop_partitions(spark, 2 * n_edges)
     hot = hot_threshold(2 * n_edges, n, hot_degree)
-    with fixed_partitioning(spark):
+    with fixed_partitioning(spark, n):
         e = graph.edges.select("src", "dst")
         # (sender, receiver, m): receiver hears sender's label m times.
         pairs = (e.select(F.col("src").alias("sender"), F.col("dst").alias("receiver"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import RESET_PROB, TOLERANCE, tie_key
-from ..session import shuffle_partitions
+from ..session import loop_partitions
 from .graph import FollowGraph
 from .iterate import decay_batch, fixed_partitioning, materialize, run_supersteps
 
@@ -93,10 +93,10 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
     job, since the state is then read twice (join + broadcast)."""
     spark = graph.edges.sparkSession
     graph, n_edges = graph.materialize_counted()
-    n = shuffle_partitions(spark)
+    n = loop_partitions(spark, n_edges)
     d = 1.0 - reset
     hot = hot_threshold(n_edges, n, hot_degree)
-    with fixed_partitioning(spark):
+    with fixed_partitioning(spark, n):
         L, H, n_hot = links(graph, n, hot)
         init = (vertex_out_degrees(graph)
                 .select("id", "deg", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"))
@@ -153,12 +153,12 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
     so the live state stays bounded while every source is still processed.
     """
     spark = graph.edges.sparkSession
-    graph, _ = graph.materialize_counted()
-    n = shuffle_partitions(spark)
+    graph, n_edges = graph.materialize_counted()
+    n = loop_partitions(spark, n_edges)
     d = 1.0 - reset
     cond = _active(tol)
     results = []
-    with fixed_partitioning(spark):
+    with fixed_partitioning(spark, n):
         # Pair state for a hot vertex is not bounded (one row per source that
         # reaches it), so no broadcast split here: every edge stays co-partitioned.
         L, _, _ = links(graph, n, hot=2 ** 62)

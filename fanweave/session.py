@@ -72,3 +72,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# Rows per partition the iterative loops aim for (bounded by the session's
+# shuffle partitions above and its default parallelism below).
+LOOP_ROWS_PER_PARTITION = 2_000_000
+
+
+def loop_partitions(spark: SparkSession, n_rows: int) -> int:
+    """Partition count for a superstep loop over ``n_rows`` edge rows.
+
+    Adaptive execution is off inside the loops (it would break their fixed
+    co-partitioning), so tiny inputs must not be spread over hundreds of
+    near-empty tasks, and large ones must not exceed the configured width."""
+    upper = shuffle_partitions(spark)
+    lower = min(upper, max(1, spark.sparkContext.defaultParallelism))
+    want = -(-max(0, n_rows) // LOOP_ROWS_PER_PARTITION)
+    return max(lower, min(upper, want))
