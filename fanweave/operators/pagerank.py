@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import RESET_PROB, TOLERANCE, tie_key
 from ..session import loop_partitions
 from .graph import FollowGraph
-from .iterate import decay_batch, fixed_partitioning, materialize, run_supersteps
+from .iterate import decay_batch, fixed_partitioning, materialize
 
 
 def _out_degrees(edges: DataFrame) -> DataFrame:
@@ -46,25 +46,30 @@ def hot_threshold(n_edges: int, n_parts: int, hot_degree: int | None = None) ->
 def links(graph: FollowGraph, n_parts: int, hot: int) -> tuple[DataFrame, DataFrame, int]:
     """Split edge tables for the supersteps.
 
-    * ``cold`` (src, dst, w, self): w = multiplicity / outdegree(src) for each
-      distinct edge of a vertex with out-degree <= ``hot``, plus a self row
-      (v, v, 0, true) per vertex; checkpointed, hash-partitioned on ``src``
-      (co-partitioned with the state).
-    * ``hot_edges`` (src, dst, w): the edges of vertices above ``hot``,
-      partitioned on ``dst`` so one vertex's edges spread over every task;
-      their senders reach them through a broadcast of the hot vertices' state.
+    * ``cold`` (src, dst, w, dst_deg, self): w = multiplicity / outdegree(src)
+      for each distinct edge of a vertex with out-degree <= ``hot``, plus a
+      self row (v, v, 0, deg(v), true) per vertex; checkpointed,
+      hash-partitioned on ``src`` (co-partitioned with the state).
+    * ``hot_edges`` (src, dst, w, dst_deg): the edges of vertices above
+      ``hot``, partitioned on ``dst`` so one vertex's edges spread over every
+      task; their senders reach them through a broadcast of the hot
+      vertices' state.
+    ``dst_deg`` (the receiver's out-degree) tells whether a receiver may send.
     Returns (cold, hot_edges, number of hot edges).
     """
     deg = _out_degrees(graph.edges)
+    vdeg = vertex_out_degrees(graph)
     pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    weighted = pairs.join(deg, "src").select(
-        "src", "dst", F.expr("m * (1.0 / deg)").alias("w"), (F.col("deg") > hot).alias("hot"))
-    selfs = graph.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"),
-                                  F.lit(0.0).alias("w"), F.lit(True).alias("self"))
+    weighted = (pairs.join(deg, "src")
+                .join(vdeg.select(F.col("id").alias("dst"), F.col("deg").alias("dst_deg")), "dst")
+                .select("src", "dst", F.expr("m * (1.0 / deg)").alias("w"), "dst_deg",
+                        (F.col("deg") > hot).alias("hot")))
+    selfs = vdeg.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"),
+                        F.col("deg").alias("dst_deg"), F.lit(True).alias("self"))
     cold, _ = materialize(weighted.where(~F.col("hot"))
-                          .select("src", "dst", "w", F.lit(False).alias("self"))
+                          .select("src", "dst", "w", "dst_deg", F.lit(False).alias("self"))
                           .unionByName(selfs).repartition(n_parts, "src"))
-    hot_edges, m = materialize(weighted.where("hot").select("src", "dst", "w")
+    hot_edges, m = materialize(weighted.where("hot").select("src", "dst", "w", "dst_deg")
                                .repartition(n_parts, "dst"), {"n": F.count(F.lit(1))})
     return cold, hot_edges, m["n"]
 
@@ -81,6 +86,45 @@ def _active(tol: float) -> str:
     return f"delta > {tol!r} AND deg > 0"
 
 
+def _frontier_loop(spark, start: DataFrame, step, keys: list[str], tol: float, d: float,
+                   steps_per_job, max_steps: int | None) -> list[DataFrame]:
+    """Run supersteps job by job over a job-local state (keys, id, deg, delta, acc).
+
+    A job starts from the pairs that may send (delta > tol, deg > 0) with
+    acc = 0; pairs touched during the job ride along (self rows) and collect
+    their rank increments in ``acc``.  At the job's end the increments are set
+    aside (checkpointed) and only the senders go on, so the long tail of a
+    converging run touches a handful of rows, not the whole state.
+    Returns the checkpointed per-job increment tables (keys, id, acc).
+    """
+    cond = _active(tol)
+    metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
+               "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)")}
+    batch_of = steps_per_job if callable(steps_per_job) else (lambda m: steps_per_job)
+    state, m = materialize(start, metrics)
+    increments: list[DataFrame] = []
+    steps = 0
+    while m["active"] and (max_steps is None or steps < max_steps):
+        batch = max(1, batch_of(m))
+        if max_steps is not None:
+            batch = min(batch, max_steps - steps)
+        nxt = state.where(cond).select(*keys, "id", "deg", "delta", F.lit(0.0).alias("acc"))
+        for _ in range(batch):
+            nxt = step(nxt)
+        steps += batch
+        state, m = materialize(nxt, metrics)
+        increments.append(state.select(*keys, "id", "acc"))
+    return increments
+
+
+def _sum_ranks(base: DataFrame, increments: list[DataFrame], keys: list[str]) -> DataFrame:
+    """rank = base rank + every increment (one aggregation at the end)."""
+    parts = base.select(*keys, "id", F.col("rank").alias("acc"))
+    for inc in increments:
+        parts = parts.unionByName(inc)
+    return parts.groupBy(*keys, "id").agg(F.sum("acc").alias("rank"))
+
+
 def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PROB,
              max_steps: int | None = None, steps_per_job=None,
              hot_degree: int | None = None) -> DataFrame:
@@ -98,27 +142,25 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
     hot = hot_threshold(n_edges, n, hot_degree)
     with fixed_partitioning(spark, n):
         L, H, n_hot = links(graph, n, hot)
-        init = (vertex_out_degrees(graph)
-                .select("id", "deg", F.lit(reset).alias("rank"), F.lit(reset).alias("delta"))
-                .repartition(n, "id"))
-        cond = _active(tol)
-        s_cond = "s." + cond.replace(" AND ", " AND s.")
+        vdeg = vertex_out_degrees(graph)
+        start = vdeg.select("id", "deg", F.lit(reset).alias("delta"),
+                            F.lit(0.0).alias("acc")).repartition(n, "id")
+        s_cond = "s." + _active(tol).replace(" AND ", " AND s.")
         hot_part = "" if not n_hot else f"""
                         UNION ALL
-                        SELECT /*+ BROADCAST(h) */ e.dst, false AS self, NULL AS deg,
-                               NULL AS rank, h.delta, e.w
+                        SELECT /*+ BROADCAST(h) */ e.dst, e.dst_deg, false AS self, NULL AS acc,
+                               h.delta, e.w
                         FROM {{hot}} e JOIN (SELECT id, delta FROM {{state}} s
                                              WHERE {s_cond} AND s.deg > {hot}) h
                           ON e.src = h.id"""
         sql = f"""
             SELECT dst AS id, deg,
-                   CASE WHEN msg IS NULL THEN rank ELSE rank + {d!r} * msg END AS rank,
-                   CASE WHEN msg IS NULL THEN 0.0 ELSE (rank + {d!r} * msg) - rank END AS delta
-            FROM (SELECT dst,
-                         max(CASE WHEN self THEN deg END) AS deg,
-                         max(CASE WHEN self THEN rank END) AS rank,
+                   CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS delta,
+                   coalesce(acc, 0.0) + CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS acc
+            FROM (SELECT dst, max(dst_deg) AS deg,
+                         max(CASE WHEN self THEN acc END) AS acc,
                          sum(CASE WHEN NOT self THEN delta * w END) AS msg
-                  FROM (SELECT /*+ SHUFFLE_HASH(s) */ l.dst, l.self, s.deg, s.rank, s.delta, l.w
+                  FROM (SELECT /*+ SHUFFLE_HASH(s) */ l.dst, l.dst_deg, l.self, s.acc, s.delta, l.w
                         FROM {{links}} l JOIN {{state}} s
                           ON l.src = s.id AND (l.self OR ({s_cond})){hot_part})
                   GROUP BY dst)"""
@@ -128,16 +170,15 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
                 return spark.sql(sql, links=L, hot=H, state=state)
             return spark.sql(sql, links=L, state=state)
 
-        metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
-                   "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)"),
-                   "total": F.sum("rank"), "n": F.count(F.lit(1))}
         batch = 1 if n_hot else (steps_per_job or decay_batch(tol, d))
-        state, m, _ = run_supersteps(init, step, metrics, lambda m: not m["active"],
-                                     batch, max_steps)
+        increments = _frontier_loop(spark, start, step, [], tol, d, batch, max_steps)
+        base = vdeg.select("id", F.lit(reset).alias("rank"))
+        ranks, m = materialize(_sum_ranks(base, increments, []),
+                               {"total": F.sum("rank"), "n": F.count(F.lit(1))})
     if not m["n"]:
-        return state.select("id", "rank")
+        return ranks
     factor = float(m["n"]) / float(m["total"])
-    return state.select("id", (F.col("rank") * F.lit(factor)).alias("rank"))
+    return ranks.select("id", (F.col("rank") * F.lit(factor)).alias("rank"))
 
 
 def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
@@ -156,7 +197,7 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
     graph, n_edges = graph.materialize_counted()
     n = loop_partitions(spark, n_edges)
     d = 1.0 - reset
-    cond = _active(tol)
+    s_cond = "s." + _active(tol).replace(" AND ", " AND s.")
     results = []
     with fixed_partitioning(spark, n):
         # Pair state for a hot vertex is not bounded (one row per source that
@@ -166,42 +207,36 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
         src_ids = (sources.select("id").distinct() if sources is not None
                    else graph.vertices.select("id"))
         seeds_all = src_ids.join(vdeg, "id").select(F.col("id").alias("source"), "id", "deg")
-        # A pair first reached by a message needs the receiver's out-degree.
-        L2, _ = materialize(L.join(vdeg.select(F.col("id").alias("dst"), F.col("deg").alias("dst_deg")),
-                                   "dst").repartition(n, "src"))
-
-        # Messages travel along real edges of active pairs; every pair also
-        # meets its own self row so the group holds its previous state.
+        # Messages travel along real edges of active pairs; every touched pair
+        # also meets its own self row so its increment rides along.
         sql = f"""
             SELECT source, dst AS id, deg,
-                   CASE WHEN msg IS NULL THEN coalesce(old, 0.0)
-                        ELSE coalesce(old, 0.0) + {d!r} * msg END AS rank,
-                   CASE WHEN msg IS NULL THEN 0.0
-                        ELSE (coalesce(old, 0.0) + {d!r} * msg) - coalesce(old, 0.0) END AS delta
+                   CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS delta,
+                   coalesce(acc, 0.0) + CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS acc
             FROM (SELECT source, dst, max(dst_deg) AS deg,
-                         max(CASE WHEN self THEN rank END) AS old,
+                         max(CASE WHEN self THEN acc END) AS acc,
                          sum(CASE WHEN NOT self THEN delta * w END) AS msg
                   FROM (SELECT /*+ SHUFFLE_HASH(l) */ s.source, l.dst, l.dst_deg, l.self,
-                               s.rank, s.delta, l.w
+                               s.acc, s.delta, l.w
                         FROM {{links}} l JOIN {{state}} s
-                          ON l.src = s.id AND (l.self OR (s.{cond.replace(' AND ', ' AND s.')}))
+                          ON l.src = s.id AND (l.self OR ({s_cond}))
                         DISTRIBUTE BY l.dst)
                   GROUP BY source, dst)"""
 
         def step(state: DataFrame) -> DataFrame:
-            return spark.sql(sql, links=L2, state=state)
+            return spark.sql(sql, links=L, state=state)
 
-        metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
-                   "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)")}
         for b in range(batches):
             seeds = seeds_all if batches == 1 else seeds_all.where(
                 F.pmod(F.xxhash64("source"), F.lit(batches)) == b)
-            init = (seeds.select("source", "id", "deg", F.lit(1.0).alias("rank"),
-                                 F.lit(1.0).alias("delta")).repartition(n, "id"))
-            state, _, _ = run_supersteps(init, step, metrics, lambda m: not m["active"],
-                                         steps_per_job or decay_batch(tol, d), max_steps)
-            totals = state.groupBy("source").agg(F.sum("rank").alias("total"))
-            part, _ = materialize(state.join(totals, "source").select(
+            start = seeds.select("source", "id", "deg", F.lit(1.0).alias("delta"),
+                                 F.lit(0.0).alias("acc")).repartition(n, "id")
+            increments = _frontier_loop(spark, start, step, ["source"], tol, d,
+                                        steps_per_job or decay_batch(tol, d), max_steps)
+            base = seeds.select("source", "id", F.lit(1.0).alias("rank"))
+            ranks = _sum_ranks(base, increments, ["source"])
+            totals = ranks.groupBy("source").agg(F.sum("rank").alias("total"))
+            part, _ = materialize(ranks.join(totals, "source").select(
                 "source", "id", (F.col("rank") / F.col("total")).alias("rank")))
             results.append(part)
     out = results[0]

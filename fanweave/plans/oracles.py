@@ -56,7 +56,7 @@ pr(it, id, deg, rank, delta, active) AS (
   FROM (
     SELECT s.it + 1 AS it, s.id, s.deg,
            CASE WHEN m.msg IS NULL THEN s.rank ELSE s.rank + {D!r} * m.msg END AS rank,
-           CASE WHEN m.msg IS NULL THEN 0.0::DOUBLE ELSE (s.rank + {D!r} * m.msg) - s.rank END AS delta
+           CASE WHEN m.msg IS NULL THEN 0.0::DOUBLE ELSE {D!r} * m.msg END AS delta
     FROM pr s
     LEFT JOIN (SELECT w.dst, sum(p.delta * w.w) AS msg
                FROM pr p JOIN w ON w.src = p.id
@@ -86,7 +86,7 @@ ppr(it, source, id, deg, rank, delta, active) AS (
   FROM (
     SELECT x.it, x.source, x.id, coalesce(x.deg, dd.deg, 0) AS deg,
            CASE WHEN x.msg IS NULL THEN x.old ELSE x.old + {D!r} * x.msg END AS rank,
-           CASE WHEN x.msg IS NULL THEN 0.0::DOUBLE ELSE (x.old + {D!r} * x.msg) - x.old END AS delta
+           CASE WHEN x.msg IS NULL THEN 0.0::DOUBLE ELSE {D!r} * x.msg END AS delta
     FROM (
       SELECT coalesce(s.it, m.it) + 1 AS it, coalesce(s.source, m.source) AS source,
              coalesce(s.id, m.dst) AS id, s.deg, coalesce(s.rank, 0.0::DOUBLE) AS old, m.msg
