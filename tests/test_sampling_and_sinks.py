@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
 
 from fanweave.operators.neighborhood import absent_from, incident_edges
 from fanweave.operators.sampling import fan_sample
