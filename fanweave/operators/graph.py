@@ -22,26 +22,29 @@ class FollowGraph:
 
     vertices: DataFrame
     edges: DataFrame
+    # Edge count, known once both tables are checkpointed (see ``materialize``).
+    n_edges: int | None = None
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "FollowGraph":
         return FollowGraph(self.vertices.persist(level), self.edges.persist(level))
 
     def materialize(self) -> "FollowGraph":
         """Cut both tables' lineage with a reliable checkpoint (one pass over
-        the sources, however many times an algorithm reads the graph)."""
-        from .iterate import materialize
-        v, _ = materialize(self.vertices)
-        e, _ = materialize(self.edges)
-        return FollowGraph(v, e)
+        the sources, however many times the graph is read afterwards).  A
+        graph that is already materialized is returned as it is."""
+        return self.materialize_counted()[0]
 
     def materialize_counted(self) -> tuple["FollowGraph", int]:
         """``materialize`` that also returns the number of edges."""
+        if self.n_edges is not None:
+            return self, self.n_edges
         from pyspark.sql import functions as F
 
         from .iterate import materialize
         v, _ = materialize(self.vertices)
         e, m = materialize(self.edges, {"n": F.count(F.lit(1))})
-        return FollowGraph(v, e), int(m["n"] or 0)
+        n = int(m["n"] or 0)
+        return FollowGraph(v, e, n), n
 
     def unpersist(self) -> None:
         self.vertices.unpersist()

@@ -122,13 +122,13 @@ def q_top_influence(spark, sf):
 
 
 def q_personalized_pagerank_one(spark, sf):
-    g = graph_of(spark, sf, "mid")
+    g = graph_of(spark, sf, "mid").materialize()
     r = rc.personalized_ranks_of(g, _most_active(g))
     return r.select("id", round6(F.col("rank")).alias("rank"))
 
 
 def q_recommend_one(spark, sf):
-    g = graph_of(spark, sf, "mid")
+    g = graph_of(spark, sf, "mid").materialize()
     return rc.recommend_one(g, _most_active(g))
 
 
@@ -170,7 +170,7 @@ def q_community_edges(spark, sf):
 def q_community_edges_incremental(spark, sf):
     """Widen the band from [10, 15) (already stored) to [10, 20): only the
     edges of components of size 15-19 are new."""
-    g = graph_of(spark, sf, "sparse")
+    g = graph_of(spark, sf, "sparse").materialize()
     labels = connected_components(g)
     stored = cm.community_edges(g, labels, lo=10, hi=15)
     return cm.community_edges(g, labels, existing=stored)
@@ -212,13 +212,13 @@ def q_fan_ego_edges(spark, sf):
 
 
 def q_creator_fan_star(spark, sf):
-    g = graph_of(spark, sf, "dense")
+    g = graph_of(spark, sf, "dense").materialize()
     star = nw.creator_fan_star(g, _creator(g, 3), pagerank(g))
     return star.select("Source", "Target", round6(F.col("Weight")).alias("Weight"), "Type")
 
 
 def _band_members(spark, sf):
-    g = graph_of(spark, sf, "sparse")
+    g = graph_of(spark, sf, "sparse").materialize()
     return g, cm.members_in_band(connected_components(g)).select("id")
 
 

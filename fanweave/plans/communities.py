@@ -19,7 +19,9 @@ from ..operators.neighborhood import absent_from, edges_of_components
 
 def community_members(graph: FollowGraph, labels: DataFrame | None = None) -> DataFrame:
     """(component, id, name) for every vertex."""
-    labels = labels if labels is not None else connected_components(graph)
+    if labels is None:
+        graph = graph.materialize()
+        labels = connected_components(graph)
     return graph.vertices.join(labels, "id").select("component", "id", "name")
 
 
@@ -45,7 +47,9 @@ def community_census(graph: FollowGraph, labels: DataFrame | None = None) -> Dat
 def isolated_users(graph: FollowGraph, labels: DataFrame | None = None) -> DataFrame:
     """Users alone in their component, as (component, line) with
     line = ``component->name`` (a one-member list, so formatting is bounded)."""
-    labels = labels if labels is not None else connected_components(graph)
+    if labels is None:
+        graph = graph.materialize()
+        labels = connected_components(graph)
     single = community_sizes(labels).where("size = 1").select("component")
     members = community_members(graph, labels).join(single, "component")
     return members.select("component",
@@ -64,7 +68,9 @@ def community_edges(graph: FollowGraph, labels: DataFrame | None = None,
     """M6: (Source, Target, Type) of every edge touching a member of a
     component with lo <= size < hi, each once; with ``existing`` only the
     edges not stored yet (insert-if-absent)."""
-    labels = labels if labels is not None else connected_components(graph)
+    if labels is None:
+        graph = graph.materialize()
+        labels = connected_components(graph)
     members = members_in_band(labels, lo, hi)
     return absent_from(edges_of_components(graph.edges, members), existing)
 

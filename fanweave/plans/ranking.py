@@ -30,8 +30,11 @@ def top_fans(graph: FollowGraph, k: int = 10) -> DataFrame:
 
 
 def influence_ranking(graph: FollowGraph, ranks: DataFrame | None = None) -> DataFrame:
-    """M2: (id, name, intro, rank) for every vertex, most influential first."""
-    ranks = ranks if ranks is not None else pagerank(graph)
+    """M2: (id, name, intro, rank) for every vertex, most influential first.
+    The graph is materialized once and shared by PageRank and the final join."""
+    if ranks is None:
+        graph = graph.materialize()
+        ranks = pagerank(graph)
     return (graph.vertices.join(ranks, "id")
             .select("id", "name", "intro", "rank")
             .orderBy(tie_key(F.col("rank")).desc(), F.asc("id")))
