@@ -80,3 +80,16 @@ def test_id_list_roundtrip_and_alt_layout(spark):
     alt.write.parquet(f"{base}/focus")
     e = read_follows(spark, f"{base}/focus", **ALT_LAYOUT).collect()
     assert [(r.src, r.dst, r.weight) for r in e] == [(7, 8, 1.0)]
+
+
+def test_loop_partitions_follow_data_size(spark):
+    from fanweave.session import LOOP_ROWS_PER_PARTITION, loop_partitions
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        lower = min(200, spark.sparkContext.defaultParallelism)
+        assert loop_partitions(spark, 1000) == lower            # tiny: no 200 empty tasks
+        assert loop_partitions(spark, 50 * LOOP_ROWS_PER_PARTITION) == max(lower, 50)
+        assert loop_partitions(spark, 10 ** 15) == 200          # huge: configured width caps it
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
