@@ -24,6 +24,9 @@ class FollowGraph:
     edges: DataFrame
     # Edge count, known once both tables are checkpointed (see ``materialize``).
     n_edges: int | None = None
+    # (id, attr struct<name, intro>) of the users, one row per id, when known:
+    # lets a job that only needs attributes of edge endpoints skip the vertex table.
+    user_attrs: DataFrame | None = None
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "FollowGraph":
         return FollowGraph(self.vertices.persist(level), self.edges.persist(level))
@@ -44,7 +47,7 @@ class FollowGraph:
         v, _ = materialize(self.vertices)
         e, m = materialize(self.edges, {"n": F.count(F.lit(1))})
         n = int(m["n"] or 0)
-        return FollowGraph(v, e, n), n
+        return FollowGraph(v, e, n, self.user_attrs), n
 
     def unpersist(self) -> None:
         self.vertices.unpersist()
@@ -75,7 +78,21 @@ def assemble(users: DataFrame, follows: DataFrame,
         "id",
         F.when(known, F.col("attr.name")).otherwise(F.lit(default[0])).alias("name"),
         F.when(known, F.col("attr.intro")).otherwise(F.lit(default[1])).alias("intro"))
-    return FollowGraph(vertices, edges)
+    return FollowGraph(vertices, edges, user_attrs=attrs)
+
+
+def attributes_of(graph: FollowGraph, ids: DataFrame,
+                  default: tuple[str, str] = (UNKNOWN, UNKNOWN)) -> DataFrame:
+    """(id, name, intro) for ``ids`` that are vertices of ``graph`` (e.g. edge
+    endpoints), from the user attributes when the graph keeps them, so the
+    vertex table (a pass over all edges) is not needed."""
+    if graph.user_attrs is None:
+        return ids.join(graph.vertices, "id")
+    known = F.col("attr").isNotNull()
+    return ids.join(graph.user_attrs, "id", "left").select(
+        *[c for c in ids.columns],
+        F.when(known, F.col("attr.name")).otherwise(F.lit(default[0])).alias("name"),
+        F.when(known, F.col("attr.intro")).otherwise(F.lit(default[1])).alias("intro"))
 
 
 def from_edges(edges: DataFrame, default: tuple[str, str] = (UNKNOWN, UNKNOWN)) -> FollowGraph:
