@@ -25,19 +25,29 @@ from ..functions.expr import FAN_SAMPLE_FRACTION, floor_fraction
 
 
 def fan_sample(edges: DataFrame, creators: DataFrame, fraction: float = FAN_SAMPLE_FRACTION,
-               buckets: int = 64) -> DataFrame:
-    """(creator, fan) rows, one per sampled fan edge (a fan followed twice can appear twice)."""
+               buckets: int = 64, split_rows: int = 100_000) -> DataFrame:
+    """(creator, fan) rows, one per sampled fan edge (a fan followed twice can appear twice).
+
+    Only creators with more than ``split_rows`` distinct fans are split into
+    ``buckets`` quantile ranges (the sketch aggregate runs for them alone);
+    every other creator is a single range, bounded by ``split_rows`` rows."""
     ids = creators.select(F.col("id").alias("dst")).distinct()
     fan = edges.join(ids, "dst", "left_semi")
     counts = fan.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("m"))
+    per_creator = (counts.groupBy("dst").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("fans"))
+                   .withColumn("k", floor_fraction(F.col("n"), fraction))
+                   .where("k > 0"))
+    placed = counts.join(per_creator.select("dst", "k", "fans"), "dst")
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = (F.percentile_approx("src", probs, 10000) if probs
-              else F.array().cast("array<bigint>"))
-    per_creator = counts.groupBy("dst").agg(F.sum("m").alias("n"), bounds.alias("bounds"))
-    per_creator = per_creator.withColumn("k", floor_fraction(F.col("n"), fraction))
-    placed = counts.join(per_creator.where("k > 0"), "dst").select(
-        "dst", "src", "m", "k",
-        F.size(F.filter("bounds", lambda b: b < F.col("src"))).alias("bucket"))
+    if probs:
+        hot = per_creator.where(F.col("fans") > split_rows).select("dst")
+        bounds = (counts.join(hot, "dst", "left_semi").groupBy("dst")
+                  .agg(F.percentile_approx("src", probs, 10000).alias("bounds")))
+        placed = placed.join(bounds, "dst", "left")
+        bucket = F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("src"))), F.lit(0))
+    else:
+        bucket = F.lit(0)
+    placed = placed.select("dst", "src", "m", "k", bucket.alias("bucket"))
     bucket_tot = placed.groupBy("dst", "bucket").agg(F.sum("m").alias("bm"))
     w_off = Window.partitionBy("dst").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = bucket_tot.select("dst", "bucket", F.coalesce(F.sum("bm").over(w_off), F.lit(0)).alias("off"))

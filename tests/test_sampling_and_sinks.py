@@ -21,8 +21,8 @@ def brute_sample(edges, creators, fraction):
     return sorted(out)
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 16])
-def test_fan_sample_matches_brute_force(spark, buckets):
+@pytest.mark.parametrize("buckets,split_rows", [(1, 0), (3, 0), (16, 0), (16, 40), (16, 10 ** 6)])
+def test_fan_sample_matches_brute_force(spark, buckets, split_rows):
     rnd = random.Random(7)
     edges = []
     for _ in range(600):  # one hot creator (0) with a third of the edges, parallel edges included
@@ -31,7 +31,8 @@ def test_fan_sample_matches_brute_force(spark, buckets):
     creators = sorted({d for _, d in edges})
     cdf = spark.createDataFrame([(c,) for c in creators], "id long")
     for fraction in (0.1, 0.35):
-        got = sorted((r.creator, r.fan) for r in fan_sample(df, cdf, fraction, buckets).collect())
+        got = sorted((r.creator, r.fan)
+                     for r in fan_sample(df, cdf, fraction, buckets, split_rows).collect())
         assert got == brute_sample(edges, creators, fraction)
 
 
