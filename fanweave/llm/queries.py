@@ -6,10 +6,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanweave.llm import chat, decontaminate, warc
+from fanweave.llm import chat, decontaminate, langid, simhash, token_archive, warc
 from fanweave.llm.common import table
 
 
+def op2_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, archived in ascending doc_id order, and read back."""
+    return token_archive.archive_documents(
+        table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations plus conversation -7, formatted, written and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -35,13 +45,20 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                                         table(spark, sf_dir, "benchmark"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.component_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived as a WARC record and read back."""
     return warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 QUERIES = {
+    "op2_token_archive": op2_token_archive,
+    "op3_language_id": op3_language_id,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
 }
