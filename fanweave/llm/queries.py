@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanweave.llm import chat, decontaminate, langid, simhash, token_archive, warc
+from fanweave.llm import chat, ctph, decontaminate, langid, simhash, token_archive, warc
 from fanweave.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                                         table(spark, sf_dir, "benchmark"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
 }
