@@ -6,10 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanweave.llm import chat, ctph, decontaminate, langid, simhash, token_archive, warc
+from fanweave.llm import chat, ctph, decontaminate, langid, simhash, token_archive, toxicity, warc
 from fanweave.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "labels"))
+
+
 def op2_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, archived in ascending doc_id order, and read back."""
     return token_archive.archive_documents(
@@ -59,6 +64,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_archive": op2_token_archive,
     "op3_language_id": op3_language_id,
     "op5_chat_formatting": op5_chat_formatting,
