@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fanweave.llm import chat, ctph, decontaminate, langid, simhash, token_archive, toxicity, warc
+from fanweave.llm import (
+    chat, ctph, decontaminate, langid, piece_transducer, simhash, token_archive, toxicity, warc)
 from fanweave.llm.common import table
 
 
@@ -63,6 +64,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, decoded again."""
+    return piece_transducer.encode_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_archive": op2_token_archive,
@@ -72,4 +78,5 @@ QUERIES = {
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
