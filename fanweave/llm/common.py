@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fanweave.session import ensure_checkpoint_dir, scratch_path  # noqa: F401
 
 
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -36,7 +37,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs a re-read of files, not a re-run of the plan above."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # The shuffles of this one execution are of no use once its result is written.
+    before = spark.conf.get(_CLEAN_SHUFFLES)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanweave.llm import (
-    chat, ctph, decontaminate, langid, piece_transducer, simhash, token_archive, toxicity, warc)
+    chat, ctph, decontaminate, langid, piece_transducer, repeats, simhash,
+    token_archive, toxicity, warc)
 from fanweave.llm.common import table
 
 
@@ -26,6 +27,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations plus conversation -7, formatted, written and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_archive": op2_token_archive,
     "op3_language_id": op3_language_id,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_document_fingerprints": op7_document_fingerprints,
