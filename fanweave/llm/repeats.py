@@ -252,7 +252,8 @@ def solve(members: DataFrame, margin: int = MARGIN, bucket: int = BUCKET) -> Dat
          F.expr(f"substring(right, 1, {mid})")),
         ("b", margin - mid - 1, mid + 1, F.octet_length("right") >= mid + 1,
          F.expr(f"substring(right, 1, {mid + 1})"),
-         F.expr(f"right(left, {margin - mid - 1})") if margin - mid - 1 else F.lit(b""),
+         F.expr(f"substring(left, greatest(octet_length(left) - {margin - mid - 1} + 1, 1), "
+                f"{margin - mid - 1})"),
          F.expr(f"substring(right, {mid + 2}, octet_length(right))")),
     ]
     for side, smaller, shift, has, shared, left, right in halves:
