@@ -33,6 +33,8 @@ BLOCK_BYTES = 16 << 20
 STRETCH = 1024                       # bytes of text per search position
 CLASS_FLOORS = (24, 8, 1)            # shortest pattern of each length class
 TABLE_BITS = 18
+# Columns that are added to the documents' own ones.
+N_WORDS, HIT_BITS, ITEM_IDS = "__fw_n_words", "__fw_hit_bits", "__fw_item_ids"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 # A-Z become a-z; bytes of words stay; all others become a blank.
@@ -167,8 +169,8 @@ def _scan_block(searcher, schema: pa.Schema, text_col: str):
             items: dict[int, set[str]] = {}
             for doc, item in pairs:
                 items.setdefault(doc, set()).add(item)
-            old_bits = b.column("_hit_bits").to_pylist()
-            old_items = b.column("_item_ids").to_pylist()
+            old_bits = b.column(HIT_BITS).to_pylist()
+            old_items = b.column(ITEM_IDS).to_pylist()
             bits, ids = [], []
             for d in range(b.num_rows):
                 h = hit[first[d]:first[d + 1]]
@@ -177,9 +179,9 @@ def _scan_block(searcher, schema: pa.Schema, text_col: str):
                                           count=len(h)).astype(bool)
                 bits.append(np.packbits(h).tobytes() if h.any() else b"")
                 ids.append(sorted(items.get(d, set()) | set(old_items[d])))
-            done = {"_hit_bits": pa.array(bits, pa.binary()),
-                    "_item_ids": pa.array(ids, pa.list_(pa.string())),
-                    "_n_words": pa.array(np.diff(first), pa.int64())}
+            done = {HIT_BITS: pa.array(bits, pa.binary()),
+                    ITEM_IDS: pa.array(ids, pa.list_(pa.string())),
+                    N_WORDS: pa.array(np.diff(first), pa.int64())}
             yield pa.RecordBatch.from_arrays(
                 [done.get(f, b.column(f) if f in b.schema.names else None) for f in schema.names],
                 names=schema.names)
@@ -199,11 +201,11 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 def find_overlaps(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with three more columns: ``_n_words``, ``_hit_bits`` (one bit per word, empty if
-    none is hit) and ``_item_ids`` (sorted ids of the items with an occurring window)."""
+    """``docs`` with three more columns: ``N_WORDS``, ``HIT_BITS`` (one bit per word, empty if
+    none is hit) and ``ITEM_IDS`` (sorted ids of the items with an occurring window)."""
     spark = docs.sparkSession
-    out = (docs.withColumn("_n_words", F.lit(0).cast("long")).withColumn("_hit_bits", F.lit(b""))
-           .withColumn("_item_ids", F.expr("cast(array() as array<string>)")))
+    out = (docs.withColumn(N_WORDS, F.lit(0).cast("long")).withColumn(HIT_BITS, F.lit(b""))
+           .withColumn(ITEM_IDS, F.expr("cast(array() as array<string>)")))
     schema: StructType = out.schema
     names = pa.schema([(f.name, pa.null()) for f in schema.fields])
     for n, block in _item_blocks(items, item_id_col, item_text_col, block_bytes):
@@ -218,11 +220,11 @@ def overlap_report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     found = find_overlaps(docs.select("doc_id", "text"), items)
     return found.select(
-        F.col("doc_id"), F.col("_n_words").alias("n_words"),
-        _set_bits("_hit_bits").alias("n_hit"),
-        F.size("_item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_item_ids", ","), 256).alias("items_sha256"),
-        (F.octet_length("_hit_bits") > 0).alias("contaminated"))
+        F.col("doc_id"), F.col(N_WORDS).alias("n_words"),
+        _set_bits(HIT_BITS).alias("n_hit"),
+        F.size(ITEM_IDS).cast("long").alias("n_items"),
+        F.sha2(F.array_join(ITEM_IDS, ","), 256).alias("items_sha256"),
+        (F.octet_length(HIT_BITS) > 0).alias("contaminated"))
 
 
 def _set_bits(column: str):
@@ -236,4 +238,4 @@ def _set_bits(column: str):
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a hit word, with the columns of ``docs``."""
     found = find_overlaps(docs, items)
-    return found.where(F.octet_length("_hit_bits") == 0).select(*docs.columns)
+    return found.where(F.octet_length(HIT_BITS) == 0).select(*docs.columns)

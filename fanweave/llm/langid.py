@@ -91,6 +91,7 @@ def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray,
         threshold += max(1, threshold // 8)
     seen = np.zeros(256, bool)
     seen[counted[0][1]] = True
+    seen[0] = True                # stands before every text
     symbol = np.full(256, int(seen.sum()), np.int64)       # a column for all unseen bytes
     symbol[seen] = np.arange(int(seen.sum()))
     width = int(seen.sum()) + 2

@@ -43,6 +43,7 @@ BUCKET = 4096
 SEGMENT = 1 << 20                 # longer texts are hashed in overlapping segments
 PART = 2 << 20
 SORT_SYMBOLS = 200_000
+PLACES = "__fw_places"            # column that is added to the documents' own ones
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64((1 << 24) - 1)   # place of a string in its part
@@ -347,14 +348,14 @@ def covered(n: int, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 def _with_places(docs: DataFrame) -> DataFrame:
     places = materialize(repeat_places(docs), "repeats-places").select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("places").alias("_places"))
-    return docs.join(places, docs["doc_id"].eqNullSafe(places["_id"])
-                     & (F.xxhash64(docs["text"]) == places["_th"]), "left").drop("_id", "_th")
+        F.col("doc_id").alias("__fw_id"), F.col("th").alias("__fw_th"), F.col("places").alias(PLACES))
+    return docs.join(places, docs["doc_id"].eqNullSafe(places["__fw_id"])
+                     & (F.xxhash64(docs["text"]) == places["__fw_th"]), "left").drop("__fw_id", "__fw_th")
 
 
 def _texts_and_cover(b: pa.RecordBatch):
     data, off = text_bytes(b.column("text"))
-    places = b.column("_places")
+    places = b.column(PLACES)
     for d in range(b.num_rows):
         raw = data[off[d]:off[d + 1]]
         if places[d].is_valid:

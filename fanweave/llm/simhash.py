@@ -157,6 +157,8 @@ def _group_edges(max_bits: int):
 def link(fps: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` within ``max_bits`` bits."""
     pivots = [_signed(p) for p in pivot_fingerprints()]
+    # So many bits that are left can be cut once more; fewer cannot hold more fingerprints.
+    group_rows = max(group_rows, 1 << (max_bits + 1))
 
     def packed(some: list[int]):
         """Eight distances, one byte each, in a long."""
@@ -250,18 +252,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = near_duplicates(docs)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
     kept = rows.groupBy("root").agg(F.min(rank).alias("k")).select("k.doc_id", "k.fp")
-    copies = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    copies = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__fw_rows"))
     kept = kept.join(copies, kept["doc_id"].eqNullSafe(copies["doc_id"])).select(
-        kept["doc_id"].alias("_id"), F.col("fp").alias("_fp"), "_rows")
+        kept["doc_id"].alias("__fw_id"), F.col("fp").alias("__fw_fp"), "__fw_rows")
     kept = materialize(kept, "simhash-kept")
-    same = lambda k: docs["doc_id"].eqNullSafe(k["_id"])
-    once = kept.where("_rows = 1")
+    same = lambda k: docs["doc_id"].eqNullSafe(k["__fw_id"])
+    once = kept.where("__fw_rows = 1")
     out = docs.join(once, same(once)).select(*[docs[c] for c in docs.columns])
-    repeated = kept.where("_rows > 1")
+    repeated = kept.where("__fw_rows > 1")
     if repeated.isEmpty():
         return out
     # Rows that share an id: tell them apart by their fingerprint.
     both = docs.join(repeated, same(repeated))
-    both = both.select(*[docs[c] for c in docs.columns], "_fp", F.col("text").alias("_text"))
-    marked = with_fingerprints(both, "_text", "_own").where("_own = _fp")
-    return out.unionByName(marked.dropDuplicates(["doc_id", "_own"]).select(*docs.columns))
+    both = both.select(*[docs[c] for c in docs.columns], "__fw_fp", F.col("text").alias("__fw_text"))
+    marked = with_fingerprints(both, "__fw_text", "__fw_own").where("__fw_own = __fw_fp")
+    return out.unionByName(marked.dropDuplicates(["doc_id", "__fw_own"]).select(*docs.columns))

@@ -45,11 +45,12 @@ LANDMARKS = 800
 TRAIN_DOCS = 2500
 ROUNDS = 2
 THRESHOLD = 0.3
+SCORE = "__fw_toxicity"          # column that is added to the documents' own ones
 SYMBOLS = 64                     # 0: none, 1: start, 2-27: a-z, the rest: other letters by hash
 ODDS = 6.0                       # how much likelier a toxic window is in toxic texts
 SUPPORT = 0.005                  # share of the toxic texts that a toxic window must occur in
 MAX_POSITIVES = 1500
-MAX_NEGATIVES = 6000
+MAX_NEGATIVES = 4000
 TOP = (1, 2, 3, 5, 8)            # which of a text's worst windows its score looks at
 LEVELS = (0.25, 0.75, 1.5)       # decision values above which a text's windows are counted
 FEATURES = len(TOP) + len(LEVELS) + 1
@@ -286,16 +287,16 @@ def _doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def training_texts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(toxic, text) of a bounded sample of the labelled rows outside the held-out fold."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull()
-                        & (crc32_mod(F.col("_id"), 4) != 2))
+    known = labels.select(F.col("doc_id").alias("__fw_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.where(F.col("toxic").isin(0, 1) & F.col("__fw_id").isNotNull()
+                        & (crc32_mod(F.col("__fw_id"), 4) != 2))
     sizes = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"))
     share = F.lit(float(train_docs)) / F.col("rows") * 1_000_003
     known = known.join(F.broadcast(sizes), "toxic").where(
-        F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < share).select("_id", "toxic")
+        F.pmod(F.xxhash64("__fw_id"), F.lit(1_000_003)) < share).select("__fw_id", "toxic")
     # About 2 * train_docs small rows, by the sampling above.
     return docs.select("doc_id", "text").join(
-        F.broadcast(known), F.col("doc_id") == F.col("_id")).select("toxic", "text")
+        F.broadcast(known), F.col("doc_id") == F.col("__fw_id")).select("toxic", "text")
 
 
 def _cover(bags: list[np.ndarray], code: np.ndarray, gain: np.ndarray, times: int = 3):
@@ -447,7 +448,7 @@ def score_texts(model: Model, batch: list[str]) -> np.ndarray:
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text",
-                out_col: str = "_toxicity") -> DataFrame:
+                out_col: str = SCORE) -> DataFrame:
     """``docs`` plus the score of every whole text."""
     schema = docs.withColumn(out_col, F.lit(0.0)).schema
     names = schema.names
@@ -475,11 +476,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = with_scores(docs.select("doc_id", "text"), train(docs, labels))
     return scored.select(
         "doc_id", (crc32_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
-        F.col("_toxicity").alias("score"),
-        (F.col("_toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+        F.col(SCORE).alias("score"),
+        (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents below the threshold, with the columns of ``docs``."""
     scored = with_scores(docs, train(docs, labels))
-    return scored.where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+    return scored.where(F.col(SCORE) < THRESHOLD).select(*docs.columns)
