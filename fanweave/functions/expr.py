@@ -38,6 +38,12 @@ def to_long(c: Column | str, source_type: T.DataType | None = None) -> Column:
     return col.cast("string").cast("long")
 
 
+def required(name: str) -> Column:
+    """Column ``name``, which must not be null: a null ends the query with an error."""
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"null in column {name}")).cast("long")) \
+        .alias(name)
+
+
 def to_str(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 

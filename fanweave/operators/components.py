@@ -22,7 +22,7 @@ leave the graph and the rounds repeat until none are left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import loop_partitions
@@ -31,18 +31,20 @@ from .iterate import fixed_partitioning, materialize, run_supersteps
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
-    """(a, b) with a < b, one row per undirected edge, hash-partitioned on ``a``."""
+    """(a, b) with a < b, one row per undirected edge."""
     return (edges.where(F.col("src") != F.col("dst"))
             .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-            .repartition("a").dropDuplicates(["a", "b"]))
+            .distinct())
 
 
 def _star_round(E: DataFrame) -> tuple[DataFrame, dict]:
-    """One large-star + small-star round on E(a, b), a < b, partitioned on a.
+    """One large-star + small-star round on E(a, b), a < b.
 
-    Three exchanges: the neighbourhood minimum (both directions, by u), the
-    large-star output (by b: its dedup and the small-star minimum reuse that
-    partitioning) and the small-star output (by a, ready for the next round).
+    Neighbourhood minima are aggregates (combined map-side), never windows, and
+    edge sets leave a round hash-partitioned on the whole edge, so the centre
+    of a giant star is no hot partition.  The two joins on a vertex are plain
+    shuffle joins of an edge table with one row per vertex, which adaptive
+    execution splits where the centre makes them uneven.
     """
     both = E.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         E.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -54,39 +56,34 @@ def _star_round(E: DataFrame) -> tuple[DataFrame, dict]:
         "sum(CASE WHEN (lo_max IS NOT NULL AND hi_min IS NOT NULL) "
         "OR (lo_max IS NOT NULL AND lo_max <> mn) THEN 1 ELSE 0 END)")
     obs = Observation()
-    stats = stats.observe(obs, violation.alias("violations"))
+    stats = stats.observe(obs, violation.alias("violations")).select("u", "mn")
     # large-star: every edge (a, b) is re-hung on the smallest vertex of a's
     # closed neighbourhood.
     large = (E.join(stats, E.a == stats.u)
-             .select(F.least("u", "mn").alias("a"), "b")
-             .repartition("b").dropDuplicates(["a", "b"]))
+             .select(F.least("u", "mn").alias("a"), "b").distinct())
     # small-star: b links itself and its smaller neighbours to the smallest of them.
-    hung = large.withColumn("mb", F.min("a").over(Window.partitionBy("b")))
-    small = (hung.select("mb", F.explode(F.array("a", "b")).alias("x"))
+    least = large.groupBy("b").agg(F.min("a").alias("mb"))
+    small = (large.join(least, "b")
+             .select("mb", F.explode(F.array("a", "b")).alias("x"))
              .where(F.col("x") != F.col("mb"))
-             .select(F.col("mb").alias("a"), F.col("x").alias("b"))
-             .repartition("a").dropDuplicates(["a", "b"]))
+             .select(F.col("mb").alias("a"), F.col("x").alias("b")).distinct())
     out, _ = materialize(small)
     return out, dict(obs.get)
 
 
-def connected_components(graph: FollowGraph, max_rounds: int | None = None) -> DataFrame:
+def connected_components(graph: FollowGraph) -> DataFrame:
     """(id, component) for every vertex (edges taken as undirected)."""
-    spark = graph.edges.sparkSession
-    graph, n_edges = graph.materialize_counted()
-    with fixed_partitioning(spark, loop_partitions(spark, 2 * n_edges)):
-        E, _ = materialize(_undirected(graph.edges))
-        rounds = 0
-        while max_rounds is None or rounds < max_rounds:
-            E, m = _star_round(E)
-            rounds += 1
-            if not m["violations"]:
-                break
-        # Stars: b hangs on centre a; centres and isolated vertices label themselves.
-        leaf = E.select(F.col("b").alias("leaf"), F.col("a").alias("centre"))
-        out, _ = materialize(
-            graph.vertices.select("id").join(leaf, F.col("id") == F.col("leaf"), "left")
-            .select("id", F.coalesce("centre", "id").alias("component")))
+    graph, _ = graph.materialize_counted()
+    E, _ = materialize(_undirected(graph.edges))
+    violations = 1
+    while violations:
+        E, m = _star_round(E)
+        violations = m["violations"]
+    # Stars: b hangs on centre a; centres and isolated vertices label themselves.
+    leaf = E.select(F.col("b").alias("leaf"), F.col("a").alias("centre"))
+    out, _ = materialize(
+        graph.vertices.select("id").join(leaf, F.col("id") == F.col("leaf"), "left")
+        .select("id", F.coalesce("centre", "id").alias("component")))
     return out
 
 
@@ -185,10 +182,8 @@ def _scc_round(E: DataFrame, steps_per_job: int) -> DataFrame:
     return fin
 
 
-def strongly_connected_components(graph: FollowGraph, max_rounds: int | None = None,
-                                  steps_per_job: int = 8) -> DataFrame:
-    """(id, component) for every vertex; ``max_rounds`` caps the outer
-    rounds (vertices left unfinished keep their own id)."""
+def strongly_connected_components(graph: FollowGraph, steps_per_job: int = 8) -> DataFrame:
+    """(id, component) for every vertex."""
     spark = graph.edges.sparkSession
     graph, n_edges = graph.materialize_counted()
     with fixed_partitioning(spark, loop_partitions(spark, 3 * n_edges)):
@@ -197,8 +192,7 @@ def strongly_connected_components(graph: FollowGraph, max_rounds: int | None = N
                            .select("src", "dst").distinct().repartition("src"), count)
         n = m["n"]
         done: list[DataFrame] = []
-        rounds = 0
-        while n and (max_rounds is None or rounds < max_rounds):
+        while n:
             E, n = _trim(E, steps_per_job)
             if not n:
                 break
@@ -208,7 +202,6 @@ def strongly_connected_components(graph: FollowGraph, max_rounds: int | None = N
             E, m = materialize(E.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
                                .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), count)
             n = m["n"]
-            rounds += 1
         assigned = None
         for part in done:
             assigned = part if assigned is None else assigned.unionByName(part)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import EXPORT_CLASS, UNKNOWN, edge_key
+from ..functions.expr import EXPORT_CLASS, UNKNOWN, edge_key, required
 
 _ATTR = T.StructType([T.StructField("name", T.StringType()),
                       T.StructField("intro", T.StringType())])
@@ -58,6 +58,7 @@ def assemble(users: DataFrame, follows: DataFrame,
              default: tuple[str, str] = (UNKNOWN, UNKNOWN)) -> FollowGraph:
     """G1: every user plus every edge endpoint becomes a vertex.
 
+    A null id or endpoint is an error, as a row is never dropped silently.
     Endpoints without a user row get the ``default`` attributes; a duplicated
     user id keeps its smallest (name, intro).  The endpoint ids come from one
     pass over the edges (``explode``) and are de-duplicated by a hash
@@ -66,12 +67,12 @@ def assemble(users: DataFrame, follows: DataFrame,
     aggregate.  Both sides leave hash-partitioned on ``id``, so the final
     outer join adds no exchange.
     """
-    edges = follows.where(F.col("src").isNotNull() & F.col("dst").isNotNull()) \
-        .select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    attrs = (users.where(F.col("id").isNotNull())
-             .groupBy("id").agg(F.min(F.struct("name", "intro").cast(_ATTR)).alias("attr")))
+    edges = follows.select(required("src"), required("dst"),
+                           F.col("weight").cast("double").alias("weight"))
+    users = users.select(required("id"), "name", "intro")
+    attrs = (users.groupBy("id").agg(F.min(F.struct("name", "intro").cast(_ATTR)).alias("attr")))
     ids = (edges.select(F.explode(F.array("src", "dst")).alias("id"))
-           .unionByName(users.where(F.col("id").isNotNull()).select("id"))
+           .unionByName(users.select("id"))
            .distinct())
     known = F.col("attr").isNotNull()
     vertices = ids.join(attrs, "id", "left").select(

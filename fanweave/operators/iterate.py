@@ -62,8 +62,9 @@ def fixed_partitioning(spark: SparkSession, partitions: int | None = None):
 
 def run_supersteps(state: DataFrame, step, metrics: dict[str, Column], done,
                    steps_per_job: int | Callable[[dict], int] = 4,
-                   max_steps: int | None = None) -> tuple[DataFrame, dict, int]:
-    """Apply ``step`` until ``done(metrics)`` or ``max_steps``.
+                   exact_steps: int | None = None) -> tuple[DataFrame, dict, int]:
+    """Apply ``step`` until ``done(metrics)``, or, where the number of steps is
+    what is asked for (label propagation), ``exact_steps`` times.
 
     ``step`` must be idempotent once converged (a converged state maps to
     itself), which lets several supersteps share a job: overshooting the
@@ -74,11 +75,11 @@ def run_supersteps(state: DataFrame, step, metrics: dict[str, Column], done,
     """
     state, m = materialize(state, metrics)
     steps = 0
-    while not done(m) and (max_steps is None or steps < max_steps):
+    while not done(m) and (exact_steps is None or steps < exact_steps):
         batch = steps_per_job(m) if callable(steps_per_job) else steps_per_job
         batch = max(1, batch)
-        if max_steps is not None:
-            batch = min(batch, max_steps - steps)
+        if exact_steps is not None:
+            batch = min(batch, exact_steps - steps)
         nxt = state
         for _ in range(batch):
             nxt = step(nxt)

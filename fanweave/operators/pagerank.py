@@ -62,7 +62,7 @@ def links(graph: FollowGraph, n_parts: int, hot: int) -> tuple[DataFrame, DataFr
     pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     weighted = (pairs.join(deg, "src")
                 .join(vdeg.select(F.col("id").alias("dst"), F.col("deg").alias("dst_deg")), "dst")
-                .select("src", "dst", F.expr("m * (1.0 / deg)").alias("w"), "dst_deg",
+                .select("src", "dst", (F.col("m").cast("double") * (F.lit(1.0) / F.col("deg"))).alias("w"), "dst_deg",
                         (F.col("deg") > hot).alias("hot")))
     selfs = vdeg.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"),
                         F.col("deg").alias("dst_deg"), F.lit(True).alias("self"))
@@ -87,7 +87,7 @@ def _active(tol: float) -> str:
 
 
 def _frontier_loop(spark, start: DataFrame, step, keys: list[str], tol: float, d: float,
-                   steps_per_job, max_steps: int | None) -> list[DataFrame]:
+                   steps_per_job) -> list[DataFrame]:
     """Run supersteps job by job over a job-local state (keys, id, deg, delta, acc).
 
     A job starts from the pairs that may send (delta > tol, deg > 0) with
@@ -103,15 +103,11 @@ def _frontier_loop(spark, start: DataFrame, step, keys: list[str], tol: float, d
     batch_of = steps_per_job if callable(steps_per_job) else (lambda m: steps_per_job)
     state, m = materialize(start, metrics)
     increments: list[DataFrame] = []
-    steps = 0
-    while m["active"] and (max_steps is None or steps < max_steps):
+    while m["active"]:
         batch = max(1, batch_of(m))
-        if max_steps is not None:
-            batch = min(batch, max_steps - steps)
         nxt = state.where(cond).select(*keys, "id", "deg", "delta", F.lit(0.0).alias("acc"))
         for _ in range(batch):
             nxt = step(nxt)
-        steps += batch
         state, m = materialize(nxt, metrics)
         increments.append(state.select(*keys, "id", "acc"))
     return increments
@@ -126,8 +122,7 @@ def _sum_ranks(base: DataFrame, increments: list[DataFrame], keys: list[str]) ->
 
 
 def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PROB,
-             max_steps: int | None = None, steps_per_job=None,
-             hot_degree: int | None = None) -> DataFrame:
+             steps_per_job=None, hot_degree: int | None = None) -> DataFrame:
     """(id, rank) for every vertex; ranks sum to the vertex count.
 
     ``steps_per_job``: supersteps per Spark job; default adapts to the
@@ -171,7 +166,7 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
             return spark.sql(sql, links=L, state=state)
 
         batch = 1 if n_hot else (steps_per_job or decay_batch(tol, d))
-        increments = _frontier_loop(spark, start, step, [], tol, d, batch, max_steps)
+        increments = _frontier_loop(spark, start, step, [], tol, d, batch)
         base = vdeg.select("id", F.lit(reset).alias("rank"))
         ranks, m = materialize(_sum_ranks(base, increments, []),
                                {"total": F.sum("rank"), "n": F.count(F.lit(1))})
@@ -183,7 +178,7 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
 
 def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
                           tol: float = TOLERANCE, reset: float = RESET_PROB,
-                          max_steps: int | None = None, steps_per_job=None,
+                          steps_per_job=None,
                           batches: int = 1) -> DataFrame:
     """(source, id, rank) for every source in ``sources`` (column ``id``;
     default: every vertex) and every vertex it reaches; per source ranks sum to 1.
@@ -208,7 +203,9 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
                    else graph.vertices.select("id"))
         seeds_all = src_ids.join(vdeg, "id").select(F.col("id").alias("source"), "id", "deg")
         # Messages travel along real edges of active pairs; every touched pair
-        # also meets its own self row so its increment rides along.
+        # also meets its own self row so its increment rides along.  Messages are
+        # summed per (source, dst) before they are shuffled, so a celebrity costs
+        # a task one row per source; the sort-merge join spills.
         sql = f"""
             SELECT source, dst AS id, deg,
                    CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS delta,
@@ -216,11 +213,9 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
             FROM (SELECT source, dst, max(dst_deg) AS deg,
                          max(CASE WHEN self THEN acc END) AS acc,
                          sum(CASE WHEN NOT self THEN delta * w END) AS msg
-                  FROM (SELECT /*+ SHUFFLE_HASH(l) */ s.source, l.dst, l.dst_deg, l.self,
-                               s.acc, s.delta, l.w
+                  FROM (SELECT s.source, l.dst, l.dst_deg, l.self, s.acc, s.delta, l.w
                         FROM {{links}} l JOIN {{state}} s
-                          ON l.src = s.id AND (l.self OR ({s_cond}))
-                        DISTRIBUTE BY l.dst)
+                          ON l.src = s.id AND (l.self OR ({s_cond})))
                   GROUP BY source, dst)"""
 
         def step(state: DataFrame) -> DataFrame:
@@ -232,7 +227,7 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
             start = seeds.select("source", "id", "deg", F.lit(1.0).alias("delta"),
                                  F.lit(0.0).alias("acc")).repartition(n, "id")
             increments = _frontier_loop(spark, start, step, ["source"], tol, d,
-                                        steps_per_job or decay_batch(tol, d), max_steps)
+                                        steps_per_job or decay_batch(tol, d))
             base = seeds.select("source", "id", F.lit(1.0).alias("rank"))
             ranks = _sum_ranks(base, increments, ["source"])
             totals = ranks.groupBy("source").agg(F.sum("rank").alias("total"))
@@ -249,10 +244,10 @@ def best_other(ppr: DataFrame) -> DataFrame:
     """A5+P2: per source the highest-ranked other vertex (id, recId).
 
     Ties on the 9-place rank go to the smallest id; a source that reaches no
-    other vertex gets no row.  ``max_by`` is a mergeable aggregate, so a
+    other vertex gets a null recId.  ``max_by`` is a mergeable aggregate, so a
     source with a huge reach is reduced map-side instead of sorted in one task.
     """
-    cand = ppr.where((F.col("id") != F.col("source")) & (F.col("rank") > 0))
-    key = F.struct(tie_key(F.col("rank")), -F.col("id"))
-    return (cand.groupBy("source").agg(F.max_by("id", key).alias("recId"))
+    other = (F.col("id") != F.col("source")) & (F.col("rank") > 0)
+    key = F.when(other, F.struct(tie_key(F.col("rank")), -F.col("id")))
+    return (ppr.groupBy("source").agg(F.max_by("id", key).alias("recId"))
             .select(F.col("source").alias("id"), "recId"))

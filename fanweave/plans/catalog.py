@@ -1,7 +1,7 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Every query reads the test tables and derives one of the three follower
-graphs (sparse / mid / dense, see ``sources.tpch_graphs``).  Floating
+Every query reads the test tables and derives one of two follower graphs from
+all of their rows (full / orders, see ``sources.tpch_graphs``).  Floating
 results are rounded to 6 places; rank ties are broken on 9 places.
 """
 
@@ -21,20 +21,21 @@ from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import tpch_graphs as tg
 from ..sources.readers import ALT_LAYOUT, follows_from, read_users, users_from
 from . import communities as cm
+from . import jobs
 from . import networks as nw
 from . import ranking as rk
 from . import recommend as rc
 
 
 def graph_of(spark: SparkSession, sf_dir: str, kind: str) -> FollowGraph:
-    users = users_from(tg.users_table(spark, sf_dir))
+    users = users_from(tg.users_table(spark, sf_dir, kind))
     follows = follows_from(tg.follow_table(spark, sf_dir, kind))
     return assemble(users, follows)
 
 
-def _most_active(graph: FollowGraph) -> DataFrame:
-    """The user following most others (ties -> smallest id), as one ``id`` row."""
-    return rk.max_out_degree(graph).select("id")
+def _most_active(graph: FollowGraph, k: int = 1) -> DataFrame:
+    """The ``k`` users following most others (ties -> smallest id), as ``id`` rows."""
+    return rk.most_active(graph, k).select("id")
 
 
 def _creator(graph: FollowGraph, k: int = 1) -> DataFrame:
@@ -50,71 +51,71 @@ def q_users_scan(spark, sf):
 
 
 def q_follow_scan(spark, sf):
-    return follows_from(tg.follow_table(spark, sf, "mid"))
+    return follows_from(tg.follow_table(spark, sf, "full"))
 
 
 def q_follow_scan_alt_layout(spark, sf):
-    alt = tg.follow_table(spark, sf, "mid").select(
+    alt = tg.follow_table(spark, sf, "full").select(
         F.col("Source").alias(ALT_LAYOUT["src_col"]), F.col("Target").alias(ALT_LAYOUT["dst_col"]))
     return follows_from(alt, **ALT_LAYOUT)
 
 
 def q_graph_vertices(spark, sf):
-    return graph_of(spark, sf, "mid").vertices
+    return graph_of(spark, sf, "full").vertices
 
 
 def q_fan_edge_subgraph(spark, sf):
-    g = graph_of(spark, sf, "dense")
+    g = graph_of(spark, sf, "full")
     return nw.fan_subgraph(g, _creator(g)).edges
 
 
 def q_fan_subgraph_vertices(spark, sf):
-    g = graph_of(spark, sf, "dense")
+    g = graph_of(spark, sf, "full")
     return nw.fan_subgraph(g, _creator(g)).vertices
 
 
 def q_graph_nodes_export(spark, sf):
-    return nw.graph_export(graph_of(spark, sf, "sparse"))[0]
+    return nw.graph_export(graph_of(spark, sf, "orders"))[0]
 
 
 def q_graph_edges_export(spark, sf):
-    return nw.graph_export(graph_of(spark, sf, "sparse"))[1]
+    return nw.graph_export(graph_of(spark, sf, "orders"))[1]
 
 
 # ----------------------------------------------------------------- degrees / rankings
 
 
 def q_fan_counts(spark, sf):
-    return in_degrees(graph_of(spark, sf, "dense").edges, "fans")
+    return in_degrees(graph_of(spark, sf, "full").edges, "fans")
 
 
 def q_max_in_degree(spark, sf):
-    return rk.max_in_degree(graph_of(spark, sf, "dense"))
+    return rk.max_in_degree(graph_of(spark, sf, "full"))
 
 
 def q_max_out_degree(spark, sf):
-    return rk.max_out_degree(graph_of(spark, sf, "dense"))
+    return rk.max_out_degree(graph_of(spark, sf, "full"))
 
 
 def q_fan_ranking(spark, sf):
-    return rk.fan_ranking(graph_of(spark, sf, "dense"))
+    return rk.fan_ranking(graph_of(spark, sf, "full"))
 
 
 def q_top_fans(spark, sf):
-    return rk.top_fans(graph_of(spark, sf, "dense"), 10)
+    return rk.top_fans(graph_of(spark, sf, "full"), 10)
 
 
 def q_pagerank(spark, sf):
-    return pagerank(graph_of(spark, sf, "mid")).select("id", round6(F.col("rank")).alias("rank"))
+    return pagerank(graph_of(spark, sf, "full")).select("id", round6(F.col("rank")).alias("rank"))
 
 
 def q_influence_ranking(spark, sf):
-    r = rk.influence_ranking(graph_of(spark, sf, "dense"))
+    r = rk.influence_ranking(graph_of(spark, sf, "full"))
     return r.select("id", "name", "intro", round6(F.col("rank")).alias("rank"))
 
 
 def q_top_influence(spark, sf):
-    r = rk.top_influence(graph_of(spark, sf, "dense"), 10)
+    r = rk.top_influence(graph_of(spark, sf, "full"), 10)
     return r.select("id", "name", "intro", round6(F.col("rank")).alias("rank"))
 
 
@@ -122,103 +123,103 @@ def q_top_influence(spark, sf):
 
 
 def q_personalized_pagerank_one(spark, sf):
-    g = graph_of(spark, sf, "mid").materialize()
+    g = graph_of(spark, sf, "full").materialize()
     r = rc.personalized_ranks_of(g, _most_active(g))
     return r.select("id", round6(F.col("rank")).alias("rank"))
 
 
 def q_recommend_one(spark, sf):
-    g = graph_of(spark, sf, "mid").materialize()
-    return rc.recommend_one(g, _most_active(g))
+    g = graph_of(spark, sf, "full").materialize()
+    return rc.recommend_one(g, _most_active(g, 20))
 
 
 def q_personal_recommendations(spark, sf):
-    return rc.personal_recommendations(graph_of(spark, sf, "sparse"))
+    return rc.personal_recommendations(graph_of(spark, sf, "orders"))
 
 
 # ----------------------------------------------------------------- communities
 
 
 def q_connected_components(spark, sf):
-    return connected_components(graph_of(spark, sf, "mid"))
+    return connected_components(graph_of(spark, sf, "full"))
 
 
 def q_connected_components_sparse(spark, sf):
-    return connected_components(graph_of(spark, sf, "sparse"))
+    return connected_components(graph_of(spark, sf, "orders"))
 
 
 def q_community_members(spark, sf):
-    return cm.community_members(graph_of(spark, sf, "sparse"))
+    return cm.community_members(graph_of(spark, sf, "orders"))
 
 
 def q_community_sizes(spark, sf):
-    return cm.community_sizes(connected_components(graph_of(spark, sf, "sparse")))
+    return cm.community_sizes(connected_components(graph_of(spark, sf, "orders")))
 
 
 def q_community_census(spark, sf):
-    return cm.community_census(graph_of(spark, sf, "sparse"))
+    return cm.community_census(graph_of(spark, sf, "orders"))
 
 
 def q_isolated_users(spark, sf):
-    return cm.isolated_users(graph_of(spark, sf, "sparse"))
+    return cm.isolated_users(graph_of(spark, sf, "orders"))
 
 
 def q_community_edges(spark, sf):
-    return cm.community_edges(graph_of(spark, sf, "sparse"))
+    return cm.community_edges(graph_of(spark, sf, "orders"))
 
 
 def q_community_edges_incremental(spark, sf):
     """Widen the band from [10, 15) (already stored) to [10, 20): only the
     edges of components of size 15-19 are new."""
-    g = graph_of(spark, sf, "sparse").materialize()
+    g = graph_of(spark, sf, "orders").materialize()
     labels = connected_components(g)
     stored = cm.community_edges(g, labels, lo=10, hi=15)
     return cm.community_edges(g, labels, existing=stored)
 
 
 def q_strongly_connected_components(spark, sf):
-    return strongly_connected_components(graph_of(spark, sf, "mid"))
+    return strongly_connected_components(graph_of(spark, sf, "full"))
 
 
 def q_label_propagation(spark, sf):
-    return cm.lpa_labels(graph_of(spark, sf, "mid"))
+    return cm.lpa_labels(graph_of(spark, sf, "full"))
 
 
 def q_lpa_communities(spark, sf):
-    return cm.lpa_communities(cm.lpa_labels(graph_of(spark, sf, "mid")))
+    return cm.lpa_communities(cm.lpa_labels(graph_of(spark, sf, "full")))
 
 
 def q_lpa_community_members(spark, sf):
-    return cm.lpa_community_members(cm.lpa_labels(graph_of(spark, sf, "mid")))
+    return cm.lpa_community_members(cm.lpa_labels(graph_of(spark, sf, "full")))
 
 
 # ----------------------------------------------------------------- sub-networks
 
 
 def q_fan_sample(spark, sf):
-    g = graph_of(spark, sf, "dense")
-    return nw.sampled_fans(g, _creator(g))
+    g = graph_of(spark, sf, "full")
+    return nw.sampled_fans(g, _creator(g, 20))
 
 
 def q_fan_sample_all_creators(spark, sf):
     """The 10 % fan sample of every followed vertex at once."""
-    g = graph_of(spark, sf, "dense")
+    g = graph_of(spark, sf, "full")
     return nw.sampled_fans(g, in_degrees(g.edges).select("id"))
 
 
 def q_fan_ego_edges(spark, sf):
-    g = graph_of(spark, sf, "dense")
+    g = graph_of(spark, sf, "full")
     return nw.fan_ego_edges(g, _creator(g))
 
 
 def q_creator_fan_star(spark, sf):
-    g = graph_of(spark, sf, "dense").materialize()
+    g = graph_of(spark, sf, "full").materialize()
     star = nw.creator_fan_star(g, _creator(g, 3), pagerank(g))
     return star.select("Source", "Target", round6(F.col("Weight")).alias("Weight"), "Type")
 
 
 def _band_members(spark, sf):
-    g = graph_of(spark, sf, "sparse").materialize()
+    g = graph_of(spark, sf, "orders").materialize()
     return g, cm.members_in_band(connected_components(g)).select("id")
 
 
@@ -233,6 +234,48 @@ def q_id_list_edges(spark, sf):
     return nw.id_list_edges(g, ids)
 
 
+# ----------------------------------------------------------------- jobs with their collections
+
+
+def _store(spark):
+    ensure_checkpoint_dir(spark)
+    return scratch_path(spark, "store")
+
+
+def q_job_top_k_fans(spark, sf):
+    return jobs.top_k_fans(graph_of(spark, sf, "full"), _store(spark))
+
+
+def q_job_top_k_up(spark, sf):
+    out = jobs.top_k_up(graph_of(spark, sf, "full"), _store(spark))
+    return out.select("id", "name", "intro", round6(F.col("rank")).alias("rank"))
+
+
+def q_job_personal_rec(spark, sf):
+    return jobs.personal_rec(graph_of(spark, sf, "orders"), _store(spark))
+
+
+def q_job_top_up_fans(spark, sf):
+    """The star read from a ranking that was stored twice."""
+    g, store = graph_of(spark, sf, "full").materialize(), _store(spark)
+    jobs.top_k_up(g, store)
+    creators = jobs.top_k_up(g, store).select("id").distinct()
+    star = jobs.top_up_fans(g, store, creators)
+    return star.select("Source", "Target", round6(F.col("Weight")).alias("Weight"), "Type")
+
+
+def q_job_fans_of(spark, sf):
+    """Run twice: the second run adds nothing."""
+    g, store = graph_of(spark, sf, "full").materialize(), _store(spark)
+    jobs.fans_of(g, store, _creator(g, 3))
+    return jobs.fans_of(g, store, _creator(g, 3))
+
+
+def q_job_comu(spark, sf):
+    g, ids = _band_members(spark, sf)
+    return jobs.community_edges_of(g, _store(spark), ids)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "users_scan": q_users_scan,
     "follow_scan": q_follow_scan,
@@ -271,4 +314,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_propagation": q_label_propagation,
     "lpa_communities": q_lpa_communities,
     "lpa_community_members": q_lpa_community_members,
+    "job_top_k_fans": q_job_top_k_fans,
+    "job_top_k_up": q_job_top_k_up,
+    "job_personal_rec": q_job_personal_rec,
+    "job_top_up_fans": q_job_top_up_fans,
+    "job_fans_of": q_job_fans_of,
+    "job_comu": q_job_comu,
 }

@@ -49,10 +49,12 @@ def fan_ego_edges(graph: FollowGraph, creators: DataFrame, fraction: float = FAN
 def creator_fan_star(graph: FollowGraph, creators: DataFrame, ranks: DataFrame) -> DataFrame:
     """M8: (Source, Target, Weight, Type) for every fan edge of every creator,
     weighted by the creator's stored rank (``ranks``: id, rank).  A creator
-    without a rank yields no rows (inner join).  Ranks are cut down to the
+    without a rank yields no rows (inner join); one whose rank is stored more
+    than once (an appended rerun) still gives each edge once.  Ranks are cut down to the
     creators first, so the join's small side is one row per creator."""
     star = fan_edges(graph, creators)
-    creator_rank = ranks.join(creators.select("id").distinct(), "id", "left_semi")
+    creator_rank = (ranks.join(creators.select("id").distinct(), "id", "left_semi")
+                    .groupBy("id").agg(F.max("rank").alias("rank")))
     return (star.join(creator_rank, star.dst == creator_rank.id)
             .select(F.col("src").alias("Source"), F.col("dst").alias("Target"),
                     F.col("rank").alias("Weight"), F.lit(DIRECTED).alias("Type")))

@@ -17,7 +17,7 @@ D = 1.0 - RESET_PROB
 def _graph(kind: str) -> str:
     """CTEs users, follow, vertices for graph ``kind`` (no WITH keyword)."""
     return f"""
-users AS ({users_sql()}),
+users AS ({users_sql(kind)}),
 follow AS ({follow_sql(kind)}),
 user_attr AS (
   SELECT id, first(name ORDER BY name, intro) AS name, first(intro ORDER BY name, intro) AS intro
@@ -37,6 +37,9 @@ def _with(kind: str, *ctes: str, recursive: bool = False) -> str:
 
 CREATOR = "creator AS (SELECT dst AS id FROM follow GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"
 TOP3 = "creator AS (SELECT dst AS id FROM follow GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 3)"
+TOP20 = "creator AS (SELECT dst AS id FROM follow GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 20)"
+MOST_ACTIVE20 = ("who AS (SELECT src AS id FROM follow GROUP BY src "
+                 "ORDER BY count(*) DESC, src LIMIT 20)")
 MOST_ACTIVE = ("who AS (SELECT src AS id FROM follow GROUP BY src "
                "ORDER BY count(*) DESC, src LIMIT 1)")
 
@@ -102,10 +105,10 @@ ppr(it, source, id, deg, rank, delta, active) AS (
 last AS (SELECT * FROM ppr WHERE it = (SELECT max(it) FROM ppr)),
 pranks AS (SELECT source, id, rank / sum(rank) OVER (PARTITION BY source) AS rank FROM last),
 recs AS (
-  SELECT source AS id, id AS recId FROM (
-    SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY round(rank, 9) DESC, id) AS rn
-    FROM pranks WHERE id <> source AND rank > 0)
-  WHERE rn = 1)"""
+  SELECT s.id, x.recId FROM seeds s LEFT JOIN (
+    SELECT source, id AS recId,
+           row_number() OVER (PARTITION BY source ORDER BY round(rank, 9) DESC, id) AS rn
+    FROM pranks WHERE id <> source AND rank > 0) x ON x.source = s.id AND x.rn = 1)"""
 
 
 # --------------------------------------------------------------- components
@@ -138,9 +141,17 @@ def _band_edges(members: str, name: str) -> str:
             f"WHERE src IN (SELECT id FROM {members}) OR dst IN (SELECT id FROM {members}))")
 
 
+# The component of one vertex (most followed) from its forward and backward reach, the others from
+# the closure of the graph without it.
 SCC_CTES = """
 e AS (SELECT DISTINCT src, dst FROM follow WHERE src <> dst),
-reach(a, b) AS (SELECT id, id FROM vertices UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b)"""
+hub AS (SELECT dst AS id FROM follow GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+forth(id) AS (SELECT id FROM hub UNION SELECT e.dst FROM forth f JOIN e ON e.src = f.id),
+back(id) AS (SELECT id FROM hub UNION SELECT e.src FROM back f JOIN e ON e.dst = f.id),
+giant AS (SELECT id FROM forth INTERSECT SELECT id FROM back),
+rest AS (SELECT id FROM vertices EXCEPT SELECT id FROM giant),
+e2 AS (SELECT src, dst FROM e SEMI JOIN rest a ON a.id = src SEMI JOIN rest b ON b.id = dst),
+reach(a, b) AS (SELECT id, id FROM rest UNION SELECT r.a, e2.dst FROM reach r JOIN e2 ON e2.src = r.b)"""
 
 LPA_CTES = f"""
 heard AS (SELECT dst AS r, src AS s FROM follow UNION ALL SELECT src AS r, dst AS s FROM follow),
@@ -171,98 +182,112 @@ sample AS (SELECT creator, fan FROM fe WHERE rn <= floor(0.1 * n))"""
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["users_scan"] = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS intro FROM customer"
-    q["follow_scan"] = _with("mid") + " SELECT src, dst, 1.0::DOUBLE AS weight FROM follow"
+    q["follow_scan"] = _with("full") + " SELECT src, dst, 1.0::DOUBLE AS weight FROM follow"
     q["follow_scan_alt_layout"] = q["follow_scan"]
-    q["graph_vertices"] = _with("mid") + " SELECT id, name, intro FROM vertices"
-    q["fan_edge_subgraph"] = (_with("dense", CREATOR) +
+    q["graph_vertices"] = _with("full") + " SELECT id, name, intro FROM vertices"
+    q["fan_edge_subgraph"] = (_with("full", CREATOR) +
                               " SELECT src, dst, 1.0::DOUBLE AS weight FROM follow "
                               "WHERE dst IN (SELECT id FROM creator)")
-    q["fan_subgraph_vertices"] = (_with("dense", CREATOR) +
+    q["fan_subgraph_vertices"] = (_with("full", CREATOR) +
                                   " SELECT id, 'Unknown' AS name, 'Unknown' AS intro FROM ("
                                   "SELECT src AS id FROM follow WHERE dst IN (SELECT id FROM creator) "
                                   "UNION SELECT dst FROM follow WHERE dst IN (SELECT id FROM creator))")
-    q["graph_nodes_export"] = (_with("sparse") +
+    q["graph_nodes_export"] = (_with("orders") +
                                " SELECT id, CAST(id AS VARCHAR) AS label, 'marked' AS class FROM vertices")
-    q["graph_edges_export"] = (_with("sparse") +
+    q["graph_edges_export"] = (_with("orders") +
                                " SELECT CAST(src AS VARCHAR) || '-' || CAST(dst AS VARCHAR) AS edge_id, "
                                "src, dst, true AS directed FROM follow")
-    q["fan_counts"] = _with("dense") + " SELECT dst AS id, count(*) AS fans FROM follow GROUP BY dst"
-    q["max_in_degree"] = (_with("dense") + " SELECT dst AS id, count(*) AS degree FROM follow "
+    q["fan_counts"] = _with("full") + " SELECT dst AS id, count(*) AS fans FROM follow GROUP BY dst"
+    q["max_in_degree"] = (_with("full") + " SELECT dst AS id, count(*) AS degree FROM follow "
                           "GROUP BY dst ORDER BY degree DESC, id LIMIT 1")
-    q["max_out_degree"] = (_with("dense") + " SELECT src AS id, count(*) AS degree FROM follow "
+    q["max_out_degree"] = (_with("full") + " SELECT src AS id, count(*) AS degree FROM follow "
                            "GROUP BY src ORDER BY degree DESC, id LIMIT 1")
-    fan_rank = (_with("dense") + " SELECT v.id, v.name, v.intro, f.fans FROM vertices v "
+    fan_rank = (_with("full") + " SELECT v.id, v.name, v.intro, f.fans FROM vertices v "
                 "JOIN (SELECT dst, count(*) AS fans FROM follow GROUP BY dst) f ON f.dst = v.id "
                 "ORDER BY f.fans DESC, v.id")
     q["fan_ranking"] = fan_rank
     q["top_fans"] = fan_rank + " LIMIT 10"
-    q["pagerank"] = _with("mid", PR_CTES, recursive=True) + " SELECT id, round(rank, 6) AS rank FROM ranks"
-    infl = (_with("dense", PR_CTES, recursive=True) +
+    q["pagerank"] = _with("full", PR_CTES, recursive=True) + " SELECT id, round(rank, 6) AS rank FROM ranks"
+    infl = (_with("full", PR_CTES, recursive=True) +
             " SELECT v.id, v.name, v.intro, round(r.rank, 6) AS rank FROM vertices v "
             "JOIN ranks r ON r.id = v.id ORDER BY round(r.rank, 9) DESC, v.id")
     q["influence_ranking"] = infl
     q["top_influence"] = infl + " LIMIT 10"
     q["personalized_pagerank_one"] = (
-        _with("mid", MOST_ACTIVE, _ppr_ctes("SELECT id FROM who"), recursive=True) +
+        _with("full", MOST_ACTIVE, _ppr_ctes("SELECT id FROM who"), recursive=True) +
         " SELECT id, round(rank, 6) AS rank FROM pranks")
-    q["recommend_one"] = (_with("mid", MOST_ACTIVE, _ppr_ctes("SELECT id FROM who"), recursive=True) +
+    q["recommend_one"] = (_with("full", MOST_ACTIVE20, _ppr_ctes("SELECT id FROM who"), recursive=True) +
                           " SELECT id, recId FROM recs")
     q["personal_recommendations"] = (
-        _with("sparse", _ppr_ctes("SELECT id FROM vertices"), recursive=True) +
+        _with("orders", _ppr_ctes("SELECT id FROM vertices"), recursive=True) +
         " SELECT id, recId FROM recs")
-    q["connected_components"] = _with("mid", CC_CTES, recursive=True) + " SELECT id, component FROM labels"
-    q["connected_components_sparse"] = (_with("sparse", CC_CTES, recursive=True) +
+    q["connected_components"] = _with("full", CC_CTES, recursive=True) + " SELECT id, component FROM labels"
+    q["connected_components_sparse"] = (_with("orders", CC_CTES, recursive=True) +
                                         " SELECT id, component FROM labels")
-    q["community_members"] = (_with("sparse", CC_CTES, recursive=True) +
+    q["community_members"] = (_with("orders", CC_CTES, recursive=True) +
                               " SELECT l.component, v.id, v.name FROM labels l JOIN vertices v ON v.id = l.id")
-    q["community_sizes"] = _with("sparse", CC_CTES, recursive=True) + " SELECT component, size FROM sizes"
+    q["community_sizes"] = _with("orders", CC_CTES, recursive=True) + " SELECT component, size FROM sizes"
     q["community_census"] = (
-        _with("sparse", CC_CTES, recursive=True) +
+        _with("orders", CC_CTES, recursive=True) +
         """, bands(band, o) AS (VALUES ('1', 1), ('2-4', 2), ('5-9', 3), ('10+', 4)),
         banded AS (SELECT CASE WHEN size = 1 THEN '1' WHEN size < 5 THEN '2-4'
                                WHEN size < 10 THEN '5-9' ELSE '10+' END AS band FROM sizes)
         SELECT b.band, count(x.band) AS communities FROM bands b
         LEFT JOIN banded x ON x.band = b.band GROUP BY b.band""")
     q["isolated_users"] = (
-        _with("sparse", CC_CTES, recursive=True) +
+        _with("orders", CC_CTES, recursive=True) +
         " SELECT l.component, CAST(l.component AS VARCHAR) || '->' || v.name AS line "
         "FROM labels l JOIN sizes s ON s.component = l.component JOIN vertices v ON v.id = l.id "
         "WHERE s.size = 1")
     q["community_edges"] = (
-        _with("sparse", CC_CTES, _band_members(10, 20, "members"), _band_edges("members", "cedges"),
+        _with("orders", CC_CTES, _band_members(10, 20, "members"), _band_edges("members", "cedges"),
               recursive=True) + " SELECT Source, Target, Type FROM cedges")
     q["community_edges_incremental"] = (
-        _with("sparse", CC_CTES, _band_members(10, 20, "members"), _band_edges("members", "cedges"),
+        _with("orders", CC_CTES, _band_members(10, 20, "members"), _band_edges("members", "cedges"),
               _band_members(10, 15, "old_members"), _band_edges("old_members", "stored"),
               recursive=True) +
         " SELECT Source, Target, Type FROM cedges EXCEPT SELECT Source, Target, Type FROM stored")
-    q["fan_sample"] = _with("dense", CREATOR, FAN_SAMPLE) + " SELECT creator, fan FROM sample"
+    q["fan_sample"] = _with("full", TOP20, FAN_SAMPLE) + " SELECT creator, fan FROM sample"
     q["fan_sample_all_creators"] = (
-        _with("dense", "creator AS (SELECT DISTINCT dst AS id FROM follow)", FAN_SAMPLE) +
+        _with("full", "creator AS (SELECT DISTINCT dst AS id FROM follow)", FAN_SAMPLE) +
         " SELECT creator, fan FROM sample")
     q["fan_ego_edges"] = (
-        _with("dense", CREATOR, FAN_SAMPLE) +
+        _with("full", CREATOR, FAN_SAMPLE) +
         " SELECT DISTINCT src AS Source, dst AS Target, 'Directed' AS Type FROM follow "
         "WHERE src IN (SELECT fan FROM sample) OR dst IN (SELECT fan FROM sample)")
     q["creator_fan_star"] = (
-        _with("dense", TOP3, PR_CTES, recursive=True) +
+        _with("full", TOP3, PR_CTES, recursive=True) +
         " SELECT f.src AS Source, f.dst AS Target, round(r.rank, 6) AS Weight, 'Directed' AS Type "
         "FROM follow f JOIN ranks r ON r.id = f.dst WHERE f.dst IN (SELECT id FROM creator)")
-    q["id_list_roundtrip"] = (_with("sparse", CC_CTES, _band_members(10, 20, "members"), recursive=True) +
+    q["id_list_roundtrip"] = (_with("orders", CC_CTES, _band_members(10, 20, "members"), recursive=True) +
                               " SELECT id FROM members")
     q["id_list_edges"] = (
-        _with("sparse", CC_CTES, _band_members(10, 20, "members"), recursive=True) +
+        _with("orders", CC_CTES, _band_members(10, 20, "members"), recursive=True) +
         " SELECT f.src AS Source, f.dst AS Target, 'Directed' AS Type FROM follow f "
         "JOIN members m ON m.id = f.src "
         "UNION ALL SELECT f.src, f.dst, 'Directed' FROM follow f JOIN members m ON m.id = f.dst")
     q["strongly_connected_components"] = (
-        _with("mid", SCC_CTES, recursive=True) +
+        _with("full", SCC_CTES, recursive=True) +
         " SELECT r1.b AS id, min(r1.a) AS component FROM reach r1 "
-        "JOIN reach r2 ON r2.a = r1.b AND r2.b = r1.a GROUP BY r1.b")
-    q["label_propagation"] = _with("mid", LPA_CTES, recursive=True) + " SELECT id, label FROM labels"
-    q["lpa_communities"] = (_with("mid", LPA_CTES, recursive=True) +
+        "JOIN reach r2 ON r2.a = r1.b AND r2.b = r1.a GROUP BY r1.b "
+        "UNION ALL SELECT id, (SELECT min(id) FROM giant) FROM giant")
+    q["label_propagation"] = _with("full", LPA_CTES, recursive=True) + " SELECT id, label FROM labels"
+    q["lpa_communities"] = (_with("full", LPA_CTES, recursive=True) +
                             " SELECT label, size FROM lsizes WHERE size > 10")
     q["lpa_community_members"] = (
-        _with("mid", LPA_CTES, recursive=True) +
+        _with("full", LPA_CTES, recursive=True) +
         " SELECT l.label, l.id FROM labels l JOIN lsizes s ON s.label = l.label WHERE s.size > 10")
+    q["job_top_k_fans"] = q["top_fans"]
+    q["job_top_k_up"] = q["top_influence"]
+    q["job_personal_rec"] = q["personal_recommendations"]
+    top10 = """top10 AS (SELECT id, rank FROM ranks ORDER BY round(rank, 9) DESC, id LIMIT 10)"""
+    q["job_top_up_fans"] = (
+        _with("full", PR_CTES, top10, recursive=True) +
+        " SELECT f.src AS Source, f.dst AS Target, round(t.rank, 6) AS Weight, 'Directed' AS Type "
+        "FROM follow f JOIN top10 t ON t.id = f.dst")
+    q["job_fans_of"] = (
+        _with("full", TOP3, FAN_SAMPLE) +
+        " SELECT DISTINCT src AS Source, dst AS Target, 'Directed' AS Type FROM follow "
+        "WHERE src IN (SELECT fan FROM sample) OR dst IN (SELECT fan FROM sample)")
+    q["job_comu"] = q["id_list_edges"]
     return q

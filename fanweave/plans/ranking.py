@@ -56,6 +56,12 @@ def max_out_degree(graph: FollowGraph) -> DataFrame:
     return max_degree(out_degrees(graph.edges, "degree"), "degree")
 
 
+def most_active(graph: FollowGraph, k: int = 1) -> DataFrame:
+    """(id, degree) of the k vertices that follow most others; ties -> smallest id."""
+    return (out_degrees(graph.edges, "degree")
+            .orderBy(F.desc("degree"), F.asc("id")).limit(k))
+
+
 def top_creators(graph: FollowGraph, k: int = 1) -> DataFrame:
     """(id, fans) of the k most-followed vertices; ties -> smallest id."""
     return (in_degrees(graph.edges, "fans")

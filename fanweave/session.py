@@ -74,8 +74,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Rows per partition the iterative loops aim for (bounded by the session's
-# shuffle partitions above and its default parallelism below).
+# Rows per partition the iterative loops aim for (at least the
+# session's default parallelism).
 LOOP_ROWS_PER_PARTITION = 2_000_000
 
 
@@ -84,8 +84,7 @@ def loop_partitions(spark: SparkSession, n_rows: int) -> int:
 
     Adaptive execution is off inside the loops (it would break their fixed
     co-partitioning), so tiny inputs must not be spread over hundreds of
-    near-empty tasks, and large ones must not exceed the configured width."""
-    upper = shuffle_partitions(spark)
-    lower = min(upper, max(1, spark.sparkContext.defaultParallelism))
-    want = -(-max(0, n_rows) // LOOP_ROWS_PER_PARTITION)
-    return max(lower, min(upper, want))
+    near-empty tasks. There is no upper bound: a partition holds at most about
+    LOOP_ROWS_PER_PARTITION rows at any size."""
+    lower = max(1, min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism))
+    return max(lower, -(-max(0, n_rows) // LOOP_ROWS_PER_PARTITION))

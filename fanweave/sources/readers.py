@@ -55,7 +55,9 @@ ALT_LAYOUT = {"src_col": "soureId", "dst_col": "dstId"}
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """A text file with one id per line -> (id LONG); blank lines skipped."""
-    text = spark.read.text(path)
-    return (text.where(F.trim("value") != "")
-            .select(F.trim("value").cast("long").alias("id")))
+    """A text file with one id per line -> (id LONG). A blank line, like any other that is no
+    number, is an error."""
+    line = F.trim("value")
+    bad = F.raise_error(F.concat(F.lit("not an id: '"), line, F.lit("'"))).cast("long")
+    return spark.read.text(path).select(
+        F.coalesce(line.try_cast("long"), bad).alias("id"))

@@ -8,6 +8,7 @@ find-then-insert pattern as distinct + anti-join against what is stored.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +16,6 @@ from ..operators.neighborhood import RESULT_EDGE_COLUMNS, absent_from
 from ..session import ensure_checkpoint_dir
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
 def write_table(df: DataFrame, path: str, mode: str = "append", format: str = "parquet",
                 options: dict | None = None) -> None:
     """K1-K4, K7: write rows (``append`` like the original inserts, or ``overwrite``)."""
@@ -31,12 +25,19 @@ def write_table(df: DataFrame, path: str, mode: str = "append", format: str = "p
     writer.save(path)
 
 
-def read_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame | None:
-    return spark.read.format(format).load(path) if _exists(spark, path) else None
+def read_table(spark: SparkSession, path: str, format: str = "parquet",
+               options: dict | None = None) -> DataFrame | None:
+    """The stored rows, or None where nothing is stored yet."""
+    try:
+        return spark.read.format(format).options(**(options or {})).load(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+            return None
+        raise
 
 
 def insert_if_absent(df: DataFrame, path: str, keys: tuple[str, ...] = RESULT_EDGE_COLUMNS,
-                     format: str = "parquet") -> DataFrame:
+                     format: str = "parquet", options: dict | None = None) -> DataFrame:
     """K5/K6: append the rows whose key is not stored yet; returns what was added.
 
     The new rows are computed against the current table, checkpointed (so the
@@ -44,9 +45,9 @@ def insert_if_absent(df: DataFrame, path: str, keys: tuple[str, ...] = RESULT_ED
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    existing = read_table(spark, path, format)
+    existing = read_table(spark, path, format, options)
     fresh = absent_from(df, existing, keys).checkpoint(eager=True)
-    fresh.write.mode("append").format(format).save(path)
+    write_table(fresh, path, "append", format, options)
     return fresh
 
 

@@ -97,7 +97,7 @@ def test_label_propagation_step_count_is_honoured(hand_graph):
 @pytest.mark.parametrize("hot_degree", [0, 1])
 def test_label_propagation_hot_senders(spark, hot_degree):
     from fanweave.plans.catalog import graph_of
-    g = graph_of(spark, "/root/testdata/sf0.001", "mid")
+    g = graph_of(spark, "/root/testdata/sf0.001", "full")
     plain = by_id(label_propagation(g, 6), value="label", offset=0)
     split = by_id(label_propagation(g, 6, hot_degree=hot_degree), value="label", offset=0)
     assert plain == split

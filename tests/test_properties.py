@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test data not pr
 
 @pytest.fixture(scope="module")
 def mid(spark):
-    return graph_of(spark, SF, "mid").persist()
+    return graph_of(spark, SF, "full").persist()
 
 
 def test_fans_sum_to_edges(mid):
