@@ -55,9 +55,9 @@ def test_personalized_pagerank(hand_graph, spark):
         assert rows[k] == pytest.approx(v, abs=1e-5)
     for s in range(1, 12):
         assert sum(v for (a, _), v in rows.items() if a == s) == pytest.approx(1.0, abs=1e-12)
-    recs = {r.id - OFF: r.recId - OFF for r in best_other(ppr).collect()}
-    assert recs[1] == 3 and recs[4] == 3 and recs[7] == 9
-    assert 9 not in recs and 5 not in recs  # nothing else reachable -> no row
+    recs = {r.id - OFF: r.recId for r in best_other(ppr).collect()}
+    assert recs[1] == recs[4] == 3 + OFF and recs[7] == 9 + OFF
+    assert recs[9] is None and recs[5] is None  # nothing else reachable
 
 
 def test_personalized_pagerank_batches(hand_graph):

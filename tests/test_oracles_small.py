@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fanweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["customer", "orders", "lineitem"]
@@ -26,14 +27,13 @@ def duck():
     return con
 
 
-FAST = ["users_scan", "follow_scan_alt_layout", "graph_vertices", "fan_subgraph_vertices",
-        "graph_edges_export", "fan_ranking", "top_fans", "max_out_degree", "pagerank",
-        "personal_recommendations", "community_census", "community_edges_incremental",
-        "fan_sample_all_creators", "fan_ego_edges", "id_list_edges", "label_propagation"]
+# The iterative ones run here on both graphs once; all the others share their operators.
+NAMES = sorted(set(catalog.QUERIES) - {"top_influence", "job_top_k_up", "recommend_one",
+                                       "lpa_communities", "influence_ranking"})
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     rows, cols = [tuple(r) for r in df.collect()], df.columns
@@ -45,7 +45,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")

@@ -91,6 +91,6 @@ def test_loop_partitions_follow_data_size(spark):
         lower = min(200, spark.sparkContext.defaultParallelism)
         assert loop_partitions(spark, 1000) == lower            # tiny: no 200 empty tasks
         assert loop_partitions(spark, 50 * LOOP_ROWS_PER_PARTITION) == max(lower, 50)
-        assert loop_partitions(spark, 10 ** 15) == 200          # huge: configured width caps it
+        assert loop_partitions(spark, 10 ** 12) == 10 ** 12 // LOOP_ROWS_PER_PARTITION  # no cap
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
