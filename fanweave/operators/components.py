@@ -74,8 +74,8 @@ def _star_round(E: DataFrame) -> tuple[DataFrame, dict]:
 def connected_components(graph: FollowGraph) -> DataFrame:
     """(id, component) for every vertex (edges taken as undirected)."""
     graph, _ = graph.materialize_counted()
-    E, _ = materialize(_undirected(graph.edges))
-    violations = 1
+    E, m = materialize(_undirected(graph.edges), {"n": F.count(F.lit(1))})
+    violations = m["n"]
     while violations:
         E, m = _star_round(E)
         violations = m["violations"]
