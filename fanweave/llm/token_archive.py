@@ -33,30 +33,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fanweave.llm.common import scratch_path, texts
+from fanweave.llm.common import scratch_path, text_slices
+from fanweave.llm.id_table import IdTable
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 DICTIONARY_BYTES = 64 * 1024
 TRAIN_DOCS = 1000                   # bound of the sample that the dictionary is trained on
-BLOCK_BYTES = 2 << 20
-ZSTD_LEVEL = 3
-CACHE_WORDS = 300_000
+BLOCK_BYTES = 512 << 10
+PART_CHARS = 512 << 10              # characters that are encoded at once
+ZSTD_LEVEL = 1
 BUCKET_DOCS = 20_000
 MAGIC = b"TIDA"
 _HEAD = "<4sI32sQ"
 BLOCKS = ("bucket int, block int, min_id long, max_id long, docs long, tokens long, data binary")
 
-# Python splits at these, the tokenizer does not; a special token may hold no blank.
-_ODD = re.compile("[\x1c-\x1f]")
-_MARKS = ".,;:!?"
+# Texts of these characters only can be cut into pre-tokens by _CLASS exactly as the tokenizer does
+# it (no apostrophe, no special token, letters that stay letters); others go to the library whole.
+_OTHER = re.compile(
+    "[^\t\n\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]|<\\|")
+# Classes of the bytes of such a text, lower-cased: 0 blank, 1 letter, 2 digit, 3 other.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0, 9, 10, 13, 32]] = 0
+_CLASS[0x61:0x7B] = _CLASS[0x80:] = 1
+_CLASS[0x30:0x3A] = 2
 
 
 class WordEncoder:
-    """Encodes whole texts; the library sees every distinct word once, in long joined calls.
-
-    The tokenizer drops white space and never joins across it, and a word of letters is one
-    pre-token, so the ids of a text are those of its blank-separated pieces in order."""
+    """Encodes whole texts; the library sees every distinct pre-token once, words in long joined
+    calls. The ids of a text are those of its pre-tokens in order."""
 
     def __init__(self, path: str):
         self.lib = Tokenizer.from_file(path)
@@ -64,46 +69,43 @@ class WordEncoder:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
             self.closes[i] = piece.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            some = words[at:at + 2000]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        self.table = IdTable(self._solve)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _solve(self, tokens: list[bytes]) -> list[np.ndarray]:
+        """Ids of pre-tokens. One call of the library takes many, put apart by blanks: a pre-token
+        ends with an id that closes a word."""
+        out: list[np.ndarray] = []
+        for at in range(0, len(tokens), 2000):
+            some = [t.decode() for t in tokens[at:at + 2000]]
+            ids = self._whole(" ".join(some))
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
-                raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-                self.words.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                cuts = [0, *ends.tolist()]
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
             else:
-                self.words.update((w, self._whole(w)) for w in some)
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        split = [None if _ODD.search(t) else t.split() for t in batch]
-        pieces = set().union(*(s for s in split if s is not None))
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        plain: dict[str, tuple[str, str]] = {}
-        for p in pieces:
-            word = p.rstrip(_MARKS)
-            low = word.lower()
-            if low.isalpha():
-                plain[p] = (low, p[len(word):])
-        self._learn(list({w for w, _ in plain.values()} - self.words.keys()))
-        ids: dict[str, bytes] = {}
-        for p in pieces:
-            if p in plain:
-                word, mark = plain[p]
-                if mark not in self.marks:
-                    self.marks[mark] = self._whole(mark)
-                ids[p] = self.words[word] + self.marks[mark]
-            else:
-                ids[p] = self._whole(p)
-        return [self._whole(t) if s is None else b"".join([ids[p] for p in s])
-                for t, s in zip(batch, split)]
+                out += [self._whole(w) for w in some]
+        return out
+
+    def encode(self, batch: list[str]) -> list[np.ndarray]:
+        plain = [not _OTHER.search(t) for t in batch]
+        raws = [t.lower().encode() if p else b"" for t, p in zip(batch, plain)]
+        # A zero byte ends each text; eight more are spare.
+        raw = np.frombuffer(b"\0".join([*raws, b"\0" * 8]), np.uint8)
+        kind = _CLASS[raw[:-8]]
+        new = np.ones(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        begin = np.flatnonzero(new)
+        stop = np.append(begin[1:], len(kind))
+        token = kind[begin] > 0
+        begin, stop = begin[token], stop[token]
+        ids, offsets = self.table.lookup(raw, begin, stop)
+        first = np.cumsum([0] + [len(r) + 1 for r in raws])
+        cuts = offsets[np.searchsorted(begin, first)].tolist()
+        return [ids[a:b] if p else self._whole(t)
+                for t, p, a, b in zip(batch, plain, cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -111,21 +113,8 @@ def encoder(name: str = VOCABULARY) -> WordEncoder:
     return WordEncoder(public_tokenizers.path(name))
 
 
-def _parts(column: pa.Array, chars: int = 4 << 20) -> Iterator[list[str]]:
-    """The texts of a batch in parts of bounded size."""
-    part, size = [], 0
-    for t in texts(column):
-        part.append(t)
-        size += len(t)
-        if size > chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
-def _with_end(ids: bytes) -> bytes:
-    return ids + struct.pack("<I", END_ID)
+def _with_end(ids: np.ndarray) -> bytes:
+    return ids.astype("<u4").tobytes() + struct.pack("<I", END_ID)
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> bytes:
@@ -137,7 +126,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> bytes:
 
     def run(batches):
         for b in batches:
-            for part in _parts(b.column("text")):
+            for _, part in text_slices(b.column("text"), PART_CHARS):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_with_end(x)[:1 << 14] for x in encoder().encode(part)],
                               pa.binary())], names=["ids"])
@@ -162,10 +151,8 @@ def _encode(dictionary: bytes, bounds: np.ndarray):
             zd.precompute_compress(level=ZSTD_LEVEL)
         z = zstandard.ZstdCompressor(level=ZSTD_LEVEL, dict_data=zd)
         for b in batches:
-            at = 0
-            for part in _parts(b.column("text")):
+            for at, part in text_slices(b.column("text"), PART_CHARS):
                 rows = b.slice(at, len(part))
-                at += len(part)
                 ids = rows.column("doc_id")
                 known = np.array(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
                 bucket = np.searchsorted(bounds, known, side="right").astype(np.int32)
@@ -257,8 +244,9 @@ def _decode(dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
         for b in batches:
-            for bucket, block, data in zip(*[b.column(c).to_pylist() for c in
-                                             ("bucket", "block", "data")]):
+            for bucket, block, data in zip(b.column("bucket").to_pylist(),
+                                           b.column("block").to_pylist(), b.column("data")):
+                data = data.as_py()
                 known, ids, offsets, counts = _parse(data, digest)
                 crcs = np.empty(len(ids), np.int64)
                 sizes = np.empty(len(ids), np.int64)
