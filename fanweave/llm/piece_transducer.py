@@ -23,7 +23,6 @@ a literal U+2581 decodes to a blank, as in the library.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from fanweave.llm.common import texts
+from fanweave.llm.common import text_slices
+from fanweave.llm.id_table import IdTable
 
 VOCABULARY = "piece_bpe_32k.model"
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 BPE = 2
-CACHE_STRETCHES = 600_000
-PART_CHARS = 4 << 20
+CACHE_PAIRS = 1_000_000
+PART_CHARS = 512 << 10
 INFINITY = float("inf")
 
 
@@ -65,7 +65,8 @@ class Transducer:
                          if p.type == BYTE}
         self._compile()
         self._decoder(model)
-        self.solved: dict[str, bytes] = {}
+        self.table = IdTable(lambda some: [
+            self._solve(x.decode().replace(" ", BLANK)) for x in some])
         self.pairs: dict[str, dict[str, float]] = {}
         self.n_pairs = 0
 
@@ -87,7 +88,14 @@ class Transducer:
         self.joined = joined
         if any(a != BLANK and b == BLANK for a, b in joined):
             raise ValueError("pieces that go on after a blank are not supported")
-        self.stretch = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        # Pairs of bytes of a text between which no piece goes on, for a first cut: ASCII pairs, and
+        # everything before the first of some blanks.
+        self.apart = np.zeros(1 << 16, bool)
+        for a in range(128):
+            for b in range(128):
+                pair = (BLANK if a == 32 else chr(a), BLANK if b == 32 else chr(b))
+                self.apart[a * 256 + b] = pair not in joined
+        self.apart[128 * 256 + 32::256] = True
 
     def _merge(self, text: str) -> list[str]:
         """The merges of a BPE model on a short string: best score first, then leftmost."""
@@ -108,7 +116,7 @@ class Transducer:
             weight = 0.0
         else:
             weight = 0.0 if self._merge(before + piece) == [before, piece] else INFINITY
-        if self.n_pairs > 2 * CACHE_STRETCHES:
+        if self.n_pairs > CACHE_PAIRS:
             self.pairs.clear()
             self.n_pairs = 0
         self.pairs.setdefault(before, {})[piece] = weight
@@ -170,31 +178,32 @@ class Transducer:
             return [own]
         return [self.byte_ids.get(b, self.unknown) for b in piece.encode()]
 
-    def _solve(self, stretch: str) -> bytes:
+    def _solve(self, stretch: str) -> np.ndarray:
         """Ids of a stretch, cut further where no piece joins its characters."""
         out, begin = [], 0
         for i in range(1, len(stretch) + 1):
             if i == len(stretch) or (stretch[i - 1], stretch[i]) not in self.joined:
-                part = stretch[begin:i]
-                done = self.solved.get(part)
-                if done is None:
-                    ids = [x for p in self.shortest_path(self.compose(part))
-                           for x in self._piece_ids(p)]
-                    done = self.solved[part] = np.array(ids, "<i4").tobytes()
-                out.append(done)
+                for p in self.shortest_path(self.compose(stretch[begin:i])):
+                    out += self._piece_ids(p)
                 begin = i
-        return b"".join(out)
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian int32 ids of each text."""
-        cut = [self.stretch.findall(self.normalise(t)) for t in batch]
-        if len(self.solved) > CACHE_STRETCHES:
-            self.solved.clear()
-        new = set().union(*cut) - self.solved.keys()
-        fresh = {s: self._solve(s) for s in new}
-        self.solved.update(fresh)
-        ids = self.solved.__getitem__
-        return [b"".join(map(ids, c)) for c in cut]
+        return np.array(out, np.int32)
+
+    def encode(self, batch: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        first = " " if self.first_blank else ""
+        plain = [BLANK not in t for t in batch]
+        raws = [(first + t).encode() if t and p else b"" for t, p in zip(batch, plain)]
+        raw = np.frombuffer(b"".join([*raws, b"\0" * 8]), np.uint8)
+        n = len(raw) - 8
+        begins = np.cumsum([0] + [len(r) for r in raws])
+        new = np.zeros(n + 1, bool)
+        new[1:n] = self.apart[raw[:n - 1].astype(np.uint16) * np.uint16(256) + raw[1:n]]
+        new[begins] = True
+        start = np.flatnonzero(new[:n])
+        ids, offsets = self.table.lookup(raw, start, np.append(start[1:], n)[:len(start)])
+        cuts = offsets[np.searchsorted(start, begins)].tolist()
+        return [ids[a:b] if p else self._solve(self.normalise(t))
+                for t, p, a, b in zip(batch, plain, cuts, cuts[1:])]
 
     # --- decoding
 
@@ -229,23 +238,16 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = transducer()
     for b in batches:
         docs = b.column("doc_id")
-        at = 0
-        own = texts(b.column("text"))
-        while at < len(own):
-            stop, size = at, 0
-            while stop < len(own) and size <= PART_CHARS:
-                size += len(own[stop])
-                stop += 1
-            ids = [np.frombuffer(x, "<i4") for x in t.encode(own[at:stop])]
+        for at, own in text_slices(b.column("text"), PART_CHARS):
+            ids = t.encode(own)
             back = [t.decode(x) for x in ids]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [docs.slice(at, stop - at), pa.array(np.diff(offsets), pa.int64()),
+                [docs.slice(at, len(own)), pa.array(np.diff(offsets), pa.int64()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
                  pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
-                 pa.array([x == y for x, y in zip(back, own[at:stop])], pa.bool_())],
+                 pa.array([x == y for x, y in zip(back, own)], pa.bool_())],
                 names=["doc_id", "n_tokens", "ids", "decoded_sha256", "exact"])
-            at = stop
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
