@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanweave.llm.common import texts
+from fanweave.llm.common import text_slices
 
 ROLL = 7
 MIN_LEVEL = 2                 # smallest block size: 4 bytes
@@ -189,12 +189,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         rows, size = [], 0
         buckets, flags, ids = (b.column(c).to_pylist() for c in ("bucket", "flag", "doc_id"))
-        for bucket, flag, doc, text in zip(buckets, flags, ids, texts(b.column("text"))):
+        own = (t for _, run in text_slices(b.column("text"), 1 << 20) for t in run)
+        for bucket, flag, doc, text in zip(buckets, flags, ids, own):
             print_ = fingerprint(text.encode())
             if held is not None and held[0] == bucket:
                 rows.append((held[1], held[2], print_, text[:len(held[2]) // 4], held[3]))
                 size += len(held[2])
-                if size > 4 << 20:
+                if size > 1 << 20:
                     yield emit(rows)
                     rows, size = [], 0
             held = None if flag else (bucket, doc, text, print_)

@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fanweave.llm.common import materialize, text_bytes
+from fanweave.llm.common import materialize, parts, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
+PART_BYTES = 2 << 20                 # text that is searched at once
 STRETCH = 1024                       # bytes of text per search position
 CLASS_FLOORS = (24, 8, 1)            # shortest pattern of each length class
 TABLE_BITS = 18
@@ -165,15 +166,19 @@ def _scan_block(searcher, schema: pa.Schema, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = searcher.value
         for b in batches:
-            first, hit, pairs = search.scan(*text_bytes(b.column(text_col)))
+            data, off = text_bytes(b.column(text_col))
             items: dict[int, set[str]] = {}
-            for doc, item in pairs:
-                items.setdefault(doc, set()).add(item)
+            hits: list[np.ndarray] = []
+            for s, e in parts(np.diff(off), PART_BYTES):
+                first, hit, pairs = search.scan(data[off[s]:off[e]], off[s:e + 1] - off[s])
+                hits += [hit[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+                for doc, item in pairs:
+                    items.setdefault(s + doc, set()).add(item)
             old_bits = b.column(HIT_BITS).to_pylist()
             old_items = b.column(ITEM_IDS).to_pylist()
             bits, ids = [], []
             for d in range(b.num_rows):
-                h = hit[first[d]:first[d + 1]]
+                h = hits[d]
                 if old_bits[d]:
                     h = h | np.unpackbits(np.frombuffer(old_bits[d], np.uint8),
                                           count=len(h)).astype(bool)
@@ -181,7 +186,7 @@ def _scan_block(searcher, schema: pa.Schema, text_col: str):
                 ids.append(sorted(items.get(d, set()) | set(old_items[d])))
             done = {HIT_BITS: pa.array(bits, pa.binary()),
                     ITEM_IDS: pa.array(ids, pa.list_(pa.string())),
-                    N_WORDS: pa.array(np.diff(first), pa.int64())}
+                    N_WORDS: pa.array([len(h) for h in hits], pa.int64())}
             yield pa.RecordBatch.from_arrays(
                 [done.get(f, b.column(f) if f in b.schema.names else None) for f in schema.names],
                 names=schema.names)

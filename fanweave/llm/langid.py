@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanweave.llm.common import crc32_mod, text_bytes
+from fanweave.llm.common import crc32_mod, parts, text_bytes
 
 ORDER = 3
 TRAIN_DOCS = 1500
 MAX_CONTEXTS = 20_000
 STRETCH = 256                 # bytes of one lane of the automaton
 LANES = 8192
+PART_BYTES = 2 << 20          # text that is scored at once
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -192,7 +193,10 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            bits = code_lengths(m, *text_bytes(b.column(text_col)))
+            data, off = text_bytes(b.column(text_col))
+            bits = np.concatenate([np.zeros((0, len(m.langs))), *(
+                code_lengths(m, data[off[s]:off[e]], off[s:e + 1] - off[s])
+                for s, e in parts(np.diff(off), PART_BYTES))])
             best = bits.argmin(1)
             odds = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000.0))
             letters = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
