@@ -33,16 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanweave.llm.common import materialize, text_bytes
+from fanweave.llm.common import discard, materialize, scratch_path, text_bytes, write_rows
 from fanweave.llm.suffix_sort import suffix_array
 
 LENGTH = 400
 MARGIN = 63                       # a context's windows are the 64 bits of a long
 CENTER = LENGTH - MARGIN
 BUCKET = 4096
-SEGMENT = 1 << 20                 # longer texts are hashed in overlapping segments
-PART = 2 << 20
-SORT_SYMBOLS = 200_000
+HASH_PARTS = 3
+SEGMENT = 1 << 18                 # longer texts are hashed in overlapping segments
+PART = 1 << 19
+SORT_SYMBOLS = 100_000
+TASK_MEMBERS = 4000                # contexts that one task sorts, on average
 PLACES = "__fw_places"            # column that is added to the documents' own ones
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -215,8 +217,8 @@ def _sort_buckets(buckets, masks, margin: int) -> None:
 
 def _solve_rows(margin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, ids, out = b.column("key").to_pylist(), [], []
+        for b in (big.slice(at, 256) for big in batches for at in range(0, big.num_rows, 256)):
+            keys, ids = b.column("key").to_pylist(), []
             buckets = [[(m["left"], m["right"], m["n"]) for m in members]
                        for members in b.column("members").to_pylist()]
             names = [[m["id"] for m in members] for members in b.column("members").to_pylist()]
@@ -236,7 +238,8 @@ def solve(members: DataFrame, margin: int = MARGIN, bucket: int = BUCKET) -> Dat
     large = materialize(sizes.where(F.col("size") > bucket), "repeats-large")
     hot = not large.isEmpty()
     fit = members.join(large, "key", "left_anti") if hot else members
-    grouped = fit.groupBy("key").agg(
+    tasks = max(1, -(-members.count() // TASK_MEMBERS))
+    grouped = fit.repartition(tasks, "key").groupBy("key").agg(
         F.collect_list(F.struct("id", "left", "right", "n")).alias("members"))
     # A lone member that occurs once has nothing to agree with.
     grouped = grouped.where((F.size("members") > 1) | (F.col("members")[0]["n"] > 1))
@@ -299,13 +302,20 @@ def repeat_places(docs: DataFrame) -> DataFrame:
     """(doc_id, th, places): for the texts with a repeated window, the anchors (pos, mask)."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.xxhash64("text").alias("th"), "text")
-    rows = materialize(
+    spark = docs.sparkSession
+    path, kept = scratch_path(spark, "repeats-anchors"), scratch_path(spark, "repeats-candidates")
+    rows = write_rows(
         named.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "text")
-        .mapInArrow(_anchor_rows, ANCHORS), "repeats-anchors")
-    owners = rows.where("pos < 0").select("rid", "doc_id", "th")
-    marks = rows.where("pos >= 0").select("rid", "pos", "hash", "context")
-    again = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    marks = materialize(marks.join(again, "hash"), "repeats-candidates")
+        .mapInArrow(_anchor_rows, ANCHORS), path)
+    owners = materialize(rows.where("pos < 0").select("rid", "doc_id", "th"), "repeats-owners")
+    # The anchors that occur again, one part of the hashes after the other: what is shuffled at a
+    # time takes that part of the disk.
+    for part in range(HASH_PARTS):
+        some = rows.where("pos >= 0").select("rid", "pos", "hash", "context").where(
+            F.pmod("hash", F.lit(HASH_PARTS)) == part)
+        again = some.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        marks = write_rows(some.join(again.select("hash"), "hash"), kept, "append")
+    discard(rows, path)
 
     classes = marks.groupBy("hash", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "pos")).alias("at"))
