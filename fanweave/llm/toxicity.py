@@ -15,11 +15,11 @@ and together cover the toxic texts, also with a symbol inserted; then, round by
 windows of the toxic texts join them, and the worst windows of the clean texts are added as
 counter-examples.
 
-Training reads at most about ``TRAIN_DOCS`` whole texts of either label, chosen by hash of the id,
+Training reads at most about ``TRAIN_DOCS`` whole texts of the two labels, chosen by hash of the id,
 from the rows outside the held-out fold.
 
-Defined results: null, empty and letterless texts have no window and get the curve's value for
-none; without training rows of both labels every score is the share of toxic rows (0 if none).
+Defined results: null, empty and blank texts score 0; texts without a letter get the curve's value
+for no window; without training rows of both labels every score is the share of toxic rows (0 if none).
 A null label is no label; rows of an id with several labels count under each of them.
 """
 
@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanweave.llm.common import crc32_mod, materialize, texts
+from fanweave.llm.common import crc32_mod, materialize, text_slices, texts
 
 WIDTH = 7
 ORDER = 3
 DECAY = 0.5
 LANDMARKS = 800
-TRAIN_DOCS = 2500
+TRAIN_DOCS = (8000, 2500)         # whole texts of label 0 and label 1
 ROUNDS = 2
 THRESHOLD = 0.3
 SCORE = "__fw_toxicity"          # column that is added to the documents' own ones
@@ -50,12 +50,12 @@ SYMBOLS = 64                     # 0: none, 1: start, 2-27: a-z, the rest: other
 ODDS = 6.0                       # how much likelier a toxic window is in toxic texts
 SUPPORT = 0.005                  # share of the toxic texts that a toxic window must occur in
 MAX_POSITIVES = 1500
-MAX_NEGATIVES = 4000
+MAX_NEGATIVES = 3000
 TOP = (1, 2, 3, 5, 8)            # which of a text's worst windows its score looks at
 LEVELS = (0.25, 0.75, 1.5)       # decision values above which a text's windows are counted
 FEATURES = len(TOP) + len(LEVELS) + 1
 FLOOR = -1.5                     # decision value that stands for "none"
-PART_CHARS = 8 << 20
+PART_CHARS = 3 << 20
 
 _MARKS = re.compile(r"[\W\d_]+")
 _SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_]\W?\s+){2,}[^\W\d_]\W?(?!\S)")
@@ -153,9 +153,9 @@ def _self_kernel(sym: np.ndarray) -> np.ndarray:
 def decide(model: Model, code: np.ndarray) -> np.ndarray:
     """The machine's decision value of every window."""
     out = np.empty(len(code))
-    for at in range(0, len(code), 1 << 17):
-        ids, w, norm = subsequences(code[at:at + (1 << 17)])
-        out[at:at + (1 << 17)] = (model.weights[ids] * w).sum(1) / norm
+    for at in range(0, len(code), 1 << 15):
+        ids, w, norm = subsequences(code[at:at + (1 << 15)])
+        out[at:at + (1 << 15)] = (model.weights[ids] * w).sum(1) / norm
     return out + model.intercept
 
 
@@ -268,33 +268,38 @@ def _gapped(code: np.ndarray) -> np.ndarray:
 
 
 def _doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, windows, their numbers of occurrences) of the training texts."""
+    """Of the training texts: label, minimum hashes, windows, their numbers of occurrences."""
+    kind = pa.list_(pa.int64())
     for b in batches:
-        out = []
-        for t in texts(b.column("text")):
-            found = pieces(t)
-            code, first = windows(list(found))
-            times = np.repeat(np.fromiter(found.values(), np.int64, len(found)),
-                              np.diff(np.append(first, len(code))))
-            distinct, at = np.unique(code, return_inverse=True)
-            out.append((distinct, np.bincount(at, weights=times, minlength=len(distinct))))
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("toxic"), pa.array([c.tolist() for c, _ in out], kind),
-             pa.array([n.astype(np.int64).tolist() for _, n in out], kind)],
-            names=["toxic", "windows", "counts"])
-
-
-def training_texts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+        for at, run in text_slices(b.column("text"), PART_CHARS):
+            codes, repeats, marks = [], [], []
+            for t in run:
+                found = pieces(t)
+                code, first = windows(list(found))
+                times = np.repeat(np.fromiter(found.values(), np.int64, len(found)),
+                                  np.diff(np.append(first, len(code))))
+                distinct, place = np.unique(code, return_inverse=True)
+                codes.append(distinct)
+                repeats.append(np.bincount(place, weights=times, minlength=len(distinct)))
+                marks.append(_marks(distinct))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("toxic").slice(at, len(run)),
+                 *(pa.array([x.astype(np.int64) for x in some], kind)
+                   for some in (marks, codes, repeats))],
+                names=["toxic", "marks", "windows", "counts"])
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, train_docs: tuple[int, int] = TRAIN_DOCS) -> DataFrame:
     """(toxic, text) of a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").alias("__fw_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & F.col("__fw_id").isNotNull()
                         & (crc32_mod(F.col("__fw_id"), 4) != 2))
     sizes = known.groupBy("toxic").agg(F.count(F.lit(1)).alias("rows"))
-    share = F.lit(float(train_docs)) / F.col("rows") * 1_000_003
+    most = F.when(F.col("toxic") == 1, float(train_docs[1])).otherwise(float(train_docs[0]))
+    share = most / F.col("rows") * 1_000_003
     known = known.join(F.broadcast(sizes), "toxic").where(
         F.pmod(F.xxhash64("__fw_id"), F.lit(1_000_003)) < share).select("__fw_id", "toxic")
-    # About 2 * train_docs small rows, by the sampling above.
+    # About sum(train_docs) small rows, by the sampling above.
     return docs.select("doc_id", "text").join(
         F.broadcast(known), F.col("doc_id") == F.col("__fw_id")).select("toxic", "text")
 
@@ -326,60 +331,86 @@ def _cover(bags: list[np.ndarray], code: np.ndarray, gain: np.ndarray, times: in
     return np.array(chosen, np.int64)
 
 
-def _once(bags: list[np.ndarray]) -> np.ndarray:
+def _marks(code: np.ndarray) -> np.ndarray:
+    """Eight minimum hashes of a text's windows; none if it has no window."""
+    keys = np.random.default_rng(0).integers(1, 1 << 62, 8, dtype=np.uint64) | np.uint64(1)
+    if not len(code):
+        return code
+    h = (code.astype(np.uint64)[:, None] + np.uint64(0x9E3779B97F4A7C15)) * keys
+    h ^= h >> np.uint64(29)
+    h *= keys
+    return (h >> np.uint64(16)).min(0)
+
+
+def _once(marks: list[list[int]]) -> np.ndarray:
     """One training text of each group of near copies, which would make their common words telling.
     Texts are near copies if most of their eight minimum hashes of windows agree."""
-    keys = np.random.default_rng(0).integers(1, 1 << 62, 8, dtype=np.uint64) | np.uint64(1)
     seen: dict[tuple[int, int], list[int]] = {}
     kept = []
-    for i, b in enumerate(bags):
-        h = (b.astype(np.uint64)[:, None] + np.uint64(0x9E3779B97F4A7C15)) * keys
-        h ^= h >> np.uint64(29)
-        h *= keys
-        marks = list(enumerate((h >> np.uint64(16)).min(0).tolist())) if len(b) else []
-        same = Counter(j for m in marks for j in seen.get(m, ()))
+    for i, own in enumerate(marks):
+        places = list(enumerate(own))
+        same = Counter(j for m in places for j in seen.get(m, ()))
         if same and max(same.values()) >= 5:
             continue
-        for m in marks:
+        for m in places:
             seen.setdefault(m, []).append(i)
         kept.append(i)
     return np.array(kept, np.int64)
 
 
+def _rank_rows(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for code, times in zip(b.column("windows").to_pylist(), b.column("counts").to_pylist()):
+                value, n = decide(model.value, np.array(code, np.int64)), np.array(times, np.int64)
+                above = np.array([n[value > t].sum() for t in LEVELS])
+                out.append(_ranks(value, n, above, n.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("toxic"), pa.array(out, pa.list_(pa.float64()))],
+                names=["toxic", "ranks"])
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit the machine; the sample's windows (numbers) come to the driver, bounded by it."""
-    sample = training_texts(docs, labels).mapInArrow(_doc_windows, "toxic int, windows array<long>, counts array<long>")
-    rows = materialize(sample, "toxicity").toArrow()
-    toxic = np.array(rows.column("toxic").to_pylist(), bool)
-    lists = rows.column("windows").combine_chunks()
-    flat = lists.flatten().to_numpy()
-    cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64) \
-        if len(lists) else np.zeros(1, np.int64)
-    bags = [flat[s:e] for s, e in zip(cuts, cuts[1:])]
-    times = rows.column("counts").combine_chunks().flatten().to_numpy()
-    counts = [times[s:e] for s, e in zip(cuts, cuts[1:])]
+    """Fit the machine. The driver gets, of the sample: minimum hashes, the windows of the toxic
+    texts, how many texts of either label hold each window, and the curve's features."""
+    spark = docs.sparkSession
+    sample = training_texts(docs, labels).mapInArrow(
+        _doc_windows, "toxic int, marks array<long>, windows array<long>, counts array<long>")
+    sample = materialize(sample.withColumn("row", F.monotonically_increasing_id()), "toxicity")
+    signs = sample.select("row", "toxic", "marks").toArrow()
+    toxic = np.array(signs.column("toxic").to_pylist(), bool)
     if not toxic.any() or toxic.all():
         share = float(toxic.mean()) if len(toxic) else 0.0
         share = min(max(share, 1e-9), 1 - 1e-9)
         curve = np.zeros(FEATURES + 1)
         curve[-1] = np.log(share / (1 - share))
         return Model(np.zeros(SYMBOLS ** ORDER, np.float32), 0.0, curve)
-    single = _once(bags)
-    toxic, bags, counts = toxic[single], [bags[i] for i in single], [counts[i] for i in single]
-    bad = [b for b, t in zip(bags, toxic) if t]
-    good = [b for b, t in zip(bags, toxic) if not t]
-    code, at = np.unique(np.concatenate(bad + good), return_inverse=True)
-    split = sum(map(len, bad))
-    in_bad = np.bincount(at[:split], minlength=len(code))
-    in_good = np.bincount(at[split:], minlength=len(code))
-    odds = ((in_bad + 0.5) / len(bad)) / ((in_good + 0.5) / len(good))
+    single = _once(signs.column("marks").to_pylist())
+    rows = signs.column("row").to_numpy()[single]
+    # As many small rows as the sample has texts.
+    kept = sample.join(F.broadcast(spark.createDataFrame([(int(r),) for r in rows], "row long")),
+                       "row")
+    clean = (~toxic[single]).sum()
+    bad = kept.where("toxic = 1").select("windows").toArrow().column("windows")
+    bad = [np.array(x.values) for chunk in bad.chunks for x in chunk]
+    held = kept.select("toxic", F.explode("windows").alias("w")).groupBy("w").agg(
+        F.sum("toxic").cast("int").alias("bad"), F.sum(1 - F.col("toxic")).cast("int")
+        .alias("good")).toArrow()
+    code = held.column("w").to_numpy()
+    order = np.argsort(code)
+    code = code[order]
+    in_bad, in_good = (held.column(c).to_numpy()[order] for c in ("bad", "good"))
+    del held, order
+    odds = ((in_bad + 0.5) / len(bad)) / ((in_good + 0.5) / clean)
     telling = (in_bad >= max(2, SUPPORT * len(bad))) & (odds >= ODDS)
     positive = _cover(bad, code[telling], np.log(odds[telling]))
     # Further windows that toxic texts hold far more often than chance allows.
-    expected = in_good * (len(bad) / len(good))
+    expected = in_good * (len(bad) / clean)
     surplus = (in_bad - expected) / np.sqrt(expected + 1)
-    enough = max(3, SUPPORT * len(bad))
-    strong = np.flatnonzero((in_bad >= enough) & (odds >= ODDS) & (surplus >= 4))
+    strong = np.flatnonzero((in_bad >= max(3, SUPPORT * len(bad))) & (odds >= ODDS)
+                            & (surplus >= 4))
     strong = code[strong[np.argsort(-surplus[strong], kind="stable")][:MAX_POSITIVES]]
     positive = np.array(list(dict.fromkeys([*positive.tolist(), *strong.tolist()])), np.int64)
     if not len(positive):
@@ -387,31 +418,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     common = np.argsort(-in_good, kind="stable")[:MAX_NEGATIVES // 2]
     spread = np.argsort(code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
     spread = spread[in_good[spread] > 0][:MAX_NEGATIVES // 2]
-    clean = np.concatenate([common, spread])
-    clean = code[list(dict.fromkeys(clean[in_good[clean] > 0].tolist()))]
-    negative = clean[~np.isin(clean, positive)]
+    other = np.concatenate([common, spread])
+    other = code[list(dict.fromkeys(other[in_good[other] > 0].tolist()))]
+    negative = other[~np.isin(other, positive)]
     for _ in range(ROUNDS):
         model = fit(positive, negative, _gapped(positive[:LANDMARKS]))
         value = decide(model, code)
         # The worst windows of each toxic text join, unless clean texts hold them as well.
         worst = np.concatenate([b[np.argsort(-value[np.searchsorted(code, b)], kind="stable")[:3]]
-                                for b in bad if len(b)])
+                                for b in bad])
         at = np.searchsorted(code, np.unique(worst))
         witness = code[at[(odds[at] >= ODDS) & (value[at] > 0)]]
         positive = np.array(list(dict.fromkeys([*positive.tolist(), *witness.tolist()])), np.int64)
         hard = np.flatnonzero((in_good > 0) & (odds < ODDS) & (value > -0.8))
         hard = code[hard[np.argsort(-value[hard], kind="stable")][:MAX_NEGATIVES]]
-        negative = np.array(list(dict.fromkeys([*hard[:LANDMARKS // 4].tolist(),
-                                                *negative.tolist(), *hard.tolist()])), np.int64)
-        negative = negative[~np.isin(negative, positive)]
+        negative = np.array(list(dict.fromkeys([*hard.tolist(), *negative.tolist()])), np.int64)
+        negative = negative[~np.isin(negative, positive)][:2 * MAX_NEGATIVES]
     model = fit(positive, negative, _gapped(positive[:LANDMARKS]))
-    value = decide(model, code)
-    ranks = []
-    for b, n in zip(bags, counts):
-        own = value[np.searchsorted(code, b)]
-        ranks.append(_ranks(own, n, np.array([n[own > t].sum() for t in LEVELS]), n.sum()))
-    ranks = np.stack(ranks)
-    model.curve = _logistic(ranks, toxic)
+    ranks = kept.select("toxic", "windows", "counts").mapInArrow(
+        _rank_rows(spark.sparkContext.broadcast(model)), "toxic int, ranks array<double>").toArrow()
+    model.curve = _logistic(np.array(ranks.column("ranks").to_pylist()),
+                            np.array(ranks.column("toxic").to_pylist(), bool))
     return model
 
 
@@ -444,7 +471,10 @@ def score_texts(model: Model, batch: list[str]) -> np.ndarray:
         ranks[i] = _ranks(values, np.repeat(n, sizes[mine]), times @ above[at],
                           (times * sizes[at]).sum())
     odds = ranks @ model.curve[:-1] + model.curve[-1]
-    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+    scores = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+    if model.weights.any():
+        scores[[not p for p in own]] = 0.0
+    return scores
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text",
@@ -456,17 +486,11 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, part, size = [], [], 0
-            for t in texts(b.column(text_col)):
-                part.append(t)
-                size += len(t)
-                if size > PART_CHARS:
-                    scores.append(score_texts(shared.value, part))
-                    part, size = [], 0
-            scores.append(score_texts(shared.value, part) if part else np.zeros(0))
-            new = pa.array(np.concatenate(scores), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [new if n == out_col else b.column(n) for n in names], names=names)
+            for at, part in text_slices(b.column(text_col), PART_CHARS):
+                rows = b.slice(at, len(part))
+                new = pa.array(score_texts(shared.value, part), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [new if n == out_col else rows.column(n) for n in names], names=names)
 
     return docs.mapInArrow(run, schema)
 

@@ -436,3 +436,29 @@ def test_transducer_equals_library(text):
     ids = own.encode(["é", text, "x  y"])[1]
     assert ids.tolist() == lib.encode(text)
     assert own.decode(ids) == lib.decode(ids.tolist())
+
+
+# --- id table
+
+@pytest.mark.parametrize("bits", [3, 12])
+def test_id_table_finds_every_string_also_when_it_starts_anew(bits):
+    from fanweave.llm.id_table import IdTable
+    rng = np.random.default_rng(5)
+    asked = []
+
+    def solve(some):
+        asked.extend(some)
+        return [np.frombuffer(x, np.uint8).astype(np.int32) for x in some]
+
+    table = IdTable(solve, bits=bits)
+    for _ in range(20):
+        words = [bytes(rng.integers(97, 100, rng.integers(1, 12)).astype(np.uint8))
+                 for _ in range(rng.integers(0, 40))]
+        raw = np.frombuffer(b"".join(words) + bytes(8), np.uint8)
+        stop = np.cumsum([len(w) for w in words]).astype(np.int64)
+        start = stop - np.array([len(w) for w in words], np.int64)
+        ids, offsets = table.lookup(raw, start, stop)
+        assert ids.tolist() == list(b"".join(words))
+        assert offsets.tolist() == [0, *stop.tolist()]
+    if bits == 12:
+        assert len(asked) == len(set(asked))
