@@ -55,10 +55,10 @@ TOP = (1, 2, 3, 5, 8)            # which of a text's worst windows its score loo
 LEVELS = (0.25, 0.75, 1.5)       # decision values above which a text's windows are counted
 FEATURES = len(TOP) + len(LEVELS) + 1
 FLOOR = -1.5                     # decision value that stands for "none"
-PART_CHARS = 3 << 20
+PART_CHARS = 1 << 20
 
 _MARKS = re.compile(r"[\W\d_]+")
-_SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_]\W?\s+){2,}[^\W\d_]\W?(?!\S)")
+_SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]?\s+){2,}[^\W\d_][^\w\s]?(?!\S)")
 _TRIPLES = np.array(list(combinations(range(WIDTH), ORDER)))
 _WEIGHTS = DECAY ** (_TRIPLES[:, -1] - _TRIPLES[:, 0] + 1.0)
 
@@ -362,8 +362,8 @@ def _rank_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for code, times in zip(b.column("windows").to_pylist(), b.column("counts").to_pylist()):
-                value, n = decide(model.value, np.array(code, np.int64)), np.array(times, np.int64)
+            for code, times in zip(b.column("windows"), b.column("counts")):
+                value, n = decide(model.value, np.array(code.values)), np.array(times.values)
                 above = np.array([n[value > t].sum() for t in LEVELS])
                 out.append(_ranks(value, n, above, n.sum()))
             yield pa.RecordBatch.from_arrays(
