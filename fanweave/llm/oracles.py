@@ -70,8 +70,59 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+# crc32 by bits: eight steps for each digit of the id.
+_CRC = """xor(4294967295, list_reduce(
+  list_prepend(CAST(4294967295 AS UBIGINT), list_transform(
+    string_split(CAST(conv_id AS VARCHAR), ''), c -> CAST(ord(c) AS UBIGINT))),
+  (a, b) -> list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    (x, y) -> xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, CAST({_CRC} % 6 AS BIGINT) AS h FROM t
+), rebuilt AS (
+  SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h
+), s AS (
+  SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY pos)
+    FILTER (WHERE pos IS NOT NULL), []) AS turns
+  FROM c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+), m AS (
+  SELECT conv_id, len(turns) = depth AS ends, depth, turns[1:depth] AS prefix FROM (
+    SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM s)
+), n AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * length(prefix[depth].text) END AS value,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                    FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY prefix, depth
+), k AS (
+  SELECT p.prefix, c.conv_id AS child, p.conv_id AS top FROM n c JOIN n p
+  ON p.depth = c.depth - 1 AND p.prefix = c.prefix[1:c.depth - 1] AND c.depth > 0
+), n_kids AS (SELECT prefix, count(*) AS n_children FROM k GROUP BY prefix
+), ups AS (
+  SELECT value, prefix, unnest(range(0, depth + 1)) AS d, depth FROM n
+), sums AS (
+  SELECT u.prefix[1:u.d] AS prefix, sum(value) AS saved_tokens,
+    count(*) FILTER (WHERE x.prefix IS NULL) AS n_leaves
+  FROM ups u LEFT JOIN n_kids x ON x.prefix = u.prefix GROUP BY u.prefix[1:u.d]
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  n.ends_sha256
+FROM n JOIN sums USING (prefix) LEFT JOIN n_kids USING (prefix)
+LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
 ORACLE_SQL = {
     "op5_chat_formatting": OP5,
     "op6_benchmark_decontamination": OP6,
     "op9_warc": OP9,
+    "op12_prefix_trie": OP12,
 }

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fanweave.llm import (
-    chat, ctph, decontaminate, langid, piece_transducer, repeats, simhash,
-    token_archive, toxicity, warc)
+    chat, ctph, decontaminate, langid, piece_transducer, prefix_trie, quality, repeats, simhash,
+    token_archive, toxicity, warc, whitening)
 from fanweave.llm.common import table
 
 
@@ -74,6 +74,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.node_report(
+        table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_archive": op2_token_archive,
@@ -85,4 +100,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_quality": op11_quality,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }

@@ -14,6 +14,8 @@ TABLES = {
     "labels": "doc_id long, quality int, toxic int, text string, score double",
     "benchmark": "item_id long, text string, doc_id long",
     "conversations": "conv_id long, turn long, role string, text string, formatted string",
+    "embeddings": "vec_id long, embedding array<float>, label int, x array<long>, n long, "
+                  "component int",
     "pages": "page_id long, url string, html string, digest string, size long, kind string",
 }
 
@@ -63,6 +65,11 @@ def odd_dir(spark, tmp_path_factory):
                           (2, 0, "assistant", "[INST] \\ <|image|>", "f"),
                           (2, 0, "assistant", "[INST] \\ <|image|>", "f"),
                           (3, None, "sys\ntem", "l\n\n" * 20_000, "f")],
+        "embeddings": [(i, v, 1, [7], 2, 3) for i, v in [
+            (1, [0.5, 1.0, -2.0]), (2, [0.5, 1.0, -2.0]), (2, [0.5, 1.0, -2.0]), (3, None),
+            (4, []), (5, [1.0, None, 2.0]), (6, [float("nan"), 1.0, 2.0]),
+            (7, [float("inf"), 1.0, 2.0]), (8, [1.0, 2.0]), (None, [0.25, -1.0, 3.0]),
+            (9, [1e30, 0.0, 0.0]), (10, [0.0, 0.0, 1.0])]],
         "pages": [(3, "http://a/\r\n", plain * 3, "d", 1, "k"), (1, None, plain * 3, "d", 1, "k"),
                   (1, None, plain * 3, "d", 1, "k"), (None, "u", plain * 3, "d", 1, "k"),
                   (4, "u", None, "d", 1, "k"), (5, "u", "", "d", 1, "k"), (6, "u", "tiny", "d", 1,

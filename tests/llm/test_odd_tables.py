@@ -5,10 +5,11 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from fanweave.llm import queries
-from tests.llm.conftest import rows
+from fanweave.llm import oracles, queries
+from tests.llm.conftest import rows, sql
 
 SOURCE = {"op5_chat_formatting": "conversations", "op9_warc": "pages"}
+NOT_BY_ROW = {"op5_chat_formatting", "op12_prefix_trie", "op13_whitening"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -17,7 +18,7 @@ def test_empty_tables(spark, empty_dir, name):
     assert len(got) == (1 if name == "op5_chat_formatting" else 0)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op5_chat_formatting"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - NOT_BY_ROW))
 def test_one_row_for_each_row(spark, odd_dir, name):
     source = SOURCE.get(name, "documents")
     key = "page_id" if source == "pages" else "doc_id"
@@ -114,6 +115,28 @@ def test_pieces(spark, odd_dir):
     assert got[2]["ids"] == [] and got[3]["ids"] == [] and got[4]["exact"] and got[8]["exact"]
 
 
+def test_quality(spark, odd_dir):
+    got = queries.op11_quality(spark, odd_dir).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (2, 3, 6)}) == 1
+
+
+def test_prefix_trie(spark, odd_dir):
+    assert rows(queries.op12_prefix_trie(spark, odd_dir)) == sql(
+        oracles.ORACLE_SQL["op12_prefix_trie"].replace(
+            "FROM conversations", f"FROM read_parquet('{odd_dir}/conversations.parquet/*.parquet')"))
+
+
+def test_whitening(spark, odd_dir):
+    got = queries.op13_whitening(spark, odd_dir).collect()
+    # Three distinct vectors have two directions; five rows hold one of them.
+    assert sorted(((r["vec_id"], r["component"]) for r in got), key=repr) == sorted(
+        [(i, c) for i in (1, 2, 2, None, 10) for c in (1, 2)], key=repr)
+    assert {r["n"] for r in got} == {3} and got[0]["identity_error"] < 1e-9
+    assert {r["deviation"] for r in got if r["vec_id"] == 10} == {
+        (3 * 0 - 48) ** 2 + (3 * 0 - 0) ** 2 + (3 * 64 - 128) ** 2}
+
+
 @pytest.mark.parametrize("folder", ["odd_dir", "empty_dir"])
 def test_stages_keep_the_columns(spark, folder, request):
     folder = request.getfixturevalue(folder)
