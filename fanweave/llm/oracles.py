@@ -73,9 +73,9 @@ FROM f
 # crc32 by bits: eight steps for each digit of the id.
 _CRC = """xor(4294967295, list_reduce(
   list_prepend(CAST(4294967295 AS UBIGINT), list_transform(
-    string_split(CAST(conv_id AS VARCHAR), ''), c -> CAST(ord(c) AS UBIGINT))),
-  (a, b) -> list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
-    (x, y) -> xor(x >> 1, 3988292384 * (x & 1)))))"""
+    string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 OP12 = f"""
 WITH t AS (
