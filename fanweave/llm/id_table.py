@@ -2,8 +2,10 @@
 
 Texts fall into short strings (words) that recur. ``IdTable`` finds the strings of a whole batch by
 hash in an open-addressing table of numpy arrays and gathers their ids; only strings it has not seen
-are handed, once, to the slow encoder. A string is known by its 64-bit hash, its length and its
-first eight bytes. The table is bounded: when it is full it starts anew.
+are handed, once, to the slow encoder. The hash, the length and the first eight bytes only point at a
+string; its further bytes are compared, eight at a time, with those that the table keeps. Strings that
+share all three with another one are encoded each time they come. The table is bounded: when it is
+full it starts anew.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ class IdTable:
         self.count = 0
         self.ids = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(most + 1, np.int64)           # ids of string k: at[k] to at[k + 1]
+        self.pool = np.zeros((1 << 16) + 8, np.uint8)    # bytes of the strings of over eight
+        self.begin = np.zeros(most, np.int64)            # where a string's own begin
+        self.used = 0
 
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
@@ -59,6 +64,36 @@ class IdTable:
             todo, place = todo[on], (place[on] + 1) & mask
         return out
 
+    def _differ(self, number: np.ndarray, raw: np.ndarray, start: np.ndarray,
+                size: np.ndarray) -> np.ndarray:
+        """Which strings are not, byte for byte, those that the table has under their numbers."""
+        todo = np.flatnonzero((size > 8) & (number >= 0))
+        wrong = []
+        for done in range(8, 264, 8):
+            if not len(todo):
+                break
+            mine = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))[start[todo] + done]
+            kept = np.ndarray((len(self.pool) - 7,), "<u8", self.pool, strides=(1,))[
+                self.begin[number[todo]] + done]
+            unlike = ((mine ^ kept) & _HEAD_MASKS[np.minimum(size[todo] - done, 8)]) != 0
+            wrong.append(todo[unlike])
+            todo = todo[~unlike & (size[todo] > done + 8)]
+        for i in todo.tolist():                          # the few very long ones
+            b, a, n = self.begin[number[i]], start[i], size[i]
+            if not np.array_equal(self.pool[b:b + n], raw[a:a + n]):
+                wrong.append(np.array([i]))
+        return np.concatenate(wrong) if wrong else todo
+
+    def _keep(self, strings: list[bytes], first: int) -> None:
+        """Store the bytes of the strings that the first eight do not tell."""
+        for k, t in enumerate(strings, first):
+            if len(t) > 8:
+                end = self.used + len(t)
+                if end + 8 > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.zeros(end, np.uint8)])
+                self.pool[self.used:end] = np.frombuffer(t, np.uint8)
+                self.begin[k], self.used = self.used, end
+
     def _insert(self, h: np.ndarray, head: np.ndarray, size: np.ndarray,
                 ids: list[np.ndarray]) -> None:
         n, first = len(h), self.count
@@ -103,12 +138,22 @@ class IdTable:
                 return self.lookup(raw, start, stop)
             data = raw.tobytes()
             strings = [data[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist())]
+            self._keep(strings, self.count)
             self._insert(h[new], head[new], size[new], self.solve(strings))
             number[missing] = self._find(h[missing], head[missing], size[missing])
             if (number < 0).any():                       # two strings of one hash
                 return self.lookup(raw, start, stop)
-        length = (self.at[number + 1] - self.at[number])
+        begin, length = self.at[number], self.at[number + 1] - self.at[number]
+        known = self.ids
+        other = self._differ(number, raw, start, size)
+        if len(other):
+            data = raw.tobytes()
+            found = self.solve([data[a:b] for a, b in zip(start[other].tolist(),
+                                                          stop[other].tolist())])
+            length[other] = [len(x) for x in found]
+            begin[other] = len(known) + np.cumsum(length[other]) - length[other]
+            known = np.concatenate([known, *found])
         offsets = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(self.at[number] - offsets[:-1], length)
+        at = np.repeat(begin - offsets[:-1], length)
         at += np.arange(offsets[-1])
-        return self.ids[at], offsets
+        return known[at], offsets
