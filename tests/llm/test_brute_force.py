@@ -15,8 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from fanweave.llm import (chat, ctph, decontaminate, langid, oracles, piece_transducer, queries,
-                          repeats, simhash, suffix_sort, token_archive, toxicity, warc)
+from fanweave.llm import (chat, ctph, decontaminate, id_table, langid, oracles, piece_transducer,
+                          queries, repeats, simhash, suffix_sort, token_archive, toxicity, warc)
 from tests.llm.conftest import SF, document_texts, rows, sql
 
 
@@ -89,6 +89,28 @@ def test_word_encoder_equals_library(parts):
     assert own.encode(["x", text, "y 1"])[1].tolist() == own._whole(text).tolist()
 
 
+def test_words_of_one_hash_have_their_own_ids():
+    a, b = ("aaaaaaaa" + t for t in twins("h"))
+    texts = [f"x {a} {b} y", b, f"{a} {a}"]
+    own = token_archive.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for _ in range(2):                     # as new words, then as known ones
+        assert [x.tolist() for x in own.encode(texts)] == [own._whole(t).tolist() for t in texts]
+
+
+def test_table_compares_bytes_when_all_hashes_agree(monkeypatch):
+    monkeypatch.setattr(id_table, "_MIX", np.uint64(0))
+    rng = np.random.default_rng(0)
+    strings = ["".join(map(chr, rng.integers(97, 99, n))).encode()
+               for n in rng.integers(1, 400, 300)]
+    table = id_table.IdTable(lambda some: [np.frombuffer(t, np.uint8).astype(np.int32)
+                                           for t in some], bits=12)
+    for _ in range(2):
+        raw = np.frombuffer(b"".join([*strings, b"\0" * 8]), np.uint8)
+        stop = np.cumsum([len(t) for t in strings])
+        ids, offsets = table.lookup(raw, stop - [len(t) for t in strings], stop)
+        assert ids.tolist() == list(b"".join(strings)) and offsets[1:].tolist() == stop.tolist()
+
+
 def test_short_document_access(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     path = str(tmp_path / "archive")
@@ -194,19 +216,91 @@ def test_removed_repeats(spark, monkeypatch, bucket):
         spans = int(np.diff(np.concatenate([[False], gone]).astype(int)).clip(0).sum())
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
         want.append((doc, hashlib.sha256(kept).hexdigest(), len(t), int(gone.sum()), spans))
-    assert rows(queries.op4_suffix_dedup(spark, SF)) == sorted(want, key=repr)
+    got = queries.op4_suffix_dedup(spark, SF)
+    assert rows(got.drop("n_shared")) == sorted(want, key=repr)
+
+
+def vanishing():
+    """Coefficients, up to 17, of a polynomial that is 0 modulo 2^64 at every odd number: a product
+    of factors 1 - x^(2^i)."""
+    p = np.ones(1, np.int64)
+    for i, times in enumerate((1, 1, 1, 3, 3, 1, 2)):
+        for _ in range(times):
+            p = np.append(p, np.zeros(1 << i, np.int64)) - np.append(np.zeros(1 << i, np.int64), p)
+    return p
+
+
+def twins(middle):
+    """Two strings that differ by ``vanishing`` and hold printable characters around ``middle``."""
+    p = vanishing()
+    up = (p + 1) // 2
+    return ("".join(map(chr, ord(middle) + up)), "".join(map(chr, ord(middle) + up - p)))
+
+
+def test_different_bytes_of_one_hash_are_no_repeat(spark):
+    rng = np.random.default_rng(5)
+    fill = "".join(map(chr, rng.integers(97, 123, 400)))
+    for at in (63, 0, 100):
+        a, b = (fill[:at] + t + fill[at + len(t):] for t in twins("h"))
+        assert a != b and len(a) == len(b) == 400
+        df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+        assert [r["n_removed"] for r in repeats.removal_report(df).collect()] == [0, 0]
+
+
+def test_shorter_repeats(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = [(t or "").encode() for _, t in document_texts()]
+    for length in (200, 263):
+        got = sorted(tuple(r) for r in repeats.removal_report(docs, length)
+                     .select("doc_id", "n_removed", "kept_sha256").collect())
+        want = []
+        for (d, _), t, gone in zip(document_texts(), texts, plain_repeats(texts, length)):
+            kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+            want.append((d, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+        assert got == want
+    with pytest.raises(ValueError, match="fewer than 200"):
+        repeats.removal_report(docs, 199)
+
+
+def test_shared_bytes_show_short_passages(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = word(230)
+    texts = [word(700), word(300) + passage + word(150), passage + word(900), word(5000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in repeats.removal_report(df).collect()}
+    assert [got[i]["n_removed"] for i in range(4)] == [0] * 4
+    assert got[0]["n_shared"] == got[3]["n_shared"] == 0
+    assert 137 <= got[1]["n_shared"] <= 230 and got[2]["n_shared"] == got[1]["n_shared"]
+
+
+def test_many_equal_rows(spark):
+    """Ten thousand rows of one id and text, beside copies under other ids."""
+    rng = np.random.default_rng(7)
+    text = "".join(map(chr, rng.integers(97, 123, 1000)))
+    own = "".join(map(chr, rng.integers(97, 123, 800)))
+    table = [(1, text)] * 10_000 + [(i, text) for i in range(2, 40)] + [(None, text)] * 3
+    table += [(50, own + text[:399]), (51, text[100:520] + own[:390]), (1, own[::-1])]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(8)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"])
+                  for r in repeats.removal_report(df).collect())
+    assert got == Counter({(1, 1000, 1000): 10_000, (None, 1000, 1000): 3, (50, 1199, 0): 1,
+                           (51, 810, 420): 1, (1, 800, 0): 1,
+                           **{(i, 1000, 1000): 1 for i in range(2, 40)}})
+    assert max(len(r["places"]) for r in repeats.repeat_places(df).collect()) < 100
 
 
 def test_segments_find_the_same_anchors(monkeypatch):
     import pyarrow as pa
     rng = np.random.default_rng(1)
     text = "".join(map(chr, rng.integers(97, 100, 9000)))
-    batch = pa.RecordBatch.from_pydict({"rid": [0, 1], "doc_id": [5, None], "th": [1, 2],
+    batch = pa.RecordBatch.from_pydict({"rid": [0, 1], "doc_id": [5, None], "th": [b"1", b"2"],
                                         "text": [text, text[:2000]]})
+    run = repeats._anchor_rows(repeats.LENGTH, repeats.draw_bases())
 
     def found():
         return [sorted(zip(*(c.to_pylist() for c in b.columns)), key=repr)
-                for b in [pa.Table.from_batches(repeats._anchor_rows(iter([batch])))]][0]
+                for b in [pa.Table.from_batches(run(iter([batch])))]][0]
 
     want = found()
     monkeypatch.setattr(repeats, "SEGMENT", 700)

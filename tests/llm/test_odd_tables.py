@@ -166,7 +166,7 @@ def test_pipeline_against_its_parts(spark):
 
     import numpy as np
 
-    from fanweave.llm import decontaminate, toxicity
+    from fanweave.llm import decontaminate, repeats, toxicity
     from tests.llm.conftest import SF
     from tests.llm.test_brute_force import plain_repeats, plain_simhash
 
@@ -196,7 +196,7 @@ def test_pipeline_against_its_parts(spark):
 
     raw = {d: (t or "").encode() for d, t in own.items()}
     want = {}
-    for (d, t), gone in zip(raw.items(), plain_repeats(list(raw.values()))):
+    for (d, t), gone in zip(raw.items(), plain_repeats(list(raw.values()), repeats.PASSAGE)):
         out, at = [], 0
         for c in t.decode():
             size = len(c.encode())
