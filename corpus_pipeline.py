@@ -24,8 +24,9 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur again leave the texts; no document goes."""
-    return repeats.remove_repeats(docs)
+    """Passages of over 50 words that occur again leave the texts; no document goes. The operator
+    searches by bytes: PASSAGE, 200, are fewer than such a passage has in running text."""
+    return repeats.remove_repeats(docs, repeats.PASSAGE)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
