@@ -16,7 +16,12 @@ windows of the toxic texts join them, and the worst windows of the clean texts a
 counter-examples.
 
 Training reads at most about ``TRAIN_DOCS`` whole texts of the two labels, chosen by hash of the id,
-from the rows outside the held-out fold.
+from the rows outside the held-out fold. Windows are counted, weighed and scored in Spark; the driver
+gets the windows that tell the classes apart, up to three more of each toxic text and round, at most
+``MAX_POSITIVES`` further ones, ``MAX_NEGATIVES`` clean ones a round, and eight numbers for each text.
+Texts are taken in the order of the hashes of their id and text, windows of equal worth in the order
+of their numbers, and of near copies the first in that order counts: the order of the rows has no
+influence.
 
 Defined results: null, empty and blank texts score 0; texts without a letter get the curve's value
 for no window; without training rows of both labels every score is the share of toxic rows (0 if none).
@@ -52,10 +57,11 @@ SUPPORT = 0.005                  # share of the toxic texts that a toxic window
 MAX_POSITIVES = 1500
 MAX_NEGATIVES = 3000
 TOP = (1, 2, 3, 5, 8)            # which of a text's worst windows its score looks at
-LEVELS = (0.25, 0.75, 1.5)       # decision values above which a text's windows are counted
+LEVELS = (0.25, 0.5, 0.75, 1.0)  # decision values above which a text's windows are counted
 FEATURES = len(TOP) + len(LEVELS) + 1
 FLOOR = -1.5                     # decision value that stands for "none"
 PART_CHARS = 1 << 20
+ORDERED = ["h1", "h2", "toxic"]
 
 _MARKS = re.compile(r"[\W\d_]+")
 _SINGLES = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]?\s+){2,}[^\W\d_][^\w\s]?(?!\S)")
@@ -283,14 +289,15 @@ def _doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 repeats.append(np.bincount(place, weights=times, minlength=len(distinct)))
                 marks.append(_marks(distinct))
             yield pa.RecordBatch.from_arrays(
-                [b.column("toxic").slice(at, len(run)),
+                [*(b.column(c).slice(at, len(run)) for c in ("h1", "h2", "toxic")),
                  *(pa.array([x.astype(np.int64) for x in some], kind)
                    for some in (marks, codes, repeats))],
-                names=["toxic", "marks", "windows", "counts"])
+                names=["h1", "h2", "toxic", "marks", "windows", "counts"])
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, train_docs: tuple[int, int] = TRAIN_DOCS) -> DataFrame:
-    """(toxic, text) of a bounded sample of the labelled rows outside the held-out fold."""
+    """(h1, h2, toxic, text) of a bounded sample of the labelled rows outside the held-out fold; h1
+    and h2 are hashes of id and text."""
     known = labels.select(F.col("doc_id").alias("__fw_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("toxic").isin(0, 1) & F.col("__fw_id").isNotNull()
                         & (crc32_mod(F.col("__fw_id"), 4) != 2))
@@ -301,7 +308,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, train_docs: tuple[int, in
         F.pmod(F.xxhash64("__fw_id"), F.lit(1_000_003)) < share).select("__fw_id", "toxic")
     # About sum(train_docs) small rows, by the sampling above.
     return docs.select("doc_id", "text").join(
-        F.broadcast(known), F.col("doc_id") == F.col("__fw_id")).select("toxic", "text")
+        F.broadcast(known), F.col("doc_id") == F.col("__fw_id")).select(
+        F.xxhash64("doc_id").alias("h1"), F.xxhash64("text").alias("h2"), "toxic", "text")
 
 
 def _cover(bags: list[np.ndarray], code: np.ndarray, gain: np.ndarray, times: int = 3):
@@ -367,76 +375,120 @@ def _rank_rows(model):
                 above = np.array([n[value > t].sum() for t in LEVELS])
                 out.append(_ranks(value, n, above, n.sum()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("toxic"), pa.array(out, pa.list_(pa.float64()))],
-                names=["toxic", "ranks"])
+                [*(b.column(c) for c in ORDERED), pa.array(out, pa.list_(pa.float64()))],
+                names=[*ORDERED, "ranks"])
     return run
 
 
+def _telling_bags(telling):
+    """The telling windows of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [np.array(x.values) for x in b.column("windows")]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ORDERED),
+                 pa.array([x[np.isin(x, telling.value)] for x in bags], pa.list_(pa.int64()))],
+                names=[*ORDERED, "bag"])
+    return run
+
+
+def _worst_rows(model, most: int = 3):
+    """The worst windows of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.zeros(0, np.int64)]
+            for x in b.column("windows"):
+                code = np.array(x.values)
+                value = decide(model.value, code)
+                found.append(code[np.argsort(-value, kind="stable")[:most]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))],
+                                             names=["w"])
+    return run
+
+
+def _window_values(model):
+    """The decision value of each window."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value = decide(model.value, b.column("w").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("w"), b.column("odds"), pa.array(value)],
+                                             names=["w", "odds", "value"])
+    return run
+
+
+def _windows(df: DataFrame) -> np.ndarray:
+    return df.select("w").toArrow().column("w").to_numpy().astype(np.int64)
+
+
+def _joined(*some: np.ndarray) -> np.ndarray:
+    """All windows, each once, where it comes first."""
+    return np.array(list(dict.fromkeys(np.concatenate(some).tolist())), np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit the machine. The driver gets, of the sample: minimum hashes, the windows of the toxic
-    texts, how many texts of either label hold each window, and the curve's features."""
+    """Fit the machine."""
     spark = docs.sparkSession
-    sample = training_texts(docs, labels).mapInArrow(
-        _doc_windows, "toxic int, marks array<long>, windows array<long>, counts array<long>")
-    sample = materialize(sample.withColumn("row", F.monotonically_increasing_id()), "toxicity")
-    signs = sample.select("row", "toxic", "marks").toArrow()
+    share = spark.sparkContext.broadcast
+    sample = materialize(training_texts(docs, labels).mapInArrow(
+        _doc_windows, "h1 long, h2 long, toxic int, marks array<long>, windows array<long>, "
+        "counts array<long>"), "toxicity")
+    signs = sample.select(*ORDERED, "marks").orderBy(*ORDERED).toArrow()
     toxic = np.array(signs.column("toxic").to_pylist(), bool)
     if not toxic.any() or toxic.all():
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        share = min(max(share, 1e-9), 1 - 1e-9)
+        part = float(toxic.mean()) if len(toxic) else 0.0
+        part = min(max(part, 1e-9), 1 - 1e-9)
         curve = np.zeros(FEATURES + 1)
-        curve[-1] = np.log(share / (1 - share))
+        curve[-1] = np.log(part / (1 - part))
         return Model(np.zeros(SYMBOLS ** ORDER, np.float32), 0.0, curve)
     single = _once(signs.column("marks").to_pylist())
-    rows = signs.column("row").to_numpy()[single]
+    n_bad, n_clean = int(toxic[single].sum()), int((~toxic[single]).sum())
     # As many small rows as the sample has texts.
-    kept = sample.join(F.broadcast(spark.createDataFrame([(int(r),) for r in rows], "row long")),
-                       "row")
-    clean = (~toxic[single]).sum()
-    bad = kept.where("toxic = 1").select("windows").toArrow().column("windows")
-    bad = [np.array(x.values) for chunk in bad.chunks for x in chunk]
-    held = kept.select("toxic", F.explode("windows").alias("w")).groupBy("w").agg(
-        F.sum("toxic").cast("int").alias("bad"), F.sum(1 - F.col("toxic")).cast("int")
-        .alias("good")).toArrow()
-    code = held.column("w").to_numpy()
-    order = np.argsort(code)
-    code = code[order]
-    in_bad, in_good = (held.column(c).to_numpy()[order] for c in ("bad", "good"))
-    del held, order
-    odds = ((in_bad + 0.5) / len(bad)) / ((in_good + 0.5) / clean)
-    telling = (in_bad >= max(2, SUPPORT * len(bad))) & (odds >= ODDS)
-    positive = _cover(bad, code[telling], np.log(odds[telling]))
+    chosen = spark.createDataFrame([tuple(r.values()) for r in signs.select(ORDERED).take(
+        pa.array(single)).to_pylist()], "h1 long, h2 long, toxic int")
+    kept = materialize(sample.dropDuplicates(ORDERED).join(F.broadcast(chosen), ORDERED),
+                       "toxicity-kept")
+    bad = kept.where("toxic = 1")
+
+    odds = ((F.col("bad") + 0.5) / n_bad) / ((F.col("good") + 0.5) / n_clean)
+    expected = F.col("good") * (n_bad / n_clean)
+    held = materialize(
+        kept.select("toxic", F.explode("windows").alias("w")).groupBy("w").agg(
+            F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+        .withColumn("odds", odds)
+        .withColumn("surplus", (F.col("bad") - expected) / F.sqrt(expected + 1)), "toxicity-windows")
+    telling = held.where((F.col("bad") >= max(2, SUPPORT * n_bad)) & (F.col("odds") >= ODDS)
+                         ).orderBy("w").select("w", "odds").toArrow()
+    code = telling.column("w").to_numpy()
+    bags = bad.mapInArrow(_telling_bags(share(code)), "h1 long, h2 long, toxic int, bag array<long>"
+                          ).orderBy(*ORDERED).toArrow().column("bag")
+    positive = _cover([np.array(x.values) for chunk in bags.chunks for x in chunk], code,
+                      np.log(telling.column("odds").to_numpy()))
     # Further windows that toxic texts hold far more often than chance allows.
-    expected = in_good * (len(bad) / clean)
-    surplus = (in_bad - expected) / np.sqrt(expected + 1)
-    strong = np.flatnonzero((in_bad >= max(3, SUPPORT * len(bad))) & (odds >= ODDS)
-                            & (surplus >= 4))
-    strong = code[strong[np.argsort(-surplus[strong], kind="stable")][:MAX_POSITIVES]]
-    positive = np.array(list(dict.fromkeys([*positive.tolist(), *strong.tolist()])), np.int64)
+    strong = held.where((F.col("bad") >= max(3, SUPPORT * n_bad)) & (F.col("odds") >= ODDS)
+                        & (F.col("surplus") >= 4)).orderBy(F.desc("surplus"), "w")
+    positive = _joined(positive, _windows(strong.limit(MAX_POSITIVES)))
     if not len(positive):
-        positive = code[in_bad > 0][np.argsort(-odds[in_bad > 0], kind="stable")][:LANDMARKS]
-    common = np.argsort(-in_good, kind="stable")[:MAX_NEGATIVES // 2]
-    spread = np.argsort(code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-    spread = spread[in_good[spread] > 0][:MAX_NEGATIVES // 2]
-    other = np.concatenate([common, spread])
-    other = code[list(dict.fromkeys(other[in_good[other] > 0].tolist()))]
-    negative = other[~np.isin(other, positive)]
+        positive = _windows(held.where("bad > 0").orderBy(F.desc("odds"), "w").limit(LANDMARKS))
+    clean = held.where("good > 0")
+    negative = _joined(*(_windows(clean.orderBy(by, "w").limit(MAX_NEGATIVES // 2))
+                         for by in (F.desc("good"), F.xxhash64("w"))))
+    negative = negative[~np.isin(negative, positive)]
     for _ in range(ROUNDS):
-        model = fit(positive, negative, _gapped(positive[:LANDMARKS]))
-        value = decide(model, code)
+        model = share(fit(positive, negative, _gapped(positive[:LANDMARKS])))
         # The worst windows of each toxic text join, unless clean texts hold them as well.
-        worst = np.concatenate([b[np.argsort(-value[np.searchsorted(code, b)], kind="stable")[:3]]
-                                for b in bad])
-        at = np.searchsorted(code, np.unique(worst))
-        witness = code[at[(odds[at] >= ODDS) & (value[at] > 0)]]
-        positive = np.array(list(dict.fromkeys([*positive.tolist(), *witness.tolist()])), np.int64)
-        hard = np.flatnonzero((in_good > 0) & (odds < ODDS) & (value > -0.8))
-        hard = code[hard[np.argsort(-value[hard], kind="stable")][:MAX_NEGATIVES]]
-        negative = np.array(list(dict.fromkeys([*hard.tolist(), *negative.tolist()])), np.int64)
+        worst = bad.mapInArrow(_worst_rows(model), "w long").distinct().join(held, "w")
+        witness = worst.where(F.col("odds") >= ODDS).select("w", "odds").mapInArrow(
+            _window_values(model), "w long, odds double, value double")
+        positive = _joined(positive, _windows(witness.where("value > 0").orderBy("w")))
+        hard = clean.where(F.col("odds") < ODDS).select("w", "odds").mapInArrow(
+            _window_values(model), "w long, odds double, value double").where("value > -0.8")
+        hard = _windows(hard.orderBy(F.desc("value"), "w").limit(MAX_NEGATIVES))
+        negative = _joined(hard, negative)
         negative = negative[~np.isin(negative, positive)][:2 * MAX_NEGATIVES]
     model = fit(positive, negative, _gapped(positive[:LANDMARKS]))
-    ranks = kept.select("toxic", "windows", "counts").mapInArrow(
-        _rank_rows(spark.sparkContext.broadcast(model)), "toxic int, ranks array<double>").toArrow()
+    ranks = kept.select(*ORDERED, "windows", "counts").mapInArrow(
+        _rank_rows(share(model)), "h1 long, h2 long, toxic int, ranks array<double>"
+    ).orderBy(*ORDERED).toArrow()
     model.curve = _logistic(np.array(ranks.column("ranks").to_pylist()),
                             np.array(ranks.column("toxic").to_pylist(), bool))
     return model
@@ -470,7 +522,7 @@ def score_texts(model: Model, batch: list[str]) -> np.ndarray:
         values = np.concatenate(inside) if inside else np.zeros(0)
         ranks[i] = _ranks(values, np.repeat(n, sizes[mine]), times @ above[at],
                           (times * sizes[at]).sum())
-    odds = ranks @ model.curve[:-1] + model.curve[-1]
+    odds = (ranks * model.curve[:-1]).sum(1) + model.curve[-1]    # alike in any batch
     scores = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
     if model.weights.any():
         scores[[not p for p in own]] = 0.0

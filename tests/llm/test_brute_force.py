@@ -68,6 +68,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean(caught) > 0.8 and np.mean(wrong) < 0.04
 
 
+def test_toxicity_does_not_follow_the_order_of_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    a = toxicity.score_documents(docs, labels)
+    b = toxicity.score_documents(docs.orderBy("text").repartition(7), labels.orderBy("toxic"))
+    assert rows(a) == rows(b)
+
+
 # --- op2
 
 def test_token_archive_equals_library(spark):
