@@ -7,6 +7,7 @@ results are rounded to 6 places; rank ties are broken on 9 places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,10 @@ from ..operators.degrees import in_degrees
 from ..operators.graph import FollowGraph, assemble
 from ..operators.pagerank import pagerank
 from ..session import ensure_checkpoint_dir, scratch_path
+from ..sources import documents, edge_index, graphml
 from ..sources import tpch_graphs as tg
-from ..sources.readers import ALT_LAYOUT, follows_from, read_users, users_from
+from ..sources.readers import ALT_LAYOUT, follows_from, read_follows, read_users, users_from
+from ..sources.sinks import write_table
 from . import communities as cm
 from . import jobs
 from . import networks as nw
@@ -60,6 +63,13 @@ def q_follow_scan_alt_layout(spark, sf):
     return follows_from(alt, **ALT_LAYOUT)
 
 
+def q_follow_documents(spark, sf):
+    """The follow collection stored as JSON documents and read back."""
+    path = f"{_store(spark)}/follow"
+    write_table(tg.follow_table(spark, sf, "full"), path, "append", documents.FORMAT)
+    return read_follows(spark, path, documents.FORMAT)
+
+
 def q_graph_vertices(spark, sf):
     return graph_of(spark, sf, "full").vertices
 
@@ -82,6 +92,21 @@ def q_graph_edges_export(spark, sf):
     return nw.graph_export(graph_of(spark, sf, "orders"))[1]
 
 
+def _drawn(spark, sf):
+    path = f"{_store(spark)}/drawing"
+    nw.drawing(graph_of(spark, sf, "full"), path)
+    return graphml.read_graphml(spark, path)
+
+
+def q_graph_drawing_nodes(spark, sf):
+    """The nodes of the drawing's document, read back from its fragments."""
+    return _drawn(spark, sf)[0]
+
+
+def q_graph_drawing_edges(spark, sf):
+    return _drawn(spark, sf)[1]
+
+
 # ----------------------------------------------------------------- degrees / rankings
 
 
@@ -101,6 +126,17 @@ def q_fan_ranking(spark, sf):
     return rk.fan_ranking(graph_of(spark, sf, "full"))
 
 
+def q_fan_positions(spark, sf):
+    return rk.fan_positions(graph_of(spark, sf, "full"))
+
+
+def q_fan_page(spark, sf):
+    """Places 101 to 150 of a stored ranking."""
+    path = f"{_store(spark)}/positions"
+    rk.store_positions(rk.fan_positions(graph_of(spark, sf, "full")), path)
+    return rk.page(spark, path, 101, 50)
+
+
 def q_top_fans(spark, sf):
     return rk.top_fans(graph_of(spark, sf, "full"), 10)
 
@@ -152,6 +188,10 @@ def q_community_members(spark, sf):
     return cm.community_members(graph_of(spark, sf, "orders"))
 
 
+def q_community_member_lines(spark, sf):
+    return cm.community_member_lines(graph_of(spark, sf, "orders"))
+
+
 def q_community_sizes(spark, sf):
     return cm.community_sizes(connected_components(graph_of(spark, sf, "orders")))
 
@@ -193,6 +233,10 @@ def q_lpa_community_members(spark, sf):
     return cm.lpa_community_members(cm.lpa_labels(graph_of(spark, sf, "full")))
 
 
+def q_lpa_member_lines(spark, sf):
+    return cm.lpa_member_lines(cm.lpa_labels(graph_of(spark, sf, "full")))
+
+
 # ----------------------------------------------------------------- sub-networks
 
 
@@ -234,6 +278,14 @@ def q_id_list_edges(spark, sf):
     return nw.id_list_edges(g, ids)
 
 
+def q_edge_lookup(spark, sf):
+    """The edges around the band's members, looked up in the stored edges by either end."""
+    g, ids = _band_members(spark, sf)
+    name = f"follow_{uuid.uuid4().hex}"
+    index = edge_index.write_index(g.edges, f"{_store(spark)}/follow", name)
+    return edge_index.lookup_edges(index, ids, dedup=False)
+
+
 # ----------------------------------------------------------------- jobs with their collections
 
 
@@ -271,6 +323,27 @@ def q_job_fans_of(spark, sf):
     return jobs.fans_of(g, store, _creator(g, 3))
 
 
+def q_job_community(spark, sf):
+    """Run twice: the second run adds nothing."""
+    g, store = graph_of(spark, sf, "orders").materialize(), _store(spark)
+    labels = connected_components(g)
+    jobs.community(g, store, labels)
+    return jobs.community(g, store, labels)
+
+
+def q_job_community_documents(spark, sf):
+    """The same on a collection of documents."""
+    g, store = graph_of(spark, sf, "orders").materialize(), _store(spark)
+    labels = connected_components(g)
+    jobs.community(g, store, labels, documents.FORMAT)
+    return jobs.community(g, store, labels, documents.FORMAT)
+
+
+def q_job_top_k_up_documents(spark, sf):
+    out = jobs.top_k_up(graph_of(spark, sf, "full"), _store(spark), format=documents.FORMAT)
+    return out.select("id", "name", "intro", round6(F.col("rank")).alias("rank"))
+
+
 def q_job_comu(spark, sf):
     g, ids = _band_members(spark, sf)
     return jobs.community_edges_of(g, _store(spark), ids)
@@ -280,6 +353,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "users_scan": q_users_scan,
     "follow_scan": q_follow_scan,
     "follow_scan_alt_layout": q_follow_scan_alt_layout,
+    "follow_documents": q_follow_documents,
+    "graph_drawing_nodes": q_graph_drawing_nodes,
+    "graph_drawing_edges": q_graph_drawing_edges,
+    "fan_positions": q_fan_positions,
+    "fan_page": q_fan_page,
+    "community_member_lines": q_community_member_lines,
+    "lpa_member_lines": q_lpa_member_lines,
+    "edge_lookup": q_edge_lookup,
+    "job_community": q_job_community,
+    "job_community_documents": q_job_community_documents,
+    "job_top_k_up_documents": q_job_top_k_up_documents,
     "graph_vertices": q_graph_vertices,
     "fan_edge_subgraph": q_fan_edge_subgraph,
     "fan_subgraph_vertices": q_fan_subgraph_vertices,

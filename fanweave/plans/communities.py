@@ -15,6 +15,7 @@ from ..operators.components import connected_components
 from ..operators.graph import FollowGraph
 from ..operators.labelprop import label_propagation
 from ..operators.neighborhood import absent_from, edges_of_components
+from ..operators.placement import member_chunks
 
 
 def community_members(graph: FollowGraph, labels: DataFrame | None = None) -> DataFrame:
@@ -90,3 +91,26 @@ def lpa_community_members(labels: DataFrame, min_size: int = 10) -> DataFrame:
     """M9 members: (label, id) for label groups with more than ``min_size`` members."""
     big = lpa_communities(labels, min_size).select("label")
     return labels.join(big, "label").select("label", "id")
+
+
+def member_lines(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, chunk_no, n, line) from lists of members. The lines of a key, put together in
+    the order of ``chunk_no``, are its ``key->a,b,c`` text: the first one carries the key, the others
+    go on with a comma."""
+    first = members_line(F.col(key), F.col("members"))
+    later = F.concat(F.lit(","), F.array_join("members", ","))
+    return chunks.select(key, "chunk_no", F.size("members").cast("long").alias("n"),
+                         F.when(F.col("chunk_no") == 0, first).otherwise(later).alias("line"))
+
+
+def community_member_lines(graph: FollowGraph, labels: DataFrame | None = None,
+                           size: int = 1000) -> DataFrame:
+    """A2: (component, chunk_no, n, line), the names of every component's members by id."""
+    members = community_members(graph, labels).withColumn("name", F.coalesce("name", F.lit("")))
+    return member_lines(member_chunks(members, "component", "name", size=size), "component")
+
+
+def lpa_member_lines(labels: DataFrame, min_size: int = 10, size: int = 1000) -> DataFrame:
+    """M9: (label, chunk_no, n, line), the ids of every label group of more than ``min_size``."""
+    members = lpa_community_members(labels, min_size).withColumn("member", F.col("id").cast("string"))
+    return member_lines(member_chunks(members, "label", "member", size=size), "label")

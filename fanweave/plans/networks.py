@@ -11,6 +11,7 @@ from ..operators.graph import FollowGraph, export_edges, export_nodes, from_edge
 from ..operators.neighborhood import absent_from, incident_edges
 from ..operators.sampling import fan_sample
 from ..sources.readers import read_id_list
+from ..sources.graphml import write_graphml
 from ..sources.sinks import write_id_list
 
 
@@ -74,3 +75,9 @@ def id_list_roundtrip(ids: DataFrame, path: str) -> DataFrame:
 def graph_export(graph: FollowGraph) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) tables for a drawing tool."""
     return export_nodes(graph), export_edges(graph)
+
+
+def drawing(graph: FollowGraph, path: str) -> None:
+    """M12 as one GraphML document in ordered fragments (see ``sources.graphml``)."""
+    nodes, edges = graph_export(graph)
+    write_graphml(nodes, edges, path)

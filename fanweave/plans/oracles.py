@@ -290,4 +290,32 @@ def oracle_sql() -> dict[str, str]:
         " SELECT DISTINCT src AS Source, dst AS Target, 'Directed' AS Type FROM follow "
         "WHERE src IN (SELECT fan FROM sample) OR dst IN (SELECT fan FROM sample)")
     q["job_comu"] = q["id_list_edges"]
+    q["follow_documents"] = q["follow_scan"]
+    q["graph_drawing_nodes"] = q["graph_nodes_export"].replace(
+        _with("orders"), _with("full"))
+    q["graph_drawing_edges"] = _with("full") + " SELECT src, dst FROM follow"
+    q["fan_positions"] = (
+        _with("full") + " SELECT v.id, v.name, v.intro, f.fans, "
+        "row_number() OVER (ORDER BY f.fans DESC, v.id) AS position FROM vertices v "
+        "JOIN (SELECT dst, count(*) AS fans FROM follow GROUP BY dst) f ON f.dst = v.id")
+    q["fan_page"] = (f"SELECT * FROM ({q['fan_positions']}) WHERE position BETWEEN 101 AND 150 "
+                     "ORDER BY position")
+
+    def lines(key: str, source: str) -> str:
+        """Lists of a thousand members, by id; ``source`` gives key, id and the text of a member."""
+        return (f" SELECT {key}, chunk_no, count(*) AS n, "
+                f"CASE WHEN chunk_no = 0 THEN CAST({key} AS VARCHAR) || '->' ELSE ',' END || "
+                f"string_agg(member, ',' ORDER BY id) AS line FROM (SELECT {key}, id, member, "
+                f"(row_number() OVER (PARTITION BY {key} ORDER BY id) - 1) // 1000 AS chunk_no "
+                f"FROM ({source})) GROUP BY {key}, chunk_no")
+
+    q["community_member_lines"] = _with("orders", CC_CTES, recursive=True) + lines(
+        "component", "SELECT l.component, l.id, v.name AS member FROM labels l "
+        "JOIN vertices v ON v.id = l.id")
+    q["lpa_member_lines"] = _with("full", LPA_CTES, recursive=True) + lines(
+        "label", "SELECT l.label, l.id, CAST(l.id AS VARCHAR) AS member FROM labels l "
+        "JOIN lsizes s ON s.label = l.label WHERE s.size > 10")
+    q["edge_lookup"] = q["id_list_edges"]
+    q["job_community"] = q["job_community_documents"] = q["community_edges"]
+    q["job_top_k_up_documents"] = q["top_influence"]
     return q

@@ -9,6 +9,7 @@ from ..functions.expr import tie_key
 from ..operators.degrees import in_degrees, max_degree, out_degrees
 from ..operators.graph import FollowGraph, attributes_of
 from ..operators.pagerank import pagerank
+from ..operators.placement import with_positions
 
 
 def fan_ranking(graph: FollowGraph) -> DataFrame:
@@ -46,6 +47,29 @@ def top_influence(graph: FollowGraph, k: int = 10, ranks: DataFrame | None = Non
     return influence_ranking(graph, ranks).limit(k)
 
 
+def fan_positions(graph: FollowGraph) -> DataFrame:
+    """O1: the fan ranking with every user's exact place, from 1."""
+    return with_positions(fan_ranking(graph), [F.desc("fans"), F.asc("id")])
+
+
+def influence_positions(graph: FollowGraph, ranks: DataFrame | None = None) -> DataFrame:
+    """O2: the influence ranking with every vertex's exact place, from 1."""
+    return with_positions(influence_ranking(graph, ranks),
+                          [tie_key(F.col("rank")).desc(), F.asc("id")])
+
+
+def store_positions(ranking: DataFrame, path: str) -> None:
+    """Write a ranking with places so that files hold ranges of places."""
+    ranking.repartitionByRange("position").sortWithinPartitions("position").write.parquet(path)
+
+
+def page(spark, path: str, first: int, count: int) -> DataFrame:
+    """``count`` rows of a stored ranking from place ``first`` on; the place is pushed down to the
+    scan, which skips the files and row groups of other places."""
+    at = F.col("position")
+    return spark.read.parquet(path).where((at >= first) & (at < first + count)).orderBy("position")
+
+
 def max_in_degree(graph: FollowGraph) -> DataFrame:
     """The most-followed vertex (id, degree); ties -> smallest id."""
     return max_degree(in_degrees(graph.edges, "degree"), "degree")

@@ -1,8 +1,9 @@
 """Readers for users, follow edges and id lists (any Spark data source).
 
 The users/follow documents of the original store become ordinary tables; the
-readers take ``format``/``options`` so that a document-store connector can be
-plugged in where one is on the class path.  Parquet is the default.
+readers take ``format``/``options``: Parquet is the default, ``documents`` are
+collections of JSON documents (``sources.documents``), and a document-store
+connector can be plugged in where one is on the class path.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import to_long, to_str
+from . import documents
 
 USER_COLUMNS = ("id", "name", "intro")
 EDGE_COLUMNS = ("src", "dst", "weight")
 
 
 def _load(spark: SparkSession, path: str, format: str, options: dict | None) -> DataFrame:
+    if format == documents.FORMAT:
+        documents.register(spark)
     reader = spark.read.format(format)
     if options:
         reader = reader.options(**options)

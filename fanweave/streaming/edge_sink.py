@@ -4,9 +4,10 @@ The original jobs looked every follow edge up in the store and inserted it
 only when absent (the ``community`` and ``fansOf`` collections).  When the
 follow documents arrive as a stream, the same sink is a ``foreachBatch``:
 each micro-batch keeps the edges that touch the watched vertex set, drops
-duplicates and anti-joins against what the sink already holds.  The sink
-table itself is the state (no unbounded in-memory state), and the query's
-checkpoint location makes restarts resume without re-inserting.
+duplicates and anti-joins against what the sink already holds in the key
+buckets that the batch touches.  The sink table itself is the state (no
+unbounded in-memory state), and the query's checkpoint location makes
+restarts resume without re-inserting.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.neighborhood import incident_edges
 from ..sources.readers import follows_from
-from ..sources.sinks import insert_if_absent
+from ..sources.sinks import insert_into_buckets
 
 
 def watch_edges(follow_stream: DataFrame, members: DataFrame, sink_path: str,
@@ -29,7 +30,7 @@ def watch_edges(follow_stream: DataFrame, members: DataFrame, sink_path: str,
 
     def write_batch(batch: DataFrame, _epoch: int) -> None:
         edges = follows_from(batch, src_col, dst_col)
-        insert_if_absent(incident_edges(edges, members, dedup=True), sink_path)
+        insert_into_buckets(incident_edges(edges, members, dedup=True), sink_path)
 
     writer = (follow_stream.writeStream.foreachBatch(write_batch)
               .option("checkpointLocation", checkpoint_location))
