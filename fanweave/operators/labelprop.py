@@ -45,15 +45,23 @@ def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job:
         pairs = (e.select(F.col("src").alias("sender"), F.col("dst").alias("receiver"))
                  .unionByName(e.select(F.col("dst").alias("sender"), F.col("src").alias("receiver")))
                  .groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("m")))
-        fanout = pairs.groupBy("sender").agg(F.count(F.lit(1)).alias("k"))
+        # Written once, dealt by sender: what follows reads it and does not redo the union.
+        pairs, _ = materialize(pairs.repartition(n, "sender"))
+        fanout, counts = materialize(pairs.groupBy("sender").agg(F.count(F.lit(1)).alias("k")),
+                                     {"hot": F.expr(f"sum(CASE WHEN k > {hot} THEN 1 ELSE 0 END)")})
         tagged = pairs.join(fanout, "sender").select(
             "sender", "receiver", "m", (F.col("k") > hot).alias("sender_hot"))
         hot_of = fanout.select(F.col("sender").alias("receiver"), (F.col("k") > hot).alias("receiver_hot"))
-        tagged = tagged.join(hot_of, "receiver")
-        S, _ = materialize(tagged.where(~F.col("sender_hot")).drop("sender_hot").repartition(n, "sender"))
-        H, mh = materialize(tagged.where("sender_hot").select("sender", "receiver", "m", "receiver_hot")
-                            .repartition(n, "receiver"), {"n": F.count(F.lit(1))})
-        n_hot = mh["n"]
+        n_hot = counts["hot"] or 0
+        if n_hot:
+            tagged, _ = materialize(tagged.join(hot_of, "receiver"))
+            S, _ = materialize(tagged.where(~F.col("sender_hot")).drop("sender_hot")
+                               .repartition(n, "sender"))
+            H, _ = materialize(tagged.where("sender_hot")
+                               .select("sender", "receiver", "m", "receiver_hot")
+                               .repartition(n, "receiver"))
+        else:
+            S, H = pairs.withColumn("receiver_hot", F.lit(False)), None
         init = (fanout.select(F.col("sender").alias("id"), F.col("sender").alias("label"),
                               (F.col("k") > hot).alias("hot")).repartition(n, "id"))
         hot_part = "" if not n_hot else """

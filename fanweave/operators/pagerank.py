@@ -43,7 +43,7 @@ def hot_threshold(n_edges: int, n_parts: int, hot_degree: int | None = None) ->
     return max(100_000, 2 * n_edges // max(1, n_parts))
 
 
-def links(graph: FollowGraph, n_parts: int, hot: int) -> tuple[DataFrame, DataFrame, int]:
+def links(graph: FollowGraph, n_parts: int, hot: int | None) -> tuple[DataFrame, DataFrame | None, int]:
     """Split edge tables for the supersteps.
 
     * ``cold`` (src, dst, w, dst_deg, self): w = multiplicity / outdegree(src)
@@ -55,25 +55,40 @@ def links(graph: FollowGraph, n_parts: int, hot: int) -> tuple[DataFrame, DataFr
       task; their senders reach them through a broadcast of the hot
       vertices' state.
     ``dst_deg`` (the receiver's out-degree) tells whether a receiver may send.
-    Returns (cold, hot_edges, number of hot edges).
+    Degrees are counted once, and the hot edges are only looked for where the counts show some;
+    ``hot`` None keeps all edges together.
+    Returns (cold, hot_edges or None, number of hot edges).
     """
-    deg = _out_degrees(graph.edges)
-    vdeg = vertex_out_degrees(graph)
+    vdeg, counts = materialize(vertex_out_degrees(graph), {
+        "hot": F.expr("sum(CASE WHEN deg > {} THEN 1 ELSE 0 END)".format(
+            2 ** 62 if hot is None else hot))})
+    deg = vdeg.where("deg > 0").select(F.col("id").alias("src"), "deg")
     pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     weighted = (pairs.join(deg, "src")
                 .join(vdeg.select(F.col("id").alias("dst"), F.col("deg").alias("dst_deg")), "dst")
-                .select("src", "dst", (F.col("m").cast("double") * (F.lit(1.0) / F.col("deg"))).alias("w"), "dst_deg",
-                        (F.col("deg") > hot).alias("hot")))
+                .select("src", "dst", (F.col("m").cast("double") * (F.lit(1.0) / F.col("deg"))).alias("w"),
+                        "dst_deg", "deg"))
     selfs = vdeg.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"),
                         F.col("deg").alias("dst_deg"), F.lit(True).alias("self"))
-    cold, _ = materialize(weighted.where(~F.col("hot"))
-                          .select("src", "dst", "w", "dst_deg", F.lit(False).alias("self"))
+    columns = ["src", "dst", "w", "dst_deg"]
+    if not counts["hot"]:
+        cold, _ = materialize(weighted.select(*columns, F.lit(False).alias("self"))
+                              .unionByName(selfs).repartition(n_parts, "src"))
+        return cold, None, 0
+    weighted, _ = materialize(weighted)
+    cold, _ = materialize(weighted.where(F.col("deg") <= hot)
+                          .select(*columns, F.lit(False).alias("self"))
                           .unionByName(selfs).repartition(n_parts, "src"))
-    hot_edges, m = materialize(weighted.where("hot").select("src", "dst", "w", "dst_deg")
+    hot_edges, m = materialize(weighted.where(F.col("deg") > hot).select(*columns)
                                .repartition(n_parts, "dst"), {"n": F.count(F.lit(1))})
     return cold, hot_edges, m["n"]
 
 
+def degrees_of(cold: DataFrame) -> DataFrame:
+    """(id, deg) of every vertex, from the self rows of the stored links."""
+    return cold.where("self").select(F.col("src").alias("id"), F.col("dst_deg").alias("deg"))
+
+
 def vertex_out_degrees(graph: FollowGraph) -> DataFrame:
     """(id, deg) for every vertex, 0 when it follows nobody."""
     deg = _out_degrees(graph.edges)
@@ -137,7 +152,7 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
     hot = hot_threshold(n_edges, n, hot_degree)
     with fixed_partitioning(spark, n):
         L, H, n_hot = links(graph, n, hot)
-        vdeg = vertex_out_degrees(graph)
+        vdeg = degrees_of(L)
         start = vdeg.select("id", "deg", F.lit(reset).alias("delta"),
                             F.lit(0.0).alias("acc")).repartition(n, "id")
         s_cond = "s." + _active(tol).replace(" AND ", " AND s.")
@@ -197,8 +212,8 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
     with fixed_partitioning(spark, n):
         # Pair state for a hot vertex is not bounded (one row per source that
         # reaches it), so no broadcast split here: every edge stays co-partitioned.
-        L, _, _ = links(graph, n, hot=2 ** 62)
-        vdeg = vertex_out_degrees(graph)
+        L, _, _ = links(graph, n, hot=None)
+        vdeg = degrees_of(L)
         src_ids = (sources.select("id").distinct() if sources is not None
                    else graph.vertices.select("id"))
         seeds_all = src_ids.join(vdeg, "id").select(F.col("id").alias("source"), "id", "deg")
