@@ -13,7 +13,13 @@ the edge set is a forest of stars centred on each component's minimum iff no
 vertex has both a smaller and a larger neighbour and no vertex has two
 different smaller neighbours.
 
-Strongly connected components use trimming plus forward/backward colouring:
+Strongly connected components first contract chains: a vertex with one in-edge
+and one out-edge lies on the way between two others, and pointer doubling finds
+both ends of its chain, or the smallest id of a cycle made of such vertices
+only, in rounds that grow with the logarithm of the chain's length.  A chain is
+then one edge; its vertices belong to a component exactly if both ends are in
+the same one.  What is left goes through
+trimming plus forward/backward colouring:
 colour(v) = smallest id that reaches v; a vertex whose colour is its own id
 is a root; the root's SCC is every vertex of that colour that reaches it
 (a reverse breadth-first search restricted to the colour).  Finished vertices
@@ -148,6 +154,69 @@ SELECT id, fin AS final, fin AND NOT was AS new FROM (
 """
 
 
+def _chase(chain: DataFrame, inside: DataFrame, way: str, n: int) -> DataFrame:
+    """(id, to, done, least): from each of the ``n`` chain vertices, the first vertex in direction
+    ``way`` that is on no chain. Vertices that are not ``done`` lie on endless chains, and ``least``
+    is the smallest id there. Only vertices whose pointer still lies inside take part in a round,
+    and no two of them point to the same vertex, so a round has no hot key."""
+    state = chain.join(inside, F.col(way) == F.col("c"), "left").select(
+        "id", F.col(way).alias("to"), F.col("c").isNull().alias("done"),
+        F.least("id", way).alias("least"))
+    open_rows = {"open": F.expr("sum(CASE WHEN done THEN 0 ELSE 1 END)")}
+    state, left = materialize(state, open_rows)
+    reached = 1
+    while left["open"] and reached < n:        # 2^k >= n hops have met a whole cycle
+        ahead = state.select(F.col("id").alias("a"), F.col("to").alias("a_to"),
+                             F.col("done").alias("a_done"), F.col("least").alias("a_least"))
+        moved = state.where("NOT done").join(ahead, F.col("to") == F.col("a")).select(
+            "id", F.col("a_to").alias("to"), F.col("a_done").alias("done"),
+            F.least("least", "a_least").alias("least"))
+        state, left = materialize(state.where("done").unionByName(moved), open_rows)
+        reached *= 2
+    return state
+
+
+def _contract_chains(E: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(edges, chains, cycles) of simple edges without loops, None if there is no chain vertex.
+
+    ``chains`` (id, first, last): the chain vertices with the two other vertices that their chain
+    joins. ``cycles`` (id, component): those whose chain has no end. ``edges`` are the edges between
+    other vertices plus one edge for each chain."""
+    n_out = E.groupBy(F.col("src").alias("id")).agg(
+        F.count(F.lit(1)).alias("o"), F.max("dst").alias("next"))
+    n_in = E.groupBy(F.col("dst").alias("id")).agg(
+        F.count(F.lit(1)).alias("i"), F.max("src").alias("prev"))
+    chain, m = materialize(n_out.join(n_in, "id").where("o = 1 AND i = 1").select("id", "next", "prev"),
+                           {"n": F.count(F.lit(1))})
+    if not m["n"]:
+        return None
+    inside = chain.select(F.col("id").alias("c"))
+    forth, back = (_chase(chain, inside, way, m["n"]) for way in ("next", "prev"))
+    chains = (forth.where("done").select("id", F.col("to").alias("last"))
+              .join(back.where("done").select("id", F.col("to").alias("first")), "id"))
+    cycles = forth.where("NOT done").select("id", F.col("least").alias("component"))
+    kept = (E.join(inside.withColumnRenamed("c", "src"), "src", "left_anti")
+            .join(inside.withColumnRenamed("c", "dst"), "dst", "left_anti"))
+    bridges = chains.select(F.col("first").alias("src"), F.col("last").alias("dst")).where("src <> dst")
+    edges, _ = materialize(kept.select("src", "dst").unionByName(bridges).distinct())
+    return edges, chains, cycles
+
+
+def _chain_labels(found: DataFrame, chains: DataFrame) -> DataFrame:
+    """Labels (id, component) of all vertices from those of the vertices that are on no chain: a
+    chain between two vertices of one component, or from a vertex to itself, belongs to it. A
+    component's label is the smallest id of all its vertices."""
+    a = found.select(F.col("id").alias("first"), F.col("component").alias("ca"))
+    b = found.select(F.col("id").alias("last"), F.col("component").alias("cb"))
+    placed = chains.join(a, "first", "left").join(b, "last", "left").select(
+        "id", F.when(F.col("ca") == F.col("cb"), F.col("ca")).alias("component"))
+    lone = placed.where("component IS NULL").select("id", F.col("id").alias("component"))
+    every = found.unionByName(placed.where("component IS NOT NULL"))
+    least = every.groupBy("component").agg(F.min("id").alias("label"))
+    return every.join(least, "component").select(
+        "id", F.col("label").alias("component")).unionByName(lone)
+
+
 def _with_self_rows(edges: DataFrame) -> DataFrame:
     ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     loops = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("self"))
@@ -182,34 +251,56 @@ def _scc_round(E: DataFrame, steps_per_job: int) -> DataFrame:
     return fin
 
 
+def _scc_labels(E: DataFrame, n: int, steps_per_job: int) -> DataFrame | None:
+    """(id, component) of the vertices of simple edges whose component is found to be more than the
+    vertex itself or was a root; None if there is none."""
+    count = {"n": F.count(F.lit(1))}
+    done: list[DataFrame] = []
+    while n:
+        E, n = _trim(E, steps_per_job)
+        if not n:
+            break
+        fin = _scc_round(E, steps_per_job)
+        done.append(fin)
+        gone = fin.select("id")
+        E, m = materialize(E.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
+                           .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), count)
+        n = m["n"]
+    assigned = None
+    for part in done:
+        assigned = part if assigned is None else assigned.unionByName(part)
+    return assigned
+
+
 def strongly_connected_components(graph: FollowGraph, steps_per_job: int = 8) -> DataFrame:
     """(id, component) for every vertex."""
     spark = graph.edges.sparkSession
     graph, n_edges = graph.materialize_counted()
+    count = {"n": F.count(F.lit(1))}
+    simple, m = materialize(graph.edges.where(F.col("src") != F.col("dst"))
+                            .select("src", "dst").distinct(), count)
+    contracted = _contract_chains(simple) if m["n"] else None
+    E = simple if contracted is None else contracted[0]
     with fixed_partitioning(spark, loop_partitions(spark, 3 * n_edges)):
-        count = {"n": F.count(F.lit(1))}
-        E, m = materialize(graph.edges.where(F.col("src") != F.col("dst"))
-                           .select("src", "dst").distinct().repartition("src"), count)
-        n = m["n"]
-        done: list[DataFrame] = []
-        while n:
-            E, n = _trim(E, steps_per_job)
-            if not n:
-                break
-            fin = _scc_round(E, steps_per_job)
-            done.append(fin)
-            gone = fin.select("id")
-            E, m = materialize(E.join(gone.withColumnRenamed("id", "src"), "src", "left_anti")
-                               .join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), count)
-            n = m["n"]
-        assigned = None
-        for part in done:
-            assigned = part if assigned is None else assigned.unionByName(part)
+        E, m = materialize(E.repartition("src"), count)
+        assigned = _scc_labels(E, m["n"], steps_per_job)
         v = graph.vertices.select("id")
+        if assigned is not None:
+            assigned, _ = materialize(assigned)
+    if contracted is not None:
+        _, chains, cycles = contracted
+        ends = chains.select(F.explode(F.array("first", "last")).alias("id")).distinct()
         if assigned is None:
-            labelled = v.select("id", F.col("id").alias("component"))
+            others = ends.select("id", F.col("id").alias("component"))
         else:
-            labelled = (v.join(assigned.withColumnRenamed("id", "aid"), F.col("id") == F.col("aid"), "left")
-                        .select("id", F.coalesce("component", "id").alias("component")))
-        out, _ = materialize(labelled)
+            alone = ends.join(assigned.select("id"), "id", "left_anti")
+            others = assigned.unionByName(alone.select("id", F.col("id").alias("component")))
+        others, _ = materialize(others)
+        assigned, _ = materialize(_chain_labels(others, chains).unionByName(cycles))
+    if assigned is None:
+        labelled = v.select("id", F.col("id").alias("component"))
+    else:
+        labelled = (v.join(assigned.withColumnRenamed("id", "aid"), F.col("id") == F.col("aid"), "left")
+                    .select("id", F.coalesce("component", "id").alias("component")))
+    out, _ = materialize(labelled)
     return out

@@ -2,60 +2,34 @@
 creator in follower-id order, n = the creator's number of fan edges.
 
 The creator with the most fans is by definition the hottest key, so the
-ordering is never done as one window over a creator's fans.  Instead a
-distributed prefix sum:
+ordering is never done as one window over a creator's fans: fan edges are
+pre-aggregated to (creator, fan, multiplicity), and ``placement.running_before``
+gives every fan the number of the creator's fan edges before it, by ranges of
+(creator, fan) of even size, whatever a creator's degree.
 
-1. fan edges are pre-aggregated to (creator, fan, multiplicity);
-2. approximate quantiles of the fan id split every creator's fans into
-   ``buckets`` ordered ranges (a mergeable sketch aggregate);
-3. bucket totals give each bucket's offset (a window over <= ``buckets`` rows);
-4. a running sum inside each (creator, bucket) gives each fan's position.
-
-A fan is in the sample ``min(m, k - before)`` times, where ``before`` counts
-the creator's fan edges with a smaller follower id.  The result is exact; the
-quantiles only balance the work.
+A fan is in the sample ``min(m, k - before)`` times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import FAN_SAMPLE_FRACTION, floor_fraction
+from .iterate import materialize
+from .placement import running_before
 
 
-def fan_sample(edges: DataFrame, creators: DataFrame, fraction: float = FAN_SAMPLE_FRACTION,
-               buckets: int = 64, split_rows: int = 100_000) -> DataFrame:
-    """(creator, fan) rows, one per sampled fan edge (a fan followed twice can appear twice).
-
-    Only creators with more than ``split_rows`` distinct fans are split into
-    ``buckets`` quantile ranges (the sketch aggregate runs for them alone);
-    every other creator is a single range, bounded by ``split_rows`` rows."""
+def fan_sample(edges: DataFrame, creators: DataFrame,
+               fraction: float = FAN_SAMPLE_FRACTION) -> DataFrame:
+    """(creator, fan) rows, one per sampled fan edge (a fan followed twice can appear twice)."""
     ids = creators.select(F.col("id").alias("dst")).distinct()
     fan = edges.join(ids, "dst", "left_semi")
     counts = fan.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("m"))
-    per_creator = (counts.groupBy("dst").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("fans"))
-                   .withColumn("k", floor_fraction(F.col("n"), fraction))
-                   .where("k > 0"))
-    placed = counts.join(per_creator.select("dst", "k", "fans"), "dst")
-    probs = [i / buckets for i in range(1, buckets)]
-    if probs:
-        hot = per_creator.where(F.col("fans") > split_rows).select("dst")
-        bounds = (counts.join(hot, "dst", "left_semi").groupBy("dst")
-                  .agg(F.percentile_approx("src", probs, 10000).alias("bounds")))
-        placed = placed.join(bounds, "dst", "left")
-        bucket = F.coalesce(F.size(F.filter("bounds", lambda b: b < F.col("src"))), F.lit(0))
-    else:
-        bucket = F.lit(0)
-    placed = placed.select("dst", "src", "m", "k", bucket.alias("bucket"))
-    bucket_tot = placed.groupBy("dst", "bucket").agg(F.sum("m").alias("bm"))
-    w_off = Window.partitionBy("dst").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucket_tot.select("dst", "bucket", F.coalesce(F.sum("bm").over(w_off), F.lit(0)).alias("off"))
-    w_run = Window.partitionBy("dst", "bucket").orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
-    positioned = (placed.join(offsets, ["dst", "bucket"])
-                  .select("dst", "src", "m", "k",
-                          (F.col("off") + F.sum("m").over(w_run) - F.col("m")).alias("before")))
+    placed = running_before(counts, ["dst"], [F.col("src")], "m")
+    cut, _ = materialize(placed.groupBy("dst").agg(
+        floor_fraction(F.sum("m"), fraction).alias("k")).where("k > 0"))
     take = F.least(F.col("m"), F.greatest(F.lit(0), F.col("k") - F.col("before")))
-    chosen = positioned.select("dst", "src", take.alias("t")).where("t > 0")
+    chosen = placed.join(cut, "dst").select("dst", "src", take.alias("t")).where("t > 0")
     return chosen.select(F.col("dst").alias("creator"),
                          F.explode(F.array_repeat(F.col("src"), F.col("t").cast("int"))).alias("fan"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from fanweave.operators.neighborhood import absent_from, incident_edges
 from fanweave.operators.sampling import fan_sample
@@ -21,8 +22,17 @@ def brute_sample(edges, creators, fraction):
     return sorted(out)
 
 
-@pytest.mark.parametrize("buckets,split_rows", [(1, 0), (3, 0), (16, 0), (16, 40), (16, 10 ** 6)])
-def test_fan_sample_matches_brute_force(spark, buckets, split_rows):
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_fan_sample_matches_brute_force(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        sample_equals_brute_force(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def sample_equals_brute_force(spark):
     rnd = random.Random(7)
     edges = []
     for _ in range(600):  # one hot creator (0) with a third of the edges, parallel edges included
@@ -32,10 +42,20 @@ def test_fan_sample_matches_brute_force(spark, buckets, split_rows):
     cdf = spark.createDataFrame([(c,) for c in creators], "id long")
     for fraction in (0.1, 0.35):
         got = sorted((r.creator, r.fan)
-                     for r in fan_sample(df, cdf, fraction, buckets, split_rows).collect())
+                     for r in fan_sample(df, cdf, fraction).collect())
         assert got == brute_sample(edges, creators, fraction)
 
 
+def test_fan_sample_of_a_giant_creator(spark):
+    fans = spark.range(1, 200_001).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+    few = spark.range(300_000, 300_010).select(F.col("id").alias("src"),
+                                               F.lit(1).cast("long").alias("dst"))
+    got = fan_sample(few.unionByName(fans).repartition(8),
+                     spark.createDataFrame([(0,), (1,), (2,)], "id long"))
+    assert got.where("creator = 0").agg(F.count("fan"), F.max("fan")).first()[:] == (20_000, 20_000)
+    assert [r["fan"] for r in got.where("creator = 1").collect()] == [300_000]
+
+
 def test_fan_sample_small_creator_is_empty(spark):
     df = spark.createDataFrame([(i, 5) for i in range(9)], "src long, dst long")
     assert fan_sample(df, spark.createDataFrame([(5,)], "id long")).count() == 0
