@@ -85,30 +85,35 @@ def draw_bases() -> list[tuple[int, int, int]]:
 
 
 def _context_hashes(value: np.ndarray, begin: np.ndarray, at: np.ndarray, end: np.ndarray,
-                    bases: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """124 bits of the contexts value[begin:end] around the anchors ``at``, as two longs."""
-    prime, n, out = np.uint64(_PRIME), len(value), []
+                    centre: int, bases: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """62 bits of the centres value[at:at + centre], as far as the contexts hold them, and 124 bits
+    of the contexts value[begin:end], as three longs."""
+    prime, n, out, middle = np.uint64(_PRIME), len(value), [], []
+    stop = np.minimum(at + centre, end)
     sums = np.zeros(n + 1, np.uint64)
     left, right = (at - begin).astype(np.uint64), (end - at).astype(np.uint64)
     for base, of_left, of_right in bases:
         # Below 2^8 x 2^31 x 2^20: exact.
         np.cumsum(value * _power(base, _PRIME, n), out=sums[1:])
-        h = (sums[end] - sums[begin]) % prime * _power(pow(base, -1, _PRIME), _PRIME, n + 1)[begin]
+        down = _power(pow(base, -1, _PRIME), _PRIME, n + 1)
+        if len(middle) < 2:
+            middle.append((sums[stop] - sums[at]) % prime * down[at] % prime)
+        h = (sums[end] - sums[begin]) % prime * down[begin]
         out.append((h % prime + left * np.uint64(of_left) + right * np.uint64(of_right)) % prime)
     high = np.uint64(32)
-    return (out[0] << high) | out[1], (out[2] << high) | out[3]
+    return [(a << high) | b for a, b in (middle, out[:2], out[2:])]
 
 
 def anchors(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray,
             length: int, bases: list[tuple[int, int, int]]):
-    """Anchors of the windows of several stretches of ``raw``: (stretch, place, hash of the sample,
-    two hashes of the context). Stretch i is raw[lo[i]:hi[i]]; its windows, of PASSAGE bytes at
+    """Anchors of the windows of several stretches of ``raw``: (stretch, place, whether the centre
+    ends in the stretch, hashes of the sample and the centre, two of the context). Stretch i is raw[lo[i]:hi[i]]; its windows, of PASSAGE bytes at
     least, start at first[i] up to, not including, last[i]."""
     n = len(raw)
     places, windows = n - SAMPLE + 1, n - PASSAGE + 1
     empty = np.zeros(0, np.int64)
     if windows <= 0:
-        return empty, empty, *[empty.view(np.uint64)] * 3
+        return empty, empty, empty.astype(bool), *[empty.view(np.uint64)] * 4
     value = raw.astype(np.uint64) + np.uint64(1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(value * _power(_BASE, 1 << 64, n), out=sums[1:])
@@ -128,7 +133,9 @@ def anchors(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray,
     stretch = np.searchsorted(lo, at, side="right") - 1
     begin = np.maximum(at - MARGIN, lo[stretch])
     end = np.minimum(at + length, hi[stretch])
-    return stretch, at, h[at], *_context_hashes(value, begin, at, end, bases)
+    centre = length - MARGIN
+    return (stretch, at, at + centre <= end, h[at],
+            *_context_hashes(value, begin, at, end, centre, bases))
 
 
 def _segments(off: np.ndarray) -> Iterator[list[tuple[int, int, int, int]]]:
@@ -146,13 +153,14 @@ def _segments(off: np.ndarray) -> Iterator[list[tuple[int, int, int, int]]]:
         yield part
 
 
-ANCHORS = "rid long, doc_id long, th binary, pos long, hash long, x1 long, x2 long"
+ANCHORS = "rid long, doc_id long, th binary, pos long, hash long, centre long, x1 long, x2 long"
 
 
 def _anchor_rows(length: int, bases: list[tuple[int, int, int]]):
     """A row of place -1 for every text that has a window, which carries its id, and a row for
-    each of its anchors."""
-    names = ["rid", "doc_id", "th", "pos", "hash", "x1", "x2"]
+    each of its anchors. ``centre`` is null where no window of this length has the anchor; a centre
+    that is the sample has the sample's hash."""
+    names = ["rid", "doc_id", "th", "pos", "hash", "centre", "x1", "x2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +172,7 @@ def _anchor_rows(length: int, bases: list[tuple[int, int, int]]):
             before = (-1, np.zeros(0, np.int64))     # the text of the last segment, its anchors
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c).take(longer) for c in ("rid", "doc_id", "th")),
-                 pa.array(np.full(n, -1)), nothing, nothing, nothing], names=names)
+                 pa.array(np.full(n, -1)), *[nothing] * 4], names=names)
             for part in _segments(off):
                 doc, begin, first, last = (np.array(x, np.int64) for x in zip(*part))
                 end = np.minimum(last + length + MARGIN, np.diff(off)[doc])
@@ -172,8 +180,8 @@ def _anchor_rows(length: int, bases: list[tuple[int, int, int]]):
                 lo = np.cumsum(size) - size
                 raw = np.concatenate([data[off[d] + s:off[d] + e]
                                       for d, s, e in zip(doc, begin, end)])
-                i, at, *hashes = anchors(raw, lo, lo + size, lo + first - begin,
-                                         lo + last - begin, length, bases)
+                i, at, whole, h, centre, *hashes = anchors(
+                    raw, lo, lo + size, lo + first - begin, lo + last - begin, length, bases)
                 pos = at - lo[i] + begin[i]
                 # Two segments of a text may find one anchor where they meet.
                 new = np.ones(len(at), bool)
@@ -182,11 +190,13 @@ def _anchor_rows(length: int, bases: list[tuple[int, int, int]]):
                     earlier = pos[i == k - 1] if k else before[1] if before[0] == doc[k] else pos[:0]
                     new[own] = ~np.isin(pos[own], earlier)
                 before = (int(doc[-1]), pos[i == len(doc) - 1])
-                i, pos = i[new], pos[new]
+                i, pos, h = i[new], pos[new], h[new].view(np.int64)
+                centre = h if length == PASSAGE else centre[new].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rid[doc[i]]), pa.nulls(len(pos), pa.int64()),
-                     pa.nulls(len(pos), pa.binary()), pa.array(pos),
-                     *(pa.array(h[new].view(np.int64)) for h in hashes)], names=names)
+                     pa.nulls(len(pos), pa.binary()), pa.array(pos), pa.array(h),
+                     pa.array(centre, mask=~whole[new]),
+                     *(pa.array(x[new].view(np.int64)) for x in hashes)], names=names)
     return run
 
 
@@ -321,17 +331,15 @@ def _context_rows(length: int):
                 lo, hi = int(off[d]), int(off[d + 1])
                 for a in asked:
                     p = lo + a["pos"]
-                    if p + centre > hi:       # no window of this length has this anchor
-                        continue
                     digest = hashlib.blake2b(raw[p:p + centre], digest_size=16).hexdigest()
-                    rows.append((f"{a['hash']:x}-{digest}", f"{a['x1']:x}.{a['x2']:x}", a["hash"],
-                                 a["x1"], a["x2"], a["n"], raw[max(lo, p - MARGIN):p],
+                    rows.append((f"{a['centre']:x}-{digest}", f"{a['x1']:x}.{a['x2']:x}",
+                                 a["centre"], a["x1"], a["x2"], a["n"], raw[max(lo, p - MARGIN):p],
                                  raw[p + centre:min(hi, p + length)]))
             cols = list(zip(*rows)) or [[]] * 8
             kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(cols, kinds)],
-                names=["key", "id", "hash", "x1", "x2", "n", "left", "right"])
+                names=["key", "id", "centre", "x1", "x2", "n", "left", "right"])
     return run
 
 
@@ -342,7 +350,7 @@ def repeat_places(docs: DataFrame, length: int = LENGTH, shared: bool = False) -
         raise ValueError(f"repeats of fewer than {PASSAGE} bytes are not searched for")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.unhex(F.sha2("text", 256)).alias("th"), "text")
-    spark, context = docs.sparkSession, ["hash", "x1", "x2"]
+    spark, context = docs.sparkSession, ["centre", "x1", "x2"]
     path, kept = scratch_path(spark, "repeats-anchors"), scratch_path(spark, "repeats-candidates")
     rows = write_rows(
         named.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "th", "text")
@@ -352,29 +360,30 @@ def repeat_places(docs: DataFrame, length: int = LENGTH, shared: bool = False) -
     # time takes that part of the disk. The repeated hashes are written first, so that the join has
     # nothing but a shuffle on either side and Spark can split a hash that very many anchors have.
     for part in range(HASH_PARTS):
-        some = rows.where("pos >= 0").select("rid", "pos", *context).where(
+        some = rows.where("pos >= 0").select("rid", "pos", "hash", *context).where(
             F.pmod("hash", F.lit(HASH_PARTS)) == part)
         again = materialize(some.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                             .select("hash"), "repeats-again")
-        marks = write_rows(some.join(again, "hash"), kept, "append")
+        marks = write_rows(some.join(again, "hash").drop("hash"), kept, "append")
     discard(rows, path)
 
-    classes = marks.groupBy(*context).agg(
+    # Only centres that occur again matter; a sample may occur again within other bytes.
+    classes = marks.where("centre IS NOT NULL").groupBy(*context).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "pos")).alias("at"))
     classes = materialize(classes, "repeats-classes")
-    split = classes.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    split = materialize(split.select("hash"), "repeats-split")
-    alone = classes.join(split, "hash", "left_anti").where("n > 1").select(
+    split = classes.groupBy("centre").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    split = materialize(split.select("centre"), "repeats-split")
+    alone = classes.join(split, "centre", "left_anti").where("n > 1").select(
         *context, F.lit(-1).cast("long").alias("mask"))
-    asked = (classes.join(split, "hash")
+    asked = (classes.join(split, "centre")
              .select(F.col("at.rid").alias("rid"), F.col("at.pos").alias("pos"), *context, "n")
              .join(owners, "rid").groupBy("doc_id", "th").agg(F.collect_list(
                  F.struct("pos", *context, "n")).alias("asked")))
     members = named.join(asked, named["doc_id"].eqNullSafe(asked["doc_id"])
                          & named["th"].eqNullSafe(asked["th"])).select("text", "asked")
     members = materialize(
-        members.mapInArrow(_context_rows(length), "key string, id string, hash long, x1 long, "
-                           "x2 long, n long, left binary, right binary")
+        members.mapInArrow(_context_rows(length), "key string, id string, centre long, "
+                           "x1 long, x2 long, n long, left binary, right binary")
         .dropDuplicates(["key", "id"]), "repeats-contexts")
     masks = solve(members.select("key", "id", "left", "right", "n"), MARGIN, BUCKET).join(
         members.select("key", "id", *context), ["key", "id"]).select(*context, "mask")
