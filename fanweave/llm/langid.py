@@ -33,7 +33,8 @@ TRAIN_DOCS = 1500
 MAX_CONTEXTS = 20_000
 STRETCH = 256                 # bytes of one lane of the automaton
 LANES = 8192
-PART_BYTES = 2 << 20          # text that is scored at once
+PART_BYTES = 2 << 20          # text that is scored or counted at once
+LETTERS = "__fw_letters"      # column that is added to the documents' own ones
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -48,21 +49,33 @@ class Model:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (ORDER + 1)-byte strings per language and batch."""
+    """Counts of (ORDER + 1)-byte strings per language and about PART_BYTES of text: a text of any
+    length is taken in stretches, each after the ORDER bytes before it."""
+    def counted(lang: str, codes: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(codes), return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(values), pa.string()), pa.array(values),
+             pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+
     for b in batches:
         langs = np.array(b.column("lang").to_pylist(), object)
         data, off = text_bytes(b.column("text"))
         for lang in sorted(set(langs)):
-            codes = []
-            for i in np.flatnonzero(langs == lang):
-                t = np.concatenate([np.zeros(ORDER, np.uint8), _FOLD[data[off[i]:off[i + 1]]]])
-                t = t.astype(np.int64)
-                codes.append(sum(t[k:len(t) - ORDER + k] << (8 * (ORDER - k))
-                                 for k in range(ORDER + 1)))
-            values, counts = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(values), pa.string()), pa.array(values),
-                 pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+            codes, size = [], 0
+            for i in np.flatnonzero(langs == lang).tolist():
+                for at in range(int(off[i]), int(off[i + 1]), PART_BYTES):
+                    stop = min(at + PART_BYTES, int(off[i + 1]))
+                    before = data[max(at - ORDER, int(off[i])):at]
+                    t = np.concatenate([np.zeros(ORDER - len(before), np.uint8), _FOLD[before],
+                                        _FOLD[data[at:stop]]]).astype(np.int64)
+                    codes.append(sum(t[k:len(t) - ORDER + k] << (8 * (ORDER - k))
+                                     for k in range(ORDER + 1)))
+                    size += stop - at
+                    if size >= PART_BYTES:
+                        yield counted(lang, codes)
+                        codes, size = [], 0
+            if codes:
+                yield counted(lang, codes)
 
 
 def training_rows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -184,7 +197,7 @@ def code_lengths(model: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, plus ``lang_pred`` and ``score``."""
     kept = [c for c in docs.columns if c != text_col]
-    rows = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    rows = docs.withColumn(LETTERS, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     if model is None:
         return rows.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
@@ -199,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 for s, e in parts(np.diff(off), PART_BYTES))])
             best = bits.argmin(1)
             odds = np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000.0))
-            letters = b.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            letters = b.column(LETTERS).to_numpy(zero_copy_only=False).astype(bool)
             pred = [m.langs[i] if ok else "und" for i, ok in zip(best.tolist(), letters.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in kept]

@@ -186,6 +186,32 @@ def test_lanes_do_not_change_code_lengths(monkeypatch):
     assert langid.code_lengths(model, data, off) == pytest.approx(want, rel=1e-6)
 
 
+def test_stretches_do_not_change_counts(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(65, 123, n))) for n in (0, 1, 3, 50, 1000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "b", "a", "b", "a"], "text": texts})
+
+    def counts():
+        out = Counter()
+        for b in langid._grams(iter([batch])):
+            for lang, gram, n in zip(*(c.to_pylist() for c in b.columns)):
+                out[lang, gram] += n
+        return out
+
+    want = counts()
+    assert sum(want.values()) == sum(map(len, texts))
+    monkeypatch.setattr(langid, "PART_BYTES", 7)
+    assert counts() == want
+
+
+def test_prediction_keeps_other_columns(spark):
+    model = langid.build(["x"], np.zeros(1, np.int64), np.array([97]), np.ones(1))
+    df = spark.createDataFrame([(1, "aa", "mine")], "doc_id long, text string, _letters string")
+    row = langid.predict(df, model).first()
+    assert (row["_letters"], row["lang_pred"]) == ("mine", "x")
+
+
 def test_language_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in queries.op3_language_id(spark, sf).collect()}
