@@ -23,6 +23,7 @@ from ..sources import documents, edge_index, graphml
 from ..sources import tpch_graphs as tg
 from ..sources.readers import ALT_LAYOUT, follows_from, read_follows, read_users, users_from
 from ..sources.sinks import write_table
+from ..streaming import component_stream
 from . import communities as cm
 from . import jobs
 from . import networks as nw
@@ -184,6 +185,19 @@ def q_connected_components_sparse(spark, sf):
     return connected_components(graph_of(spark, sf, "orders"))
 
 
+def q_components_of_a_stream(spark, sf):
+    """The follows arrive as files, one in a micro-batch; the stored components in the end."""
+    g, store = graph_of(spark, sf, "orders").materialize(), _store(spark)
+    follows = g.edges.select(F.col("src").alias("Source"), F.col("dst").alias("Target"))
+    follows.repartition(3).write.parquet(f"{store}/follow")
+    stream = (spark.readStream.schema(follows.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{store}/follow"))
+    component_stream.watch_components(stream, store, f"{store}/checkpoint").awaitTermination()
+    found = component_stream.components(spark, store)
+    return g.vertices.select("id").join(found, "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component"))
+
+
 def q_community_members(spark, sf):
     return cm.community_members(graph_of(spark, sf, "orders"))
 
@@ -382,6 +396,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "personal_recommendations": q_personal_recommendations,
     "connected_components": q_connected_components,
     "connected_components_sparse": q_connected_components_sparse,
+    "components_of_a_stream": q_components_of_a_stream,
     "community_members": q_community_members,
     "community_sizes": q_community_sizes,
     "community_census": q_community_census,

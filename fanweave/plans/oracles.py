@@ -316,6 +316,7 @@ def oracle_sql() -> dict[str, str]:
         "label", "SELECT l.label, l.id, CAST(l.id AS VARCHAR) AS member FROM labels l "
         "JOIN lsizes s ON s.label = l.label WHERE s.size > 10")
     q["edge_lookup"] = q["id_list_edges"]
+    q["components_of_a_stream"] = q["connected_components_sparse"]
     q["job_community"] = q["job_community_documents"] = q["community_edges"]
     q["job_top_k_up_documents"] = q["top_influence"]
     return q

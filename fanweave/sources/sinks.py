@@ -120,6 +120,21 @@ def insert_into_buckets(df: DataFrame, path: str, keys: tuple[str, ...] = RESULT
     return fresh.drop(BUCKET)
 
 
+def stored_rows(keys_wanted: DataFrame, path: str, keys: tuple[str, ...]) -> DataFrame | None:
+    """The stored rows whose key is among ``keys_wanted``, from the buckets of those keys only; None
+    where nothing is stored yet."""
+    spark = keys_wanted.sparkSession
+    stored = _load(spark, path, "parquet", None)
+    if stored is None:
+        return None
+    n = _buckets(keys_wanted, path, keys, BUCKETS)
+    wanted, _ = materialize(keys_wanted.select(*keys).distinct().withColumn(
+        BUCKET, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")))
+    touched = sorted(r[0] for r in wanted.select(BUCKET).distinct().collect())
+    return stored.where(F.col(BUCKET).isin(touched)).join(
+        wanted, [BUCKET, *keys], "left_semi").drop(BUCKET)
+
+
 def write_id_list(ids: DataFrame, path: str, column: str = "id") -> None:
     """K8: one id per line of text."""
     ids.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
