@@ -112,8 +112,3 @@ def text_slices(column: pa.Array, chars: int) -> Iterator[tuple[int, list[str]]]
 def texts(column: pa.Array) -> list[str]:
     """A string column as Python strings (null: empty)."""
     return ["" if t is None else t for t in column.to_pylist()]
-
-
-def scatter(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Repeat each row's value over its bytes."""
-    return np.repeat(values, lengths)
