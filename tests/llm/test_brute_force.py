@@ -16,7 +16,8 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from fanweave.llm import (chat, ctph, decontaminate, id_table, langid, oracles, piece_transducer,
-                          queries, repeats, simhash, suffix_sort, token_archive, toxicity, warc)
+                          queries, repeats, simhash, suffix_sort, token_archive, toxicity,
+                          transducers, warc)
 from tests.llm.conftest import SF, document_texts, rows, sql
 
 
@@ -567,6 +568,66 @@ def test_transducer_equals_library(text):
     assert own.decode(ids) == lib.decode(ids.tolist())
 
 
+def _paths(machine, symbols):
+    """(weight, output) of every path of a machine without cycles that read nothing."""
+    found, todo = [], [(0, 0, 0.0, ())]
+    while todo:
+        state, at, weight, output = todo.pop()
+        if at == len(symbols) and state in machine.finals:
+            found.append((weight, output))
+        steps = [(at, "")] + ([(at + 1, symbols[at])] if at < len(symbols) else [])
+        for then, symbol in steps:
+            for o, w, target in machine.arcs(state, symbol):
+                todo.append((target, then, weight + w, output + ((o,) if o else ())))
+    return sorted(found)
+
+
+def _hand_machines():
+    """a: x becomes p or (dearer) q, y disappears, other symbols stay. b: p and pp have a name, q is
+    spelt in two symbols, and what it does not know becomes a question mark."""
+    a, b = transducers.Machine(), transducers.Machine()
+    s = a.state(final=True)
+    for arc in (("x", "p", 1.0), ("x", "q", 2.0), ("y", "", 0.5)):
+        a.add(s, *arc, s)
+    a.rest[s] = lambda symbol: [(symbol, 0.0, s)]
+    root, one, two, spelt = b.state(final=True), b.state(), b.state(), b.state()
+    b.add(root, "p", "", 0.0, one)
+    b.add(one, "", "P", 3.0, root)
+    b.add(one, "p", "", 0.0, two)
+    b.add(two, "", "PP", 4.0, root)
+    b.add(root, "q", "Q1", 0.25, spelt)
+    b.add(spelt, "", "Q2", 0.0, root)
+    b.rest[root] = lambda symbol: [("?", 9.0, root)]
+    return a, b
+
+
+@given(st.text("xyzp", max_size=6))
+def test_composition_is_one_machine_after_the_other(text):
+    a, b = _hand_machines()
+    both = sorted({(w + v, out) for w, middle in _paths(a, text) for v, out in _paths(b, middle)})
+    assert sorted(set(_paths(transducers.compose(a, b), text))) == both
+    weight, output = transducers.shortest(transducers.compose(a, b), list(text))
+    assert weight == both[0][0] and (weight, tuple(output)) in both
+
+
+def test_no_path_is_none():
+    a, b = _hand_machines()
+    del b.rest[0]
+    assert transducers.shortest(transducers.compose(a, b), ["z"]) is None
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.text(st.sampled_from("ab \u4e01\U0001F9FF"), min_size=1, max_size=5))
+def test_lattice_holds_the_ways_of_the_composed_machine(text):
+    own = piece_transducer.transducer()
+    stretch = [piece_transducer.BEGIN, *text]
+    lattice = own.compose_input(stretch)
+    ways = {0: {()}}
+    for end in range(1, len(lattice)):
+        ways[end] = {way + tuple(ids) for begin, _, ids in lattice[end] for way in ways[begin]}
+    assert ways[len(stretch)] == {out for _, out in _paths(own.machine, stretch)}
+
+
 # --- id table
 
 @pytest.mark.parametrize("bits", [3, 12])
