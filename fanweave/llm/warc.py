@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanweave.llm.common import scratch_path
+from fanweave.llm.common import materialize, scratch_path
 
 CHUNK_BYTES = 64 * 1024
 MIN_REVISIT_BYTES = 100
+BROADCAST_REPEATS = 100_000          # digests that repeat, of some 100 bytes each, sent to all tasks
 
 ARCHIVE = "record_id long, chunk_no int, n_chunks int, data binary, running_digest string"
 RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, "
@@ -78,7 +79,8 @@ def _write_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url",
                   payload_col: str = "html", chunk_bytes: int = CHUNK_BYTES,
-                  min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
+                  min_revisit_bytes: int = MIN_REVISIT_BYTES,
+                  broadcast_repeats: int = BROADCAST_REPEATS) -> None:
     """Write one WARC record per row of ``pages`` into the archive table at ``path``."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"),
@@ -89,7 +91,9 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     firsts = (rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest")
               .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
               .where("copies > 1").select("digest", "first_id"))
-    rows = rows.join(firsts, "digest", "left")
+    firsts = materialize(firsts, "repeated_payloads")
+    small = firsts.count() <= broadcast_repeats
+    rows = rows.join(F.broadcast(firsts) if small else firsts.hint("merge"), "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     rows = rows.select(
         F.monotonically_increasing_id().alias("record_id"), "page_id", "url", "digest", "size",
@@ -97,11 +101,12 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
         F.when(revisit, F.col("first_id")).alias("refers"),
         F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("payload") / F.lit(chunk_bytes))).cast("int")
-    chunks = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.substring(F.col("payload"), i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    rows = rows.select("record_id", "page_id", "url", "digest", "size", "kind", "refers",
-                       n.alias("n_chunks"), F.posexplode(chunks).alias("chunk_no", "chunk"))
+    # Chunk numbers are multiplied out first and the bytes cut per number: one chunk at a time.
+    rows = rows.withColumn("n_chunks", n).withColumn(
+        "chunk_no", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    rows = rows.select("record_id", "page_id", "url", "digest", "size", "kind", "refers", "n_chunks",
+                       "chunk_no", F.substring("payload", F.col("chunk_no") * chunk_bytes + 1,
+                                               F.lit(chunk_bytes)).alias("chunk"))
     rows.mapInArrow(_write_chunks, ARCHIVE).write.parquet(path)
 
 

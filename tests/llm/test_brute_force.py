@@ -531,6 +531,12 @@ def test_archive_is_a_warc_file(spark, tmp_path):
     assert rows(warc.read_archive(spark, path)) == sql(oracles.OP9)
 
 
+def test_many_repeats_are_joined_without_a_broadcast(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    warc.write_archive(spark.read.parquet(f"{SF}/pages.parquet"), path, broadcast_repeats=0)
+    assert rows(warc.read_archive(spark, path)) == sql(oracles.OP9)
+
+
 def test_a_changed_chunk_is_refused(spark, tmp_path):
     from pyspark.sql import functions as F
     path = str(tmp_path / "warc")
