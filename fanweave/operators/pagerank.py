@@ -21,6 +21,9 @@ state is read only once per superstep (see ``iterate``).
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ from ..session import loop_partitions
 from .graph import FollowGraph
 from .iterate import decay_batch, fixed_partitioning, materialize
 
+MESSAGES_PER_PARTITION = 2_000_000    # of one superstep over (source, vertex) pairs
+MOST_GROUPS = 64                      # that a group of sources is cut into at once
+
 
 def _out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
@@ -191,24 +197,80 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
     return ranks.select("id", (F.col("rank") * F.lit(factor)).alias("rank"))
 
 
+def _push_sources(start: DataFrame, step, tol: float, steps_per_job, decay, live: int
+                  ) -> Iterator[tuple[list[DataFrame], Callable[[DataFrame], DataFrame]]]:
+    """Push the residuals of many sources with at most ``live`` messages in a superstep.
+
+    The frontier (source, id, deg, delta) of a group of sources says how many messages its next
+    superstep sends: the out-degrees of its active pairs. Where they exceed ``live``, the group is cut
+    by a hash of the source and its parts go on one after the other, each from where it stands; a
+    single source is never cut, as its messages are at most the edges. Several supersteps share a job
+    only if the mean degree keeps the last one below ``live``. Yields per finished group its
+    increment tables and the filter that leaves its sources."""
+    cond = _active(tol)
+    metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
+               "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)"),
+               "messages": F.expr(f"sum(CASE WHEN {cond} THEN deg ELSE 0 END)"),
+               "low": F.expr(f"min(CASE WHEN {cond} THEN source END)"),
+               "high": F.expr(f"max(CASE WHEN {cond} THEN source END)")}
+
+    def jobs():
+        return steps_per_job if steps_per_job is not None else decay()
+
+    state, m = materialize(start, metrics)
+    todo = [(state, m, [], [], jobs())]
+    while todo:
+        state, m, increments, cuts, batch_of = todo.pop()
+        while m["active"]:
+            if m["messages"] > live and m["low"] != m["high"]:
+                k = min(MOST_GROUPS, max(2, math.ceil(m["messages"] / live)))
+                part = F.pmod(F.xxhash64(F.lit(len(cuts)), F.col("source")), F.lit(k))
+                # At most MOST_GROUPS rows of counts.
+                counts = {r["part"]: r.asDict() for r in state.groupBy(part.alias("part")).agg(
+                    *[c.alias(name) for name, c in metrics.items()]).collect()}
+                todo += [(state.where(part == j), counts.get(j, {"active": 0}),
+                          [x.where(part == j) for x in increments], [*cuts, part == j], jobs())
+                         for j in range(k)]
+                break
+            batch = max(1, batch_of(m) if callable(batch_of) else batch_of)
+            growth = m["messages"] / m["active"]
+            if growth > 1:
+                room = math.log(max(1.0, live / m["messages"])) / math.log(growth)
+                batch = min(batch, 1 + int(room))
+            nxt = state.where(cond).select("source", "id", "deg", "delta", F.lit(0.0).alias("acc"))
+            for _ in range(batch):
+                nxt = step(nxt)
+            state, m = materialize(nxt, metrics)
+            increments.append(state.select("source", "id", "acc"))
+        else:
+            def own(df: DataFrame, cuts=tuple(cuts)) -> DataFrame:
+                for cut in cuts:
+                    df = df.where(cut)
+                return df
+            yield increments, own
+
+
 def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
                           tol: float = TOLERANCE, reset: float = RESET_PROB,
-                          steps_per_job=None,
-                          batches: int = 1) -> DataFrame:
+                          steps_per_job=None, batches: int = 1, live_messages: int | None = None,
+                          reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(source, id, rank) for every source in ``sources`` (column ``id``;
     default: every vertex) and every vertex it reaches; per source ranks sum to 1.
 
-    State is keyed by (source, id) and holds only reached pairs, so its size
-    is the number of reachable pairs (quadratic on a giant component);
-    ``batches`` > 1 runs the sources in that many hash buckets, one loop each,
-    so the live state stays bounded while every source is still processed.
+    State is keyed by (source, id) and holds only reached pairs. On a giant component all sources
+    together would reach quadratically many, so the sources fall apart into groups as soon as
+    a superstep would send more than ``live_messages`` (default: 2 million per partition of the
+    loop; see ``_push_sources``), and ``reduce`` is applied to the ranks of each finished group
+    before they are stored. No pair is dropped: the result does not depend on the bound.
+    ``batches`` > 1 begins with that many hash buckets of sources.
     """
     spark = graph.edges.sparkSession
     graph, n_edges = graph.materialize_counted()
     n = loop_partitions(spark, n_edges)
+    live = live_messages or MESSAGES_PER_PARTITION * n
     d = 1.0 - reset
     s_cond = "s." + _active(tol).replace(" AND ", " AND s.")
-    results = []
+    results: list[DataFrame] = []
     with fixed_partitioning(spark, n):
         # Pair state for a hot vertex is not bounded (one row per source that
         # reaches it), so no broadcast split here: every edge stays co-partitioned.
@@ -241,17 +303,23 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
                 F.pmod(F.xxhash64("source"), F.lit(batches)) == b)
             start = seeds.select("source", "id", "deg", F.lit(1.0).alias("delta"),
                                  F.lit(0.0).alias("acc")).repartition(n, "id")
-            increments = _frontier_loop(spark, start, step, ["source"], tol, d,
-                                        steps_per_job or decay_batch(tol, d))
             base = seeds.select("source", "id", F.lit(1.0).alias("rank"))
-            ranks = _sum_ranks(base, increments, ["source"])
-            totals = ranks.groupBy("source").agg(F.sum("rank").alias("total"))
-            part, _ = materialize(ranks.join(totals, "source").select(
-                "source", "id", (F.col("rank") / F.col("total")).alias("rank")))
-            results.append(part)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
+            for increments, own in _push_sources(start, step, tol, steps_per_job,
+                                                 lambda: decay_batch(tol, d), live):
+                ranks = _sum_ranks(own(base), increments, ["source"])
+                totals = ranks.groupBy("source").agg(F.sum("rank").alias("total"))
+                part = ranks.join(totals, "source").select(
+                    "source", "id", (F.col("rank") / F.col("total")).alias("rank"))
+                results.append(materialize(reduce(part) if reduce else part)[0])
+                if len(results) == MOST_GROUPS:
+                    results = [materialize(_union(results))[0]]
+    return _union(results)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

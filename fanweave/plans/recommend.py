@@ -9,11 +9,13 @@ from ..operators.pagerank import best_other, personalized_pagerank
 
 
 def personal_recommendations(graph: FollowGraph, sources: DataFrame | None = None,
-                             batches: int = 1) -> DataFrame:
+                             batches: int = 1, live_messages: int | None = None) -> DataFrame:
     """M3: (id, recId) for every vertex (or every id in ``sources``): the
-    vertex with the highest personalized rank other than itself.  All sources
-    run in one superstep loop instead of one job per user."""
-    return best_other(personalized_pagerank(graph, sources, batches=batches))
+    vertex with the highest personalized rank other than itself.  Sources run together,
+    in groups of bounded size (``personalized_pagerank``); of a finished group only its
+    recommendations are stored."""
+    return personalized_pagerank(graph, sources, batches=batches, live_messages=live_messages,
+                                 reduce=best_other)
 
 
 def personalized_ranks_of(graph: FollowGraph, user: DataFrame) -> DataFrame:
