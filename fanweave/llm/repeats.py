@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanweave.llm.common import discard, materialize, scratch_path, text_bytes, write_rows
+from fanweave.llm.common import (discard, materialize, parts, scratch_path, text_bytes,
+                                 write_rows)
 from fanweave.llm.suffix_sort import suffix_array
 
 LENGTH = 400
@@ -48,6 +49,7 @@ BUCKET = 4096
 HASH_PARTS = 3
 SEGMENT = 1 << 17                 # longer texts are hashed in overlapping segments
 PART = 1 << 18
+CUT_BYTES = 1 << 21               # text whose contexts are Python objects at once
 SORT_SYMBOLS = 100_000
 TASK_MEMBERS = 4000                # contexts that one task sorts, on average
 PLACES = "__fw_places"            # column that is added to the documents' own ones
@@ -319,27 +321,29 @@ def solve(members: DataFrame, margin: int = MARGIN, bucket: int = BUCKET) -> Dat
 
 
 def _context_rows(length: int):
-    """Contexts of the asked places of each text."""
+    """Contexts of the asked places of each text, those of about ``CUT_BYTES`` of text at a time."""
     centre = length - MARGIN
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = text_bytes(b.column("text"))
-            raw = data.tobytes()
-            rows = []
-            for d, asked in enumerate(b.column("asked").to_pylist()):
-                lo, hi = int(off[d]), int(off[d + 1])
-                for a in asked:
-                    p = lo + a["pos"]
-                    digest = hashlib.blake2b(raw[p:p + centre], digest_size=16).hexdigest()
-                    rows.append((f"{a['centre']:x}-{digest}", f"{a['x1']:x}.{a['x2']:x}",
-                                 a["centre"], a["x1"], a["x2"], a["n"], raw[max(lo, p - MARGIN):p],
-                                 raw[p + centre:min(hi, p + length)]))
-            cols = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(cols, kinds)],
-                names=["key", "id", "centre", "x1", "x2", "n", "left", "right"])
+            for s, e in parts(np.diff(off), CUT_BYTES):
+                raw = data[off[s]:off[e]].tobytes()
+                rows = []
+                for d, asked in enumerate(b.column("asked").slice(s, e - s).to_pylist(), s):
+                    lo, hi = int(off[d] - off[s]), int(off[d + 1] - off[s])
+                    for a in asked:
+                        p = lo + a["pos"]
+                        digest = hashlib.blake2b(raw[p:p + centre], digest_size=16).hexdigest()
+                        rows.append((f"{a['centre']:x}-{digest}", f"{a['x1']:x}.{a['x2']:x}",
+                                     a["centre"], a["x1"], a["x2"], a["n"],
+                                     raw[max(lo, p - MARGIN):p],
+                                     raw[p + centre:min(hi, p + length)]))
+                cols = list(zip(*rows)) or [[]] * 8
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), k) for c, k in zip(cols, kinds)],
+                    names=["key", "id", "centre", "x1", "x2", "n", "left", "right"])
     return run
 
 
