@@ -5,12 +5,20 @@ each endpoint's label to the other endpoint (parallel edges pass repeatedly,
 a self-loop passes a vertex's label to itself twice); each vertex with
 messages takes the most frequent label, ties to the smallest label; vertices
 without edges keep their own id.  The step count is honoured exactly (an
-isolated 2-cycle swaps labels every step), no early stop.
+isolated 2-cycle swaps labels every step); whether labels have settled is
+never estimated.
 
-Per step: state JOIN senders (co-partitioned on the sender id) ->
+A step in full: state JOIN senders (co-partitioned on the sender id) ->
 GROUP BY (receiver, label) count -> GROUP BY receiver max_by; both
 aggregations pre-aggregate map-side, so a celebrity receiver is reduced in
-every map task before the shuffle.
+every map task before the shuffle.  The table of senders is read in every step,
+so it holds lists of receivers, not one row for each edge.
+
+A receiver's counts only move when a neighbour's label has.  Once the changed
+senders make up at most 1 / ``FEW`` of all messages, the counts are kept, and a
+step sends the changes only: each changed sender takes its old label from its
+receivers' counts and adds its new one.  A step that no sender enters with a
+changed label gives every vertex the label it has, and so do all after it.
 """
 
 from __future__ import annotations
@@ -21,11 +29,24 @@ from pyspark.sql import functions as F
 from ..functions.expr import LPA_STEPS
 from ..session import loop_partitions
 from .graph import FollowGraph
-from .iterate import fixed_partitioning, materialize, run_supersteps
+from .iterate import fixed_partitioning, materialize
 from .pagerank import hot_threshold
 
+LIST_SIZE = 1024    # receivers that one row of the stored senders holds, about
+FEW = 4             # changed senders with at most 1 / FEW of the messages are few
+
+
+def receiver_lists(pairs: DataFrame) -> DataFrame:
+    """(sender, m, receivers) from (sender, receiver, m, k): the receivers that hear a sender ``m``
+    times, in lists of about ``LIST_SIZE`` dealt by a hash of the receiver; ``k`` is the sender's
+    number of receivers."""
+    lists = F.ceil(F.col("k") / LIST_SIZE)
+    return (pairs.groupBy("sender", "m", F.pmod(F.xxhash64("receiver"), lists).alias("list"))
+            .agg(F.collect_list("receiver").alias("receivers"))
+            .select("sender", "m", "receivers"))
+
 
-def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job: int = 10,
+def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS,
                       hot_degree: int | None = None) -> DataFrame:
     """(id, label) for every vertex after ``steps`` synchronous steps.
 
@@ -33,7 +54,7 @@ def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job:
     of a vertex with more than ``hot_degree`` receivers (default
     ``hot_threshold``) leave the co-partitioned table, are spread by receiver
     and meet their sender's label through a broadcast (at most
-    edges / threshold such vertices); with hot vertices each step is its own job.
+    edges / threshold such vertices).  Each step is its own job.
     """
     spark = graph.edges.sparkSession
     graph, n_edges = graph.materialize_counted()
@@ -48,41 +69,60 @@ def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS, steps_per_job:
         # Written once, dealt by sender: what follows reads it and does not redo the union.
         pairs, _ = materialize(pairs.repartition(n, "sender"))
         fanout, counts = materialize(pairs.groupBy("sender").agg(F.count(F.lit(1)).alias("k")),
-                                     {"hot": F.expr(f"sum(CASE WHEN k > {hot} THEN 1 ELSE 0 END)")})
-        tagged = pairs.join(fanout, "sender").select(
-            "sender", "receiver", "m", (F.col("k") > hot).alias("sender_hot"))
-        hot_of = fanout.select(F.col("sender").alias("receiver"), (F.col("k") > hot).alias("receiver_hot"))
+                                     {"hot": F.expr(f"sum(CASE WHEN k > {hot} THEN 1 ELSE 0 END)"),
+                                      "messages": F.sum("k")})
+        sized = pairs.join(fanout, "sender")
         n_hot = counts["hot"] or 0
+        S, _ = materialize(receiver_lists(sized.where(f"k <= {hot}")))
+        tables = {"senders": S}
         if n_hot:
-            tagged, _ = materialize(tagged.join(hot_of, "receiver"))
-            S, _ = materialize(tagged.where(~F.col("sender_hot")).drop("sender_hot")
-                               .repartition(n, "sender"))
-            H, _ = materialize(tagged.where("sender_hot")
-                               .select("sender", "receiver", "m", "receiver_hot")
-                               .repartition(n, "receiver"))
-        else:
-            S, H = pairs.withColumn("receiver_hot", F.lit(False)), None
-        init = (fanout.select(F.col("sender").alias("id"), F.col("sender").alias("label"),
-                              (F.col("k") > hot).alias("hot")).repartition(n, "id"))
-        hot_part = "" if not n_hot else """
-                  UNION ALL
-                  SELECT /*+ BROADCAST(h) */ x.receiver, x.receiver_hot, h.label, x.m
-                  FROM {hot} x JOIN (SELECT id, label FROM {state} WHERE hot) h ON x.sender = h.id"""
-        sql = f"""
-            SELECT receiver AS id, max_by(label, struct(c, -label)) AS label, max(hot) AS hot
-            FROM (SELECT receiver, label, sum(m) AS c, max(receiver_hot) AS hot
-                  FROM (SELECT /*+ SHUFFLE_HASH(s) */ x.receiver, x.receiver_hot, s.label, x.m
-                        FROM {{senders}} x JOIN {{state}} s ON x.sender = s.id{hot_part})
-                  GROUP BY receiver, label)
-            GROUP BY receiver"""
-
-        def step(state: DataFrame) -> DataFrame:
-            if n_hot:
-                return spark.sql(sql, senders=S, hot=H, state=state)
-            return spark.sql(sql, senders=S, state=state)
-
-        state, _, _ = run_supersteps(init, step, {}, lambda m: False,
-                                     1 if n_hot else steps_per_job, steps)
+            hot_fan, _ = materialize(fanout.where(f"k > {hot}"))
+            # Dealt anew after the broadcast join, so no task makes all lists of a hot sender.
+            tables["hot"], _ = materialize(receiver_lists(
+                pairs.repartition(n, "sender", "receiver").join(F.broadcast(hot_fan), "sender")))
+            tables["hot_ids"] = hot_fan.select("sender")
+
+        def heard(state: DataFrame, said: str, then: str) -> DataFrame:
+            """``then`` over ``said`` by the senders in ``state`` to every receiver, ``m`` times."""
+            hot_part = "" if not n_hot else f"""
+                UNION ALL
+                SELECT /*+ BROADCAST(s) */ explode(x.receivers) AS receiver, {said}, x.m
+                FROM {{hot}} x JOIN (SELECT /*+ BROADCAST(i) */ v.* FROM {{state}} v
+                                     JOIN {{hot_ids}} i ON v.id = i.sender) s ON x.sender = s.id"""
+            return spark.sql(f"""
+                SELECT receiver, label, sum(m) AS c FROM (
+                  {then} FROM (
+                    SELECT /*+ SHUFFLE_HASH(s) */ explode(x.receivers) AS receiver, {said}, x.m
+                    FROM {{senders}} x JOIN {{state}} s ON x.sender = s.id{hot_part}))
+                GROUP BY receiver, label""", state=state, **tables)
+
+        def recount(state: DataFrame) -> DataFrame:
+            return heard(state, "s.label", "SELECT *")
+
+        def recounted(counts: DataFrame, state: DataFrame) -> DataFrame:
+            moved = heard(state.where("label <> old"), "s.label, s.old",
+                          "SELECT receiver, inline(array(struct(label, m), struct(old AS label, -m AS m)))")
+            return (counts.unionByName(moved).groupBy("receiver", "label")
+                    .agg(F.sum("c").alias("c")).where("c <> 0"))
+
+        total, metrics = counts["messages"] or 0, {
+            "messages": F.expr("sum(CASE WHEN label <> old THEN k ELSE 0 END)")}
+        state = fanout.select(F.col("sender").alias("id"), F.col("sender").alias("label"), "k")
+        kept, moving = None, total
+        for _ in range(steps):
+            if not moving:
+                break
+            if moving * FEW > total:
+                kept, tally = None, recount(state)
+            else:
+                kept, _ = materialize(recount(state) if kept is None else recounted(kept, state))
+                tally = kept
+            chosen = tally.groupBy("receiver").agg(
+                F.expr("max_by(label, struct(c, -label))").alias("new"))
+            state, m = materialize(
+                state.join(chosen, F.col("id") == F.col("receiver")).select(
+                    "id", F.col("new").alias("label"), F.col("label").alias("old"), "k"), metrics)
+            moving = m["messages"]
         out, _ = materialize(
             graph.vertices.select("id").join(state.select(F.col("id").alias("lid"), "label"),
                                              F.col("id") == F.col("lid"), "left")
