@@ -21,6 +21,7 @@ state is read only once per superstep (see ``iterate``).
 
 from __future__ import annotations
 
+import math
 import math
 from collections.abc import Callable, Iterator
 
@@ -197,16 +198,17 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
     return ranks.select("id", (F.col("rank") * F.lit(factor)).alias("rank"))
 
 
-def _push_sources(start: DataFrame, step, tol: float, steps_per_job, decay, live: int
+def _push_sources(start: DataFrame, step, tol: float, live: int
                   ) -> Iterator[tuple[list[DataFrame], Callable[[DataFrame], DataFrame]]]:
     """Push the residuals of many sources with at most ``live`` messages in a superstep.
 
     The frontier (source, id, deg, delta) of a group of sources says how many messages its next
     superstep sends: the out-degrees of its active pairs. Where they exceed ``live``, the group is cut
     by a hash of the source and its parts go on one after the other, each from where it stands; a
-    single source is never cut, as its messages are at most the edges. Several supersteps share a job
-    only if the mean degree keeps the last one below ``live``. Yields per finished group its
-    increment tables and the filter that leaves its sources."""
+    single source is never cut, as its messages are at most the edges. A superstep is a job of its
+    own: what it gives a pair is stored once, as an increment, and only pairs that send are read on,
+    so the volume is that of the messages, not that of all pairs in every superstep. Yields per
+    finished group its increment tables and the filter that leaves its sources."""
     cond = _active(tol)
     metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
                "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)"),
@@ -214,13 +216,10 @@ def _push_sources(start: DataFrame, step, tol: float, steps_per_job, decay, live
                "low": F.expr(f"min(CASE WHEN {cond} THEN source END)"),
                "high": F.expr(f"max(CASE WHEN {cond} THEN source END)")}
 
-    def jobs():
-        return steps_per_job if steps_per_job is not None else decay()
-
     state, m = materialize(start, metrics)
-    todo = [(state, m, [], [], jobs())]
+    todo = [(state, m, [], [])]
     while todo:
-        state, m, increments, cuts, batch_of = todo.pop()
+        state, m, increments, cuts = todo.pop()
         while m["active"]:
             if m["messages"] > live and m["low"] != m["high"]:
                 k = min(MOST_GROUPS, max(2, math.ceil(m["messages"] / live)))
@@ -229,19 +228,11 @@ def _push_sources(start: DataFrame, step, tol: float, steps_per_job, decay, live
                 counts = {r["part"]: r.asDict() for r in state.groupBy(part.alias("part")).agg(
                     *[c.alias(name) for name, c in metrics.items()]).collect()}
                 todo += [(state.where(part == j), counts.get(j, {"active": 0}),
-                          [x.where(part == j) for x in increments], [*cuts, part == j], jobs())
+                          [x.where(part == j) for x in increments], [*cuts, part == j])
                          for j in range(k)]
                 break
-            batch = max(1, batch_of(m) if callable(batch_of) else batch_of)
-            growth = m["messages"] / m["active"]
-            if growth > 1:
-                room = math.log(max(1.0, live / m["messages"])) / math.log(growth)
-                batch = min(batch, 1 + int(room))
-            nxt = state.where(cond).select("source", "id", "deg", "delta", F.lit(0.0).alias("acc"))
-            for _ in range(batch):
-                nxt = step(nxt)
-            state, m = materialize(nxt, metrics)
-            increments.append(state.select("source", "id", "acc"))
+            state, m = materialize(step(state.where(cond)), metrics)
+            increments.append(state.select("source", "id", F.col("delta").alias("acc")))
         else:
             def own(df: DataFrame, cuts=tuple(cuts)) -> DataFrame:
                 for cut in cuts:
@@ -252,7 +243,7 @@ def _push_sources(start: DataFrame, step, tol: float, steps_per_job, decay, live
 
 def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
                           tol: float = TOLERANCE, reset: float = RESET_PROB,
-                          steps_per_job=None, batches: int = 1, live_messages: int | None = None,
+                          batches: int = 1, live_messages: int | None = None,
                           reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(source, id, rank) for every source in ``sources`` (column ``id``;
     default: every vertex) and every vertex it reaches; per source ranks sum to 1.
@@ -269,7 +260,6 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
     n = loop_partitions(spark, n_edges)
     live = live_messages or MESSAGES_PER_PARTITION * n
     d = 1.0 - reset
-    s_cond = "s." + _active(tol).replace(" AND ", " AND s.")
     results: list[DataFrame] = []
     with fixed_partitioning(spark, n):
         # Pair state for a hot vertex is not bounded (one row per source that
@@ -279,33 +269,23 @@ def personalized_pagerank(graph: FollowGraph, sources: DataFrame | None = None,
         src_ids = (sources.select("id").distinct() if sources is not None
                    else graph.vertices.select("id"))
         seeds_all = src_ids.join(vdeg, "id").select(F.col("id").alias("source"), "id", "deg")
-        # Messages travel along real edges of active pairs; every touched pair
-        # also meets its own self row so its increment rides along.  Messages are
-        # summed per (source, dst) before they are shuffled, so a celebrity costs
+        # Messages are summed per (source, dst) before they are shuffled, so a celebrity costs
         # a task one row per source; the sort-merge join spills.
+        edges = L.where("NOT self").select("src", "dst", "w", "dst_deg")
         sql = f"""
-            SELECT source, dst AS id, deg,
-                   CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS delta,
-                   coalesce(acc, 0.0) + CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS acc
-            FROM (SELECT source, dst, max(dst_deg) AS deg,
-                         max(CASE WHEN self THEN acc END) AS acc,
-                         sum(CASE WHEN NOT self THEN delta * w END) AS msg
-                  FROM (SELECT s.source, l.dst, l.dst_deg, l.self, s.acc, s.delta, l.w
-                        FROM {{links}} l JOIN {{state}} s
-                          ON l.src = s.id AND (l.self OR ({s_cond})))
-                  GROUP BY source, dst)"""
+            SELECT s.source, l.dst AS id, max(l.dst_deg) AS deg, {d!r} * sum(s.delta * l.w) AS delta
+            FROM {{links}} l JOIN {{state}} s ON l.src = s.id
+            GROUP BY s.source, l.dst"""
 
         def step(state: DataFrame) -> DataFrame:
-            return spark.sql(sql, links=L, state=state)
+            return spark.sql(sql, links=edges, state=state)
 
         for b in range(batches):
             seeds = seeds_all if batches == 1 else seeds_all.where(
                 F.pmod(F.xxhash64("source"), F.lit(batches)) == b)
-            start = seeds.select("source", "id", "deg", F.lit(1.0).alias("delta"),
-                                 F.lit(0.0).alias("acc")).repartition(n, "id")
+            start = seeds.select("source", "id", "deg", F.lit(1.0).alias("delta")).repartition(n, "id")
             base = seeds.select("source", "id", F.lit(1.0).alias("rank"))
-            for increments, own in _push_sources(start, step, tol, steps_per_job,
-                                                 lambda: decay_batch(tol, d), live):
+            for increments, own in _push_sources(start, step, tol, live):
                 ranks = _sum_ranks(own(base), increments, ["source"])
                 totals = ranks.groupBy("source").agg(F.sum("rank").alias("total"))
                 part = ranks.join(totals, "source").select(

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from fanweave.operators import labelprop
+from fanweave.operators import components, labelprop, pagerank
 from tests.test_rules import graph
 
 
@@ -36,3 +36,27 @@ def test_labels_are_counted_by_changes(spark, monkeypatch, seed, steps, hot):
            labelprop.label_propagation(graph(spark, pairs), steps, hot_degree=hot).collect()}
     assert got == whole_rounds(pairs, steps)
     assert made.count(["receiver", "label", "c"]) > 2
+
+
+def test_only_changed_vertices_send_in_a_strong_component_step(spark):
+    links = spark.createDataFrame([(1, 2, False), (1, 1, True), (2, 2, True)],
+                                  "src long, dst long, self boolean")
+    heard = spark.createDataFrame([(1, 1, False), (2, 2, True)], "id long, colour long, changed boolean")
+    got = spark.sql(components._COLOUR_STEP, links=links, state=heard)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, False), (2, 2, False)]
+
+
+def test_personalized_pairs_are_stored_once(spark, monkeypatch):
+    """On a path each pair hears one message, so the supersteps store no pair twice."""
+    n, stored, real = 9, [], pagerank.materialize
+
+    def spy(df, metrics=None):
+        out, m = real(df, metrics)
+        if metrics and "messages" in metrics:
+            stored.extend((r["source"], r["id"]) for r in out.collect())
+        return out, m
+
+    monkeypatch.setattr(pagerank, "materialize", spy)
+    g = graph(spark, [(i, i + 1) for i in range(n)])
+    got = pagerank.personalized_pagerank(g).count()
+    assert got == (n + 1) * (n + 2) // 2 == len(stored) == len(set(stored))
