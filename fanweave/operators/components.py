@@ -98,14 +98,16 @@ def connected_components(graph: FollowGraph) -> DataFrame:
 
 # alive(v) stays true while v has an alive in-neighbour and an alive
 # out-neighbour (links carry each edge both ways, tagged, plus self rows).
+# ``ins`` and ``outs`` count those neighbours, and only vertices that died in
+# the last step say so: each takes one from the counts of its neighbours.
 _TRIM_STEP = """
-SELECT id, alive, was AND NOT alive AS died FROM (
+SELECT id, was AND ins > 0 AND outs > 0 AS alive, was AND NOT (ins > 0 AND outs > 0) AS died, ins, outs
+FROM (
   SELECT /*+ SHUFFLE_HASH(s) */ l.dst AS id,
          max(CASE WHEN l.kind = 0 THEN s.alive END) AS was,
-         max(CASE WHEN l.kind = 0 THEN s.alive END)
-           AND coalesce(max(CASE WHEN l.kind = 1 AND s.alive THEN true END), false)
-           AND coalesce(max(CASE WHEN l.kind = 2 AND s.alive THEN true END), false) AS alive
-  FROM {links} l JOIN {state} s ON l.src = s.id
+         sum(CASE WHEN l.kind = 0 THEN s.ins WHEN l.kind = 1 THEN -1 ELSE 0 END) AS ins,
+         sum(CASE WHEN l.kind = 0 THEN s.outs WHEN l.kind = 2 THEN -1 ELSE 0 END) AS outs
+  FROM {links} l JOIN {state} s ON l.src = s.id AND (l.kind = 0 OR s.died)
   GROUP BY l.dst)
 """
 
@@ -122,8 +124,12 @@ def _trim(E: DataFrame, steps_per_job: int) -> tuple[DataFrame, int]:
               .unionByName(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"),
                                       F.lit(0).alias("kind"))))
     links, _ = materialize(tagged.repartition("src"))
-    init = links.where("kind = 0").select(F.col("src").alias("id"), F.lit(True).alias("alive"),
-                                          F.lit(True).alias("died"))
+    # A vertex's own rows of the links are dealt by its id; kind 1 leaves it, kind 2 enters it.
+    init = (links.groupBy(F.col("src").alias("id"))
+            .agg(F.expr("sum(CASE WHEN kind = 2 THEN 1L ELSE 0L END)").alias("ins"),
+                 F.expr("sum(CASE WHEN kind = 1 THEN 1L ELSE 0L END)").alias("outs"))
+            .select("id", F.expr("ins > 0 AND outs > 0").alias("alive"),
+                    F.expr("NOT (ins > 0 AND outs > 0)").alias("died"), "ins", "outs"))
     state, _, _ = run_supersteps(
         init, lambda st: spark.sql(_TRIM_STEP, links=links, state=st),
         {"died": F.expr("sum(CASE WHEN died THEN 1 ELSE 0 END)")},
@@ -136,20 +142,22 @@ def _trim(E: DataFrame, steps_per_job: int) -> tuple[DataFrame, int]:
 
 
 # colour(v) = min over v and its in-neighbours' colours; idempotent at the fixpoint.
+# A neighbour whose colour did not change in the last step has been heard before.
 _COLOUR_STEP = """
 SELECT id, c AS colour, c < own AS changed FROM (
   SELECT /*+ SHUFFLE_HASH(s) */ l.dst AS id, min(s.colour) AS c,
          min(CASE WHEN l.self THEN s.colour END) AS own
-  FROM {links} l JOIN {state} s ON l.src = s.id
+  FROM {links} l JOIN {state} s ON l.src = s.id AND (l.self OR s.changed)
   GROUP BY l.dst)
 """
 
-# final(v) |= final of a same-colour out-neighbour (links are reversed).
+# final(v) |= final of a same-colour out-neighbour (links are reversed), which
+# says so in the step after it became final.
 _CLOSE_STEP = """
 SELECT id, fin AS final, fin AND NOT was AS new FROM (
   SELECT /*+ SHUFFLE_HASH(s) */ l.dst AS id, max(s.final) AS fin,
          max(CASE WHEN l.self THEN s.final END) AS was
-  FROM {links} l JOIN {state} s ON l.src = s.id
+  FROM {links} l JOIN {state} s ON l.src = s.id AND (l.self OR s.new)
   GROUP BY l.dst)
 """
 
