@@ -10,12 +10,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .iterate import materialize
+from ..session import loop_partitions
+from .iterate import fixed_partitioning, materialize
 
 _PART = "__fw_part"
+ROWS_PER_RANGE = 250_000
+
+
+def ranges_of(spark: SparkSession, rows: int) -> int:
+    """The number of partitions that ``rows`` are dealt over."""
+    return max(loop_partitions(spark, rows), -(-rows // ROWS_PER_RANGE))
 
 
 def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str | None = None,
@@ -26,25 +33,31 @@ def running_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     keys = list(keys)
     one = F.col(value) if value else F.lit(1)
     # The range bounds are drawn from a sample of the rows, which reads them once more.
-    df, _ = materialize(df)
-    ranged, _ = materialize(df.repartitionByRange(*[F.col(k) for k in keys], *order)
-                            .withColumn(_PART, F.spark_partition_id()))
-    sums = ranged.groupBy(*keys, _PART).agg(F.sum(one).alias("__fw_sum"))
-    if keys:
-        earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(
-            Window.unboundedPreceding, -1)
-        offsets = sums.select(*keys, _PART, F.coalesce(F.sum("__fw_sum").over(earlier), F.lit(0))
-                              .alias("__fw_offset"))
-    else:                          # one number for each partition
-        total, rows = 0, []
-        for r in sorted(sums.collect()):
-            rows.append((r[_PART], total))
-            total += r["__fw_sum"]
-        offsets = df.sparkSession.createDataFrame(rows, f"{_PART} int, __fw_offset long")
-    inside = Window.partitionBy(*keys, _PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = ranged.withColumn("__fw_own", F.sum(one).over(inside) - one)
-    return own.join(offsets, [*keys, _PART]).select(
-        *df.columns, (F.col("__fw_offset") + F.col("__fw_own")).cast("long").alias(name))
+    df, m = materialize(df, {"rows": F.count(F.lit(1))})
+    spark = df.sparkSession
+    # A range, and a task of the joins on it, holds about ROWS_PER_RANGE rows at any size.
+    n = ranges_of(spark, m["rows"])
+    with fixed_partitioning(spark, n):
+        ranged, _ = materialize(df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+                                .withColumn(_PART, F.spark_partition_id()))
+        sums = ranged.groupBy(*keys, _PART).agg(F.sum(one).alias("__fw_sum"))
+        if keys:
+            earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(
+                Window.unboundedPreceding, -1)
+            offsets = sums.select(*keys, _PART, F.coalesce(F.sum("__fw_sum").over(earlier), F.lit(0))
+                                  .alias("__fw_offset"))
+        else:                      # one number for each partition
+            total, rows = 0, []
+            for r in sorted(sums.collect()):
+                rows.append((r[_PART], total))
+                total += r["__fw_sum"]
+            offsets = spark.createDataFrame(rows, f"{_PART} int, __fw_offset long")
+        inside = Window.partitionBy(*keys, _PART).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, 0)
+        own = ranged.withColumn("__fw_own", F.sum(one).over(inside) - one)
+        placed, _ = materialize(own.join(offsets, [*keys, _PART]).select(
+            *df.columns, (F.col("__fw_offset") + F.col("__fw_own")).cast("long").alias(name)))
+    return placed
 
 
 def member_chunks(members: DataFrame, key: str, value: str, order: str = "id",

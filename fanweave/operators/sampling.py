@@ -17,14 +17,18 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import FAN_SAMPLE_FRACTION, floor_fraction
 from .iterate import materialize
-from .placement import running_before
+from .placement import ranges_of, running_before
 
 
 def fan_sample(edges: DataFrame, creators: DataFrame,
                fraction: float = FAN_SAMPLE_FRACTION) -> DataFrame:
     """(creator, fan) rows, one per sampled fan edge (a fan followed twice can appear twice)."""
     ids = creators.select(F.col("id").alias("dst")).distinct()
-    fan = edges.join(ids, "dst", "left_semi")
+    # The edges' own plan ends here, and the counts are dealt by their number: a task holds the
+    # same number of rows at any size, and no counts beside the sorts of a join.
+    edges, m = materialize(edges.select("src", "dst"), {"rows": F.count(F.lit(1))})
+    n = ranges_of(edges.sparkSession, m["rows"])
+    fan = edges.join(ids, "dst", "left_semi").repartition(n, "dst", "src")
     counts = fan.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("m"))
     placed = running_before(counts, ["dst"], [F.col("src")], "m")
     cut, _ = materialize(placed.groupBy("dst").agg(

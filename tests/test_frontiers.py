@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from fanweave.operators import components, labelprop, pagerank
+from fanweave.operators import components, labelprop, pagerank, placement
 from tests.test_rules import graph
 
 
@@ -60,3 +61,21 @@ def test_personalized_pairs_are_stored_once(spark, monkeypatch):
     g = graph(spark, [(i, i + 1) for i in range(n)])
     got = pagerank.personalized_pagerank(g).count()
     assert got == (n + 1) * (n + 2) // 2 == len(stored) == len(set(stored))
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """A range holds a bounded number of rows whatever the session's number of partitions."""
+    monkeypatch.setattr(placement, "ROWS_PER_RANGE", 50)
+    parts, real = [], placement.materialize
+
+    def spy(df, metrics=None):
+        out, m = real(df, metrics)
+        if placement._PART in df.columns:
+            parts.append(out.rdd.getNumPartitions())
+        return out, m
+
+    monkeypatch.setattr(placement, "materialize", spy)
+    rows = spark.range(1000).select((F.col("id") % 2).alias("key"), "id")
+    got = placement.running_before(rows, ["key"], [F.col("id")]).collect()
+    assert parts == [20]
+    assert all(r["before"] == r["id"] // 2 for r in got) and len(got) == 1000
