@@ -16,7 +16,9 @@ non-receivers go quiet.  Iteration stops when no vertex sends.
 One superstep = ``state JOIN links`` + one ``GROUP BY dst``.  ``links`` is the
 weighted edge table plus one "self" row per vertex, so a vertex's own
 (rank, delta) travels to the same group as the messages it receives and the
-state is read only once per superstep (see ``iterate``).
+state is read only once per superstep (see ``iterate``).  PageRank reads its
+links in every superstep, so they are lists of receivers (``listed_links``), not
+one row for each edge.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from .iterate import decay_batch, fixed_partitioning, materialize
 
 MESSAGES_PER_PARTITION = 2_000_000    # of one superstep over (source, vertex) pairs
 MOST_GROUPS = 64                      # that a group of sources is cut into at once
+LIST_SIZE = 1024                      # receivers that one row of PageRank's links holds, about
 
 
 def _out_degrees(edges: DataFrame) -> DataFrame:
@@ -91,6 +94,42 @@ def links(graph: FollowGraph, n_parts: int, hot: int | None) -> tuple[DataFrame,
     return cold, hot_edges, m["n"]
 
 
+def listed_links(graph: FollowGraph, n_parts: int, hot: int
+                 ) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """PageRank's links.  Returns (degrees, lists, hot_edges, hot_ids), the last two None where no
+    out-degree is above ``hot``:
+
+    * ``degrees`` (id, deg) of every vertex, partitioned on ``id``;
+    * ``lists`` (src, w, self, receivers): the receivers that get ``w`` = multiplicity / outdegree of
+      a sender's delta, in lists of about ``LIST_SIZE`` dealt by a hash of the receiver, plus a self
+      row (v, 0, true, [v]) per vertex; co-partitioned with the state;
+    * ``hot_edges`` (src, dst, w) of the vertices ``hot_ids`` above ``hot``, partitioned on ``dst``.
+    """
+    degrees, counts = materialize(vertex_out_degrees(graph).repartition(n_parts, "id"), {
+        "hot": F.expr(f"sum(CASE WHEN deg > {hot} THEN 1 ELSE 0 END)")})
+    edges, hot_edges, hot_ids = graph.edges.select("src", "dst"), None, None
+    multiple = F.count(F.lit(1)).cast("double").alias("m")
+    w = (F.col("m") * (F.lit(1.0) / F.col("deg"))).alias("w")
+    if counts["hot"]:
+        hot_ids, _ = materialize(degrees.where(F.col("deg") > hot).withColumnRenamed("id", "src"))
+        hot_edges, _ = materialize(edges.join(F.broadcast(hot_ids), "src")
+                                   .groupBy("src", "dst", "deg").agg(multiple)
+                                   .select("src", "dst", w).repartition(n_parts, "dst"))
+        edges = edges.join(F.broadcast(hot_ids), "src", "left_anti")
+        hot_ids = hot_ids.select("src")
+    # Dealt by sender once: the counts, the degrees and the lists need no other exchange.
+    pairs = edges.repartition(n_parts, "src").groupBy("src", "dst").agg(multiple)
+    lists = (pairs.join(degrees.withColumnRenamed("id", "src").hint("shuffle_hash"), "src")
+             .groupBy("src", "m", "deg",
+                      F.pmod(F.xxhash64("dst"), F.ceil(F.col("deg") / LIST_SIZE)).alias("list"))
+             .agg(F.collect_list("dst").alias("receivers"))
+             .select("src", w, F.lit(False).alias("self"), "receivers"))
+    selfs = degrees.select(F.col("id").alias("src"), F.lit(0.0).alias("w"), F.lit(True).alias("self"),
+                           F.array("id").alias("receivers"))
+    lists, _ = materialize(lists.unionByName(selfs).repartition(n_parts, "src"))
+    return degrees, lists, hot_edges, hot_ids
+
+
 def degrees_of(cold: DataFrame) -> DataFrame:
     """(id, deg) of every vertex, from the self rows of the stored links."""
     return cold.where("self").select(F.col("src").alias("id"), F.col("dst_deg").alias("deg"))
@@ -108,18 +147,16 @@ def _active(tol: float) -> str:
     return f"delta > {tol!r} AND deg > 0"
 
 
-def _frontier_loop(spark, start: DataFrame, step, keys: list[str], tol: float, d: float,
-                   steps_per_job) -> list[DataFrame]:
-    """Run supersteps job by job over a job-local state (keys, id, deg, delta, acc).
+def _frontier_loop(start: DataFrame, step, cond: str, steps_per_job) -> list[DataFrame]:
+    """Run supersteps job by job over a job-local state (id, delta, acc).
 
-    A job starts from the pairs that may send (delta > tol, deg > 0) with
-    acc = 0; pairs touched during the job ride along (self rows) and collect
+    A job starts from the vertices that may send (``cond``) with acc = 0;
+    vertices touched during the job ride along (self rows) and collect
     their rank increments in ``acc``.  At the job's end the increments are set
     aside (checkpointed) and only the senders go on, so the long tail of a
     converging run touches a handful of rows, not the whole state.
-    Returns the checkpointed per-job increment tables (keys, id, acc).
+    Returns the checkpointed per-job increment tables (id, acc).
     """
-    cond = _active(tol)
     metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
                "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)")}
     batch_of = steps_per_job if callable(steps_per_job) else (lambda m: steps_per_job)
@@ -127,11 +164,11 @@ def _frontier_loop(spark, start: DataFrame, step, keys: list[str], tol: float, d
     increments: list[DataFrame] = []
     while m["active"]:
         batch = max(1, batch_of(m))
-        nxt = state.where(cond).select(*keys, "id", "deg", "delta", F.lit(0.0).alias("acc"))
+        nxt = state.where(cond).select("id", "delta", F.lit(0.0).alias("acc"))
         for _ in range(batch):
             nxt = step(nxt)
         state, m = materialize(nxt, metrics)
-        increments.append(state.select(*keys, "id", "acc"))
+        increments.append(state.select("id", "acc"))
     return increments
 
 
@@ -158,37 +195,35 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
     d = 1.0 - reset
     hot = hot_threshold(n_edges, n, hot_degree)
     with fixed_partitioning(spark, n):
-        L, H, n_hot = links(graph, n, hot)
-        vdeg = degrees_of(L)
-        start = vdeg.select("id", "deg", F.lit(reset).alias("delta"),
-                            F.lit(0.0).alias("acc")).repartition(n, "id")
-        s_cond = "s." + _active(tol).replace(" AND ", " AND s.")
-        hot_part = "" if not n_hot else f"""
+        vdeg, L, H, hot_ids = listed_links(graph, n, hot)
+        start = vdeg.select("id", F.lit(reset).alias("delta"), F.lit(0.0).alias("acc"))
+        cond = f"delta > {tol!r}"
+        hot_part = "" if H is None else f"""
                         UNION ALL
-                        SELECT /*+ BROADCAST(h) */ e.dst, e.dst_deg, false AS self, NULL AS acc,
-                               h.delta, e.w
-                        FROM {{hot}} e JOIN (SELECT id, delta FROM {{state}} s
-                                             WHERE {s_cond} AND s.deg > {hot}) h
+                        SELECT /*+ BROADCAST(h) */ e.dst, NULL AS acc, h.delta * e.w AS msg
+                        FROM {{hot}} e JOIN (SELECT /*+ BROADCAST(i) */ s.id, s.delta
+                                             FROM {{state}} s JOIN {{hot_ids}} i ON s.id = i.src
+                                             WHERE s.{cond}) h
                           ON e.src = h.id"""
         sql = f"""
-            SELECT dst AS id, deg,
-                   CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS delta,
-                   coalesce(acc, 0.0) + CASE WHEN msg IS NULL THEN 0.0 ELSE {d!r} * msg END AS acc
-            FROM (SELECT dst, max(dst_deg) AS deg,
-                         max(CASE WHEN self THEN acc END) AS acc,
-                         sum(CASE WHEN NOT self THEN delta * w END) AS msg
-                  FROM (SELECT /*+ SHUFFLE_HASH(s) */ l.dst, l.dst_deg, l.self, s.acc, s.delta, l.w
+            SELECT dst AS id,
+                   CASE WHEN msg IS NULL THEN 0.0D ELSE {d!r}D * msg END AS delta,
+                   coalesce(acc, 0.0D) + CASE WHEN msg IS NULL THEN 0.0D ELSE {d!r}D * msg END AS acc
+            FROM (SELECT dst, max(acc) AS acc, sum(msg) AS msg
+                  FROM (SELECT /*+ SHUFFLE_HASH(s) */ explode(l.receivers) AS dst,
+                               CASE WHEN l.self THEN s.acc END AS acc,
+                               CASE WHEN NOT l.self THEN s.delta * l.w END AS msg
                         FROM {{links}} l JOIN {{state}} s
-                          ON l.src = s.id AND (l.self OR ({s_cond})){hot_part})
+                          ON l.src = s.id AND (l.self OR s.{cond}){hot_part})
                   GROUP BY dst)"""
+        tables = {"links": L} if H is None else {"links": L, "hot": H, "hot_ids": hot_ids}
 
         def step(state: DataFrame) -> DataFrame:
-            if n_hot:
-                return spark.sql(sql, links=L, hot=H, state=state)
-            return spark.sql(sql, links=L, state=state)
+            return spark.sql(sql, state=state, **tables)
 
-        batch = 1 if n_hot else (steps_per_job or decay_batch(tol, d))
-        increments = _frontier_loop(spark, start, step, [], tol, d, batch)
+        # Whoever follows nobody has no list, so its delta is sent to nobody.
+        batch = 1 if H is not None else (steps_per_job or decay_batch(tol, d))
+        increments = _frontier_loop(start, step, cond, batch)
         base = vdeg.select("id", F.lit(reset).alias("rank"))
         ranks, m = materialize(_sum_ranks(base, increments, []),
                                {"total": F.sum("rank"), "n": F.count(F.lit(1))})
