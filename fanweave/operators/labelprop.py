@@ -46,6 +46,16 @@ def receiver_lists(pairs: DataFrame) -> DataFrame:
             .select("sender", "m", "receivers"))
 
 
+def best_label(most: int, low: int, high: int) -> str:
+    """SQL of the label with the largest ``c``, ties to the smallest, for counts up to ``most`` and
+    labels from ``low`` to ``high``. Count and label share one long where they fit, as a maximum of
+    longs is hashed and one of structs sorts all its rows."""
+    span = high - low + 1
+    if (most + 1) * span < 2 ** 63:
+        return f"{high} - max(c * {span} + ({high} - label)) % {span}"
+    return "max_by(label, struct(c, -label))"
+
+
 def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS,
                       hot_degree: int | None = None) -> DataFrame:
     """(id, label) for every vertex after ``steps`` synchronous steps.
@@ -70,7 +80,8 @@ def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS,
         pairs, _ = materialize(pairs.repartition(n, "sender"))
         fanout, counts = materialize(pairs.groupBy("sender").agg(F.count(F.lit(1)).alias("k")),
                                      {"hot": F.expr(f"sum(CASE WHEN k > {hot} THEN 1 ELSE 0 END)"),
-                                      "messages": F.sum("k")})
+                                      "messages": F.sum("k"), "low": F.min("sender"),
+                                      "high": F.max("sender")})
         sized = pairs.join(fanout, "sender")
         n_hot = counts["hot"] or 0
         S, _ = materialize(receiver_lists(sized.where(f"k <= {hot}")))
@@ -105,6 +116,7 @@ def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS,
             return (counts.unionByName(moved).groupBy("receiver", "label")
                     .agg(F.sum("c").alias("c")).where("c <> 0"))
 
+        best = best_label(2 * n_edges, counts["low"] or 0, counts["high"] or 0)
         total, metrics = counts["messages"] or 0, {
             "messages": F.expr("sum(CASE WHEN label <> old THEN k ELSE 0 END)")}
         state = fanout.select(F.col("sender").alias("id"), F.col("sender").alias("label"), "k")
@@ -117,8 +129,7 @@ def label_propagation(graph: FollowGraph, steps: int = LPA_STEPS,
             else:
                 kept, _ = materialize(recount(state) if kept is None else recounted(kept, state))
                 tally = kept
-            chosen = tally.groupBy("receiver").agg(
-                F.expr("max_by(label, struct(c, -label))").alias("new"))
+            chosen = tally.groupBy("receiver").agg(F.expr(best).alias("new"))
             state, m = materialize(
                 state.join(chosen, F.col("id") == F.col("receiver")).select(
                     "id", F.col("new").alias("label"), F.col("label").alias("old"), "k"), metrics)

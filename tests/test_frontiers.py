@@ -39,6 +39,15 @@ def test_labels_are_counted_by_changes(spark, monkeypatch, seed, steps, hot):
     assert made.count(["receiver", "label", "c"]) > 2
 
 
+@pytest.mark.parametrize("low,high,packed", [(-7, 9, True), (-2 ** 62, 2 ** 62, False)])
+def test_best_labels_are_hashed_where_count_and_label_fit_a_long(spark, low, high, packed):
+    rows = [(1, low, 2), (1, high, 2), (1, 3, 1), (2, high, 5), (2, low, 4), (3, -1, 1), (3, 0, 1)]
+    got = (spark.createDataFrame(rows, "receiver long, label long, c long").groupBy("receiver")
+           .agg(F.expr(labelprop.best_label(5, low, high)).alias("new")))
+    assert dict(got.collect()) == {1: low, 2: high, 3: -1}
+    assert ("SortAggregate" in got._jdf.queryExecution().toString()) != packed
+
+
 def test_only_changed_vertices_send_in_a_strong_component_step(spark):
     links = spark.createDataFrame([(1, 2, False), (1, 1, True), (2, 2, True)],
                                   "src long, dst long, self boolean")
