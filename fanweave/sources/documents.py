@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import io
 import json
-import math
 import sys
 import time
 import uuid
@@ -29,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.json as pj
 from pyarrow import fs as pafs
 from pyspark import TaskContext, cloudpickle
@@ -133,18 +133,20 @@ class DocumentWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         fs, base = _open(self.path)
         name = f"data/{self.job}/part-{context.partitionId():06d}-{context.taskAttemptId()}.jsonl"
+        encode = json.JSONEncoder(ensure_ascii=False).encode
         out, rows = None, 0
         try:
             for b in iterator:
                 if out is None and b.num_rows:
                     fs.create_dir(f"{base}/data/{self.job}")
                     out = fs.open_output_stream(f"{base}/{name}")
-                for doc in b.to_pylist():
-                    line = {k: v for k, v in doc.items() if v is not None}
-                    bad = [k for k, v in line.items() if isinstance(v, float) and not math.isfinite(v)]
-                    if bad:
-                        raise ValueError(f"documents hold no non-finite numbers (column {bad[0]})")
-                    out.write(json.dumps(line, ensure_ascii=False).encode() + b"\n")
+                for field, column in zip(b.schema.names, b.columns):
+                    if pa.types.is_floating(column.type) and pc.any(
+                            pc.invert(pc.is_finite(column))).as_py():
+                        raise ValueError(f"documents hold no non-finite numbers (column {field})")
+                if b.num_rows:
+                    out.write("".join(f"{encode({k: v for k, v in doc.items() if v is not None})}\n"
+                                      for doc in b.to_pylist()).encode())
                 rows += b.num_rows
         finally:
             if out is not None:

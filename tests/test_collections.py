@@ -6,9 +6,12 @@ import random
 import time
 import xml.etree.ElementTree as ET
 from collections import defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fanweave.operators.components import connected_components
 from fanweave.operators.neighborhood import incident_edges
@@ -85,6 +88,40 @@ def test_documents_refuse_what_they_cannot_hold(spark, tmp_path):
     assert read_table(spark, path, documents.FORMAT) is None
 
 
+def test_a_batch_of_documents_is_written_at_once(monkeypatch, tmp_path):
+    rows = [{"id": i, "name": None if i % 3 else f"é{i}", "rank": i / 4} for i in range(1000)]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
+                           T.StructField("rank", T.DoubleType())])
+    writes, real = [], documents._open
+
+    class Counting:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def write(self, text):
+            writes.append(text)
+            return self.stream.write(text)
+
+        def close(self):
+            self.stream.close()
+
+    def opened(path):
+        fs, base = real(path)
+        return SimpleNamespace(create_dir=fs.create_dir, open_output_stream=lambda name: Counting(
+            fs.open_output_stream(name))), base
+
+    monkeypatch.setattr(documents, "_open", opened)
+    monkeypatch.setattr(documents, "TaskContext", SimpleNamespace(
+        get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    batch = pa.RecordBatch.from_pylist(rows, schema=documents._arrow_schema(schema))
+    done = documents.DocumentWriter(str(tmp_path / "c"), schema, False).write(
+        iter([batch, batch.slice(0, 0), batch.slice(0, 1)]))
+    assert done.rows == 1001 and len(writes) == 2
+    with open(tmp_path / "c" / done.file, encoding="utf-8") as f:
+        found = [json.loads(line) for line in f]
+    assert found == [{k: v for k, v in r.items() if v is not None} for r in [*rows, rows[0]]]
+
+
 def test_a_failed_write_leaves_the_collection_as_it_was(spark, tmp_path):
     path = str(tmp_path / "c")
     write_table(spark.createDataFrame(ROWS, SCHEMA), path, "append", documents.FORMAT)
