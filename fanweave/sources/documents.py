@@ -62,15 +62,18 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema(fields)
 
 
-def _manifests(fs: pafs.FileSystem, base: str) -> list[dict]:
-    """The manifests in force, oldest first."""
+def _manifests(fs: pafs.FileSystem, base: str, up_to: int | None = None) -> list[dict]:
+    """The manifests in force, oldest first, as they were when ``up_to`` was the last number."""
     found = fs.get_file_info(pafs.FileSelector(f"{base}/_manifest", allow_not_found=True))
     names = sorted(f.path for f in found if f.base_name.endswith(".json"))
     kept: list[dict] = []
     for name in names:
+        number = int(name.rsplit("/", 1)[1].split("-")[0])
+        if up_to is not None and number > up_to:
+            continue
         with fs.open_input_stream(name) as f:
             one = json.loads(f.read())
-        one["number"] = int(name.rsplit("/", 1)[1].split("-")[0])
+        one["number"] = number
         kept = [one] if one["replaces"] else [*kept, one]
     return kept
 
@@ -89,13 +92,13 @@ class _Written(WriterCommitMessage):
 
 
 class DocumentReader(DataSourceReader):
-    def __init__(self, path: str, schema: T.StructType, split: int):
-        self.path, self.schema, self.split = path, schema, split
+    def __init__(self, path: str, schema: T.StructType, split: int, up_to: int | None = None):
+        self.path, self.schema, self.split, self.up_to = path, schema, split, up_to
 
     def partitions(self) -> list[_Range]:
         fs, base = _open(self.path)
         out = []
-        for one in _manifests(fs, base):
+        for one in _manifests(fs, base, self.up_to):
             for info in fs.get_file_info([f"{base}/{name}" for name in one["files"]]):
                 if info.type == pafs.FileType.NotFound:
                     raise FileNotFoundError(f"{info.path}, which the collection's manifest names")
@@ -175,7 +178,7 @@ class DocumentWriter(DataSourceArrowWriter):
 
 class Documents(DataSource):
     """``spark.read.format("documents").load(path)`` and ``df.write.format("documents")``; option
-    ``splitBytes`` is the size of a read range."""
+    ``splitBytes`` is the size of a read range, ``upTo`` the last manifest that a read sees."""
 
     @classmethod
     def name(cls) -> str:
@@ -183,14 +186,18 @@ class Documents(DataSource):
 
     def schema(self) -> T.StructType:
         fs, base = _open(self.options["path"])
-        found = _manifests(fs, base)
+        found = _manifests(fs, base, self._up_to())
         if not found:
             raise FileNotFoundError(f"{MISSING} {self.options['path']}")
         return T.StructType.fromJson(found[-1]["schema"])
 
     def reader(self, schema: T.StructType) -> DocumentReader:
         return DocumentReader(self.options["path"], schema,
-                              int(self.options.get("splitBytes", SPLIT_BYTES)))
+                              int(self.options.get("splitBytes", SPLIT_BYTES)), self._up_to())
+
+    def _up_to(self) -> int | None:
+        given = self.options.get("upTo")
+        return None if given is None else int(given)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DocumentWriter:
         return DocumentWriter(self.options["path"], schema, overwrite)
@@ -203,9 +210,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Documents)
 
 
-def exists(path: str) -> bool:
-    """Whether anything was ever committed at ``path``."""
-    return bool(_manifests(*_open(path)))
+def last_number(path: str) -> int | None:
+    """The number of the last manifest at ``path``, None where nothing was ever committed."""
+    found = _manifests(*_open(path))
+    return found[-1]["number"] if found else None
 
 
 def vacuum(path: str, older_than_seconds: float = 86_400) -> int:

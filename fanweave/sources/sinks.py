@@ -42,8 +42,11 @@ BUCKETS = 256
 def _load(spark: SparkSession, path: str, format: str, options: dict | None) -> DataFrame | None:
     if format == documents.FORMAT:
         documents.register(spark)
-        if not documents.exists(path):
+        last = documents.last_number(path)
+        if last is None:
             return None
+        # As for files, a frame shows what was stored when it was read, not what is written later.
+        options = {"upTo": str(last), **(options or {})}
     try:
         return spark.read.format(format).options(**(options or {})).load(path)
     except AnalysisException as e:
