@@ -27,13 +27,16 @@ class FollowGraph:
     # (id, attr struct<name, intro>) of the users, one row per id, when known:
     # lets a job that only needs attributes of edge endpoints skip the vertex table.
     user_attrs: DataFrame | None = None
+    # Where ``materialize`` stored the edges.
+    edges_path: str | None = None
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "FollowGraph":
         return FollowGraph(self.vertices.persist(level), self.edges.persist(level))
 
     def materialize(self) -> "FollowGraph":
-        """Cut both tables' lineage with a reliable checkpoint (one pass over
-        the sources, however many times the graph is read afterwards).  A
+        """Cut both tables' lineage (one pass over the sources, however many
+        times the graph is read afterwards): the vertices with a reliable
+        checkpoint, the edges as Parquet, a fraction of its size.  A
         graph that is already materialized is returned as it is."""
         return self.materialize_counted()[0]
 
@@ -43,11 +46,16 @@ class FollowGraph:
             return self, self.n_edges
         from pyspark.sql import functions as F
 
-        from .iterate import materialize
+        from .iterate import materialize, store_table
         v, _ = materialize(self.vertices)
-        e, m = materialize(self.edges, {"n": F.count(F.lit(1))})
+        e, m, path = store_table(self.edges, {"n": F.count(F.lit(1))})
         n = int(m["n"] or 0)
-        return FollowGraph(v, e, n, self.user_attrs), n
+        return FollowGraph(v, e, n, self.user_attrs, path), n
+
+    def release(self) -> None:
+        """Delete what ``materialize`` stored: nothing reads this graph any more."""
+        from .iterate import release
+        release(self.vertices, self.edges_path)
 
     def unpersist(self) -> None:
         self.vertices.unpersist()

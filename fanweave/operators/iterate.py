@@ -17,6 +17,9 @@ Design (why the loops look the way they do):
   re-shuffled in every superstep.  It is restored afterwards.
 * Convergence counters ride along as ``Observation`` metrics of the
   checkpoint job, so no extra pass is needed.
+* A job's shuffle files go when its rows are stored, and a loop deletes what it
+  stored and reads no more (``release``): waiting for the driver's garbage
+  collection, the disk would hold all supersteps of a large table.
 """
 
 from __future__ import annotations
@@ -27,22 +30,58 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
+
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, metrics: dict[str, Column] | None = None
                 ) -> tuple[DataFrame, dict]:
     """Checkpoint ``df`` (eager, reliable) and return it with the observed ``metrics``."""
     ensure_checkpoint_dir(df.sparkSession)
-    if not metrics:
-        return df.checkpoint(eager=True), {}
+    return _run_once(df, metrics, lambda once: once.checkpoint(eager=True))
+
+
+def store_table(df: DataFrame, metrics: dict[str, Column] | None = None
+                ) -> tuple[DataFrame, dict, str]:
+    """Like ``materialize``, as compressed Parquet: a table of millions of narrow rows takes a small
+    part of a checkpoint's disk, but forgets how it was partitioned. Returns its path as well."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "table")
+    _, found = _run_once(df, metrics, lambda once: once.write.option(
+        "compression", "zstd").parquet(path))
+    return spark.read.schema(df.schema).parquet(path), found, path
+
+
+def _run_once(df: DataFrame, metrics: dict[str, Column] | None, action) -> tuple[DataFrame, dict]:
+    """``action`` over a plan of its own, whose shuffle files go when it has ended; ``df`` itself
+    may run again."""
     obs = Observation()
-    observed = df.observe(obs, *[c.alias(name) for name, c in metrics.items()])
-    out = observed.checkpoint(eager=True)
-    return out, dict(obs.get)
+    with _settings(df.sparkSession, {_CLEAN_SHUFFLES: "true"}):
+        once = df.select("*") if not metrics else df.observe(
+            obs, *[c.alias(name) for name, c in metrics.items()])
+        out = action(once)
+    return out, dict(obs.get) if metrics else {}
+
+
+def release(*stored: DataFrame | str | None) -> None:
+    """Delete the files of frames from ``materialize``, or paths from ``store_table``, that nothing
+    reads any more. What is not stored itself is left alone."""
+    spark = SparkSession.getActiveSession()
+    for one in stored:
+        path = _checkpoint_file(one) if isinstance(one, DataFrame) else one
+        if path is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _checkpoint_file(df: DataFrame) -> str | None:
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return None
+    file = plan.rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
 
 
-@contextmanager
 def fixed_partitioning(spark: SparkSession, partitions: int | None = None):
     """Run a loop with adaptive execution off and (optionally) every shuffle
     at ``partitions`` partitions, so state and edge tables stay co-partitioned.
@@ -50,6 +89,11 @@ def fixed_partitioning(spark: SparkSession, partitions: int | None = None):
     keys = {"spark.sql.adaptive.enabled": "false"}
     if partitions is not None:
         keys["spark.sql.shuffle.partitions"] = str(partitions)
+    return _settings(spark, keys)
+
+
+@contextmanager
+def _settings(spark: SparkSession, keys: dict[str, str]):
     before = {k: spark.conf.get(k) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
