@@ -18,12 +18,14 @@ weighted edge table plus one "self" row per vertex, so a vertex's own
 (rank, delta) travels to the same group as the messages it receives and the
 state is read only once per superstep (see ``iterate``).  PageRank reads its
 links in every superstep, so they are lists of receivers (``listed_links``), not
-one row for each edge.
+one row for each edge, four bytes each where ids allow it.  The shuffles of all
+supersteps of a job lie on disk until it ends, so a job sends ``JOB_MESSAGES`` at
+most, or runs one superstep; what its supersteps add to the ranks is summed up as
+soon as it outgrows the ranks.
 """
 
 from __future__ import annotations
 
-import math
 import math
 from collections.abc import Callable, Iterator
 
@@ -33,11 +35,13 @@ from pyspark.sql import functions as F
 from ..functions.expr import RESET_PROB, TOLERANCE, tie_key
 from ..session import loop_partitions
 from .graph import FollowGraph
-from .iterate import decay_batch, fixed_partitioning, materialize
+from .iterate import decay_batch, fixed_partitioning, materialize, release
 
 MESSAGES_PER_PARTITION = 2_000_000    # of one superstep over (source, vertex) pairs
 MOST_GROUPS = 64                      # that a group of sources is cut into at once
 LIST_SIZE = 1024                      # receivers that one row of PageRank's links holds, about
+JOB_MESSAGES = 64_000_000             # of all supersteps of one PageRank job, unless it is only one
+MOST_INCREMENTS = 4                   # rows of increments for each vertex before they are summed up
 
 
 def _out_degrees(edges: DataFrame) -> DataFrame:
@@ -95,18 +99,27 @@ def links(graph: FollowGraph, n_parts: int, hot: int | None) -> tuple[DataFrame,
 
 
 def listed_links(graph: FollowGraph, n_parts: int, hot: int
-                 ) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
-    """PageRank's links.  Returns (degrees, lists, hot_edges, hot_ids), the last two None where no
-    out-degree is above ``hot``:
+                 ) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None, int | None]:
+    """PageRank's links.  Returns (degrees, lists, hot_edges, hot_ids, low), hot_edges and hot_ids None
+    where no out-degree is above ``hot``:
 
     * ``degrees`` (id, deg) of every vertex, partitioned on ``id``;
     * ``lists`` (src, w, self, receivers): the receivers that get ``w`` = multiplicity / outdegree of
       a sender's delta, in lists of about ``LIST_SIZE`` dealt by a hash of the receiver, plus a self
-      row (v, 0, true, [v]) per vertex; co-partitioned with the state;
+      row (v, 0, true, [v]) per vertex; co-partitioned with the state. A receiver is held as its
+      distance from ``low`` in four bytes, or, where ids are too far apart and ``low`` is None, as it is;
     * ``hot_edges`` (src, dst, w) of the vertices ``hot_ids`` above ``hot``, partitioned on ``dst``.
     """
     degrees, counts = materialize(vertex_out_degrees(graph).repartition(n_parts, "id"), {
-        "hot": F.expr(f"sum(CASE WHEN deg > {hot} THEN 1 ELSE 0 END)")})
+        "hot": F.expr(f"sum(CASE WHEN deg > {hot} THEN 1 ELSE 0 END)"),
+        "low": F.min("id"), "high": F.max("id")})
+    low = counts["low"] or 0
+    if (counts["high"] or 0) - low >= 2 ** 31:
+        low = None
+
+    def held(receiver: str):
+        return F.col(receiver) if low is None else (F.col(receiver) - low).cast("int")
+
     edges, hot_edges, hot_ids = graph.edges.select("src", "dst"), None, None
     multiple = F.count(F.lit(1)).cast("double").alias("m")
     w = (F.col("m") * (F.lit(1.0) / F.col("deg"))).alias("w")
@@ -116,18 +129,18 @@ def listed_links(graph: FollowGraph, n_parts: int, hot: int
                                    .groupBy("src", "dst", "deg").agg(multiple)
                                    .select("src", "dst", w).repartition(n_parts, "dst"))
         edges = edges.join(F.broadcast(hot_ids), "src", "left_anti")
-        hot_ids = hot_ids.select("src")
     # Dealt by sender once: the counts, the degrees and the lists need no other exchange.
     pairs = edges.repartition(n_parts, "src").groupBy("src", "dst").agg(multiple)
     lists = (pairs.join(degrees.withColumnRenamed("id", "src").hint("shuffle_hash"), "src")
              .groupBy("src", "m", "deg",
                       F.pmod(F.xxhash64("dst"), F.ceil(F.col("deg") / LIST_SIZE)).alias("list"))
-             .agg(F.collect_list("dst").alias("receivers"))
+             .agg(F.collect_list(held("dst")).alias("receivers"))
              .select("src", w, F.lit(False).alias("self"), "receivers"))
     selfs = degrees.select(F.col("id").alias("src"), F.lit(0.0).alias("w"), F.lit(True).alias("self"),
-                           F.array("id").alias("receivers"))
-    lists, _ = materialize(lists.unionByName(selfs).repartition(n_parts, "src"))
-    return degrees, lists, hot_edges, hot_ids
+                           F.array(held("id")).alias("receivers"))
+    # Both lie by the sender already.
+    lists, _ = materialize(lists.unionByName(selfs))
+    return degrees, lists, hot_edges, hot_ids, low
 
 
 def degrees_of(cold: DataFrame) -> DataFrame:
@@ -147,29 +160,42 @@ def _active(tol: float) -> str:
     return f"delta > {tol!r} AND deg > 0"
 
 
-def _frontier_loop(start: DataFrame, step, cond: str, steps_per_job) -> list[DataFrame]:
+def _frontier_loop(start: DataFrame, ranks: DataFrame, step, cond: str, steps_per_job) -> list[DataFrame]:
     """Run supersteps job by job over a job-local state (id, delta, acc).
 
     A job starts from the vertices that may send (``cond``) with acc = 0;
     vertices touched during the job ride along (self rows) and collect
     their rank increments in ``acc``.  At the job's end the increments are set
     aside (checkpointed) and only the senders go on, so the long tail of a
-    converging run touches a handful of rows, not the whole state.
-    Returns the checkpointed per-job increment tables (id, acc).
+    converging run touches a handful of rows, not the whole state.  Increments
+    of more than ``MOST_INCREMENTS`` rows a vertex are added to ``ranks`` (id, rank)
+    and deleted.  Returns the ranks and the increments (id, acc) not added yet, as
+    the stored tables that they are columns of.
     """
     metrics = {"active": F.expr(f"sum(CASE WHEN {cond} THEN 1 ELSE 0 END)"),
-               "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)")}
+               "max_delta": F.expr(f"max(CASE WHEN {cond} THEN delta END)"),
+               "rows": F.count(F.lit(1))}
     batch_of = steps_per_job if callable(steps_per_job) else (lambda m: steps_per_job)
     state, m = materialize(start, metrics)
-    increments: list[DataFrame] = []
+    most = MOST_INCREMENTS * m["rows"]
+    increments, rows = [], 0
     while m["active"]:
-        batch = max(1, batch_of(m))
+        before, batch = state, max(1, batch_of(m))
         nxt = state.where(cond).select("id", "delta", F.lit(0.0).alias("acc"))
         for _ in range(batch):
             nxt = step(nxt)
         state, m = materialize(nxt, metrics)
-        increments.append(state.select("id", "acc"))
-    return increments
+        if not increments:                          # what it held is in the ranks
+            release(before)
+        increments.append(state)
+        rows += m["rows"]
+        if rows > most:
+            added, _ = materialize(_sum_ranks(ranks, [x.select("id", "acc") for x in increments], []))
+            release(ranks, *increments[:-1])
+            ranks, increments, rows = added, [], 0
+    if not increments:
+        release(state)
+    return [ranks, *increments]
 
 
 def _sum_ranks(base: DataFrame, increments: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -190,12 +216,13 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
     (default ``hot_threshold``); with hot vertices every superstep is its own
     job, since the state is then read twice (join + broadcast)."""
     spark = graph.edges.sparkSession
+    given = graph.n_edges is not None
     graph, n_edges = graph.materialize_counted()
     n = loop_partitions(spark, n_edges)
     d = 1.0 - reset
     hot = hot_threshold(n_edges, n, hot_degree)
     with fixed_partitioning(spark, n):
-        vdeg, L, H, hot_ids = listed_links(graph, n, hot)
+        vdeg, L, H, hot_ids, low = listed_links(graph, n, hot)
         start = vdeg.select("id", F.lit(reset).alias("delta"), F.lit(0.0).alias("acc"))
         cond = f"delta > {tol!r}"
         hot_part = "" if H is None else f"""
@@ -210,11 +237,12 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
                    CASE WHEN msg IS NULL THEN 0.0D ELSE {d!r}D * msg END AS delta,
                    coalesce(acc, 0.0D) + CASE WHEN msg IS NULL THEN 0.0D ELSE {d!r}D * msg END AS acc
             FROM (SELECT dst, max(acc) AS acc, sum(msg) AS msg
-                  FROM (SELECT /*+ SHUFFLE_HASH(s) */ explode(l.receivers) AS dst,
-                               CASE WHEN l.self THEN s.acc END AS acc,
-                               CASE WHEN NOT l.self THEN s.delta * l.w END AS msg
-                        FROM {{links}} l JOIN {{state}} s
-                          ON l.src = s.id AND (l.self OR s.{cond}){hot_part})
+                  FROM (SELECT {"r" if low is None else f"r + {low}L"} AS dst, acc, msg
+                        FROM (SELECT /*+ SHUFFLE_HASH(s) */ explode(l.receivers) AS r,
+                                     CASE WHEN l.self THEN s.acc END AS acc,
+                                     CASE WHEN NOT l.self THEN s.delta * l.w END AS msg
+                              FROM {{links}} l JOIN {{state}} s
+                                ON l.src = s.id AND (l.self OR s.{cond})){hot_part})
                   GROUP BY dst)"""
         tables = {"links": L} if H is None else {"links": L, "hot": H, "hot_ids": hot_ids}
 
@@ -222,11 +250,15 @@ def pagerank(graph: FollowGraph, tol: float = TOLERANCE, reset: float = RESET_PR
             return spark.sql(sql, state=state, **tables)
 
         # Whoever follows nobody has no list, so its delta is sent to nobody.
-        batch = 1 if H is not None else (steps_per_job or decay_batch(tol, d))
-        increments = _frontier_loop(start, step, cond, batch)
-        base = vdeg.select("id", F.lit(reset).alias("rank"))
-        ranks, m = materialize(_sum_ranks(base, increments, []),
+        most = max(1, min(16, JOB_MESSAGES // max(1, n_edges)))
+        batch = 1 if H is not None else (steps_per_job or decay_batch(tol, d, most))
+        base, *increments = _frontier_loop(start, vdeg.select("id", F.lit(reset).alias("rank")), step, cond,
+                                           batch)
+        ranks, m = materialize(_sum_ranks(base, [x.select("id", "acc") for x in increments], []),
                                {"total": F.sum("rank"), "n": F.count(F.lit(1))})
+    release(base, *increments, vdeg, L, H, hot_ids)
+    if not given:
+        graph.release()
     if not m["n"]:
         return ranks
     factor = float(m["n"]) / float(m["total"])

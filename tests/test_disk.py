@@ -6,9 +6,9 @@ import time
 
 import pytest
 
-from fanweave.operators import labelprop
+from fanweave.operators import labelprop, pagerank
 from fanweave.operators.iterate import materialize
-from tests.test_frontiers import whole_rounds
+from tests.test_frontiers import whole_pagerank, whole_rounds
 from tests.test_rules import graph
 
 
@@ -88,3 +88,33 @@ def test_a_step_shuffles_its_messages_once_as_one_long(spark, monkeypatch):
     labelprop.label_propagation(graph(spark, [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]), 2)
     last = [p for p in plans if "both" in p][-1]
     assert last.count("Exchange") == last.count("Exchange hashpartitioning(((both") == 1
+
+
+@pytest.mark.parametrize("apart,hot", [(1, None), (1, 6), (2 ** 33, None)])
+def test_pagerank_holds_one_job_and_few_increments(spark, monkeypatch, apart, hot):
+    """A job of one superstep where more would send too many messages; increments are summed up."""
+    rnd = random.Random(3)
+    pairs = [(apart * rnd.randrange(20), apart * rnd.randrange(25)) for _ in range(120)]
+    monkeypatch.setattr(pagerank, "JOB_MESSAGES", 150)
+    monkeypatch.setattr(pagerank, "MOST_INCREMENTS", 3)
+    monkeypatch.setattr(pagerank, "decay_batch", lambda tol, d, cap=16: cap)
+    seen, tables = watched(spark, monkeypatch, pagerank)
+    got = pagerank.pagerank(graph(spark, pairs), hot_degree=hot)
+    supersteps = [c for c, _, _ in seen if c == ["id", "delta", "acc"]]
+    assert len(supersteps) > 12
+    assert seen[-1][0] == ["id", "rank"] and max(n for _, n, _ in seen) <= (10 if hot is None else 12)
+    assert {n for _, _, n in seen} == {0}
+    assert len(stored(spark) - tables) == 1                   # the ranks
+    assert {r["id"]: r["rank"] for r in got.collect()} == pytest.approx(whole_pagerank(pairs), rel=1e-9)
+
+
+def test_stored_edges_are_smaller_than_a_checkpoint(spark):
+    tables, rows = stored(spark), 200_000
+    g = graph(spark, [(1, 2)])
+    from dataclasses import replace
+    wide = spark.range(rows).selectExpr("id % 997 AS src", "xxhash64(id) % 20000 AS dst", "1.0D AS weight")
+    g = replace(g, edges=wide).materialize()
+    new = [x for x in stored(spark) - tables if "/table-" in x]
+    size = sum(os.path.getsize(f"{new[0]}/{f}") for f in os.listdir(new[0]))
+    assert len(new) == 1 and size < 8 * rows
+    assert sorted(map(tuple, g.edges.collect())) == sorted(map(tuple, wide.collect()))
