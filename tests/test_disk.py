@@ -3,11 +3,13 @@
 import os
 import random
 import time
+from collections import Counter
 
 import pytest
 
 from fanweave.operators import labelprop, pagerank
 from fanweave.operators.iterate import materialize
+from fanweave.plans import communities
 from tests.test_frontiers import whole_pagerank, whole_rounds
 from tests.test_rules import graph
 
@@ -67,6 +69,16 @@ def test_labels_of_earlier_steps_are_not_kept(spark, monkeypatch, hot, most):
     assert {r["id"]: r["label"] for r in got.collect()} == whole_rounds(pairs, 12)
 
 
+def test_large_label_groups_leave_the_labels_only(spark):
+    rnd, tables = random.Random(7), stored(spark)
+    pairs = [(c + rnd.randrange(15), c + rnd.randrange(15)) for c in (0, 100, 200) for _ in range(90)]
+    pairs += [(300, 301), (301, 302)]
+    got = communities.lpa_communities(communities.lpa_labels(graph(spark, pairs)))
+    sizes = Counter(whole_rounds(pairs, 40).values())
+    assert dict(map(tuple, got.collect())) == {k: n for k, n in sizes.items() if n > 10}
+    assert len(stored(spark) - tables) == 1
+
+
 @pytest.mark.parametrize("first,apart", [(-3, 1), (-2 ** 40, 10 ** 6), (-2 ** 62, 2 ** 55)])
 def test_ids_of_any_width(spark, first, apart):
     """Four bytes or eight in a list, one long or two across the shuffle."""
